@@ -270,7 +270,7 @@ def build_queries(
     Null parts are skipped, punctuation at token ends is stripped.
     """
     joined = F.concat_ws(" ", *parts)
-    bare = F.transform(tokens(joined), lambda t: F.trim(F.lit(punctuation), t))
+    bare = F.transform(tokens(joined), lambda t: F.trim(t, F.lit(punctuation)))
     drop = F.array(*[F.lit(w) for w in ("", anchor, *stop)])
     kept = F.array_distinct(F.filter(bare, lambda t: ~F.array_contains(drop, t)))
     return df.withColumn(out, F.array_join(F.concat(F.array(F.lit(anchor)), kept), " "))

@@ -182,7 +182,8 @@ def leak_pattern(terms: Sequence[str], negations: Sequence[str], window: int = 4
     for word in negations:
         gap = window - len(word)
         behind += rf"(?<!\b{re.escape(word)}\b[\s\S]{{0,{gap}}})(?<!{re.escape(word)}\b[\s\S]{{{gap}}})"
-    return rf"\b(?=(?:{'|'.join(re.escape(t) for t in terms)})){behind}"
+    # (?U): word boundaries follow Unicode letters.
+    return rf"(?U)\b(?=(?:{'|'.join(re.escape(t) for t in terms)})){behind}"
 
 
 def leak_probe(
@@ -222,22 +223,23 @@ def extract_findings(
         ),
     ).withColumn(
         "__sentences",
-        F.filter(F.transform(F.split(F.lower(raw), r"[.;\n]+"), F.trim), lambda s: s != ""),
+        F.filter(
+            F.transform(F.split(F.lower(raw), r"[.;\n]+"), lambda s: F.trim(s)), lambda s: s != ""
+        ),
     )
-    found = []
-    for n, concept in enumerate(concepts, 1):
-        numbered = F.get(
-            F.filter(
-                F.col("__answers"),
-                lambda x, n=n: F.coalesce(x["i"].try_cast("int") == n, F.lit(False)),
-            ),
-            F.lit(0),
-        )["a"]
-        hit = F.get(
-            F.filter(F.col("__sentences"), lambda s, c=concept: contains_any(s, keywords[c])), F.lit(0)
-        )
-        swept = F.when(hit.isNotNull(), F.when(contains_any(hit, negations), "no").otherwise("yes"))
-        found.append(F.coalesce(F.lower(numbered), swept, F.lit("unclear")).alias(concept))
+
+    def numbered(n: int) -> Column:
+        answers = F.filter("__answers", lambda x: F.coalesce(x["i"].try_cast("int") == n, F.lit(False)))
+        return F.lower(F.get(answers, F.lit(0))["a"])
+
+    def swept(terms: Sequence[str]) -> Column:
+        hit = F.get(F.filter("__sentences", lambda s: contains_any(s, terms)), F.lit(0))
+        return F.when(hit.isNotNull(), F.when(contains_any(hit, negations), "no").otherwise("yes"))
+
+    found = [
+        F.coalesce(numbered(n), swept(keywords[c]), F.lit("unclear")).alias(c)
+        for n, c in enumerate(concepts, 1)
+    ]
     return staged.select(*[col(c) for c in df.columns], *found)
 
 

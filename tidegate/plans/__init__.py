@@ -6,7 +6,7 @@ import importlib
 
 from .registry import Registry, Tables
 
-GROUPS = ("cohort", "relational")
+GROUPS = ("cohort", "relational", "metrics", "texts")
 
 
 def load() -> Registry:
