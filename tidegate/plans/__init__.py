@@ -6,7 +6,7 @@ import importlib
 
 from .registry import Registry, Tables
 
-GROUPS = ("cohort", "relational", "metrics", "texts")
+GROUPS = ("cohort", "relational", "metrics", "texts", "features")
 
 
 def load() -> Registry:
