@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.hashing import hash_hex, hex_unit
 from ..functions.scalar import col
@@ -21,23 +21,24 @@ from .joins import paired
 from .running import row_numbers
 
 
-def resample(df: DataFrame, ident: str, replicates: int, seed: int = 0) -> DataFrame:
-    """Rows ``(b, id)``, n draws with replacement per replicate, ids repeated as drawn."""
-    ids = row_numbers(df.select(col(ident)).distinct(), [], [ident], "__rn")
-    n = ids.count()
+def numbered_ids(df: DataFrame, ident: str) -> DataFrame:
+    """Distinct ids with a dense number from 1 in id order."""
+    return row_numbers(df.select(col(ident)).distinct(), [], [ident], "__rn")
+
+
+def draw_numbers(spark: SparkSession, n: int, replicates: int, seed: int) -> DataFrame:
+    """Rows ``(b, __rn)``: n draws with replacement from 1..n for every replicate."""
     blocks = (replicates + 7) // 8
-    spark = df.sparkSession
     draws = spark.range(n * blocks).select(
-        F.col("id") % n, F.expr(f"id div {max(n, 1)}")
-    ).toDF("__i", "__blk")
+        (F.col("id") % n).alias("__i"), F.expr(f"id div {max(n, 1)}").alias("__blk")
+    )
     eight = draws.withColumn("__hex", hash_hex(str(seed), F.col("__blk"), F.col("__i"))).select(
         "__blk", "__hex", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("__j")
     )
-    picked = eight.select(
+    return eight.select(
         (F.col("__blk") * 8 + F.col("__j")).alias("b"),
         (F.floor(hex_unit(F.col("__hex"), (F.col("__j") * 8 + 1).cast("int")) * n) + 1).alias("__rn"),
     ).where(F.col("b") < replicates)
-    return picked.join(ids, "__rn").select("b", col(ident))
 
 
 def bootstrap_metrics(
@@ -49,13 +50,14 @@ def bootstrap_metrics(
     Replicates with one class give null metrics.
     """
     second = score_calibrated or score
-    draws = resample(preds, ident, replicates, seed)
-    # Columns are pruned before the blow-up; what is shuffled afterwards are histograms.
+    ids = numbered_ids(preds, ident)
+    # Predictions get their number before the draws are made, so the n * B draws meet them in
+    # one join, and what is shuffled after it are histograms.
     slim = preds.select(
         *[col(m) for m in model], col(ident), col(label), col(score),
         *([col(second)] if second != score else []),
-    )
-    rows = draws.join(slim, ident)
+    ).join(ids, ident).drop(ident)
+    rows = draw_numbers(preds.sparkSession, ids.count(), replicates, seed).join(slim, "__rn")
     by = [*model, "b"]
     ranking = ranking_from_histogram(score_histogram(rows, by, label, score), by)
     counts = rows.groupBy(*[col(b) for b in by]).agg(*confusion(col(label), col(second) >= tau))

@@ -32,27 +32,21 @@ def score_histogram(
 
 def ranking_from_histogram(hist: DataFrame, by: Sequence[str]) -> DataFrame:
     """AUROC with mid-ranks and step-wise average precision; null with one class only."""
+    # From the highest score down, so that one pass gives both and no group total is needed.
     cum = running(
-        hist, by, ["__score"], sums={"cum_pos": F.col("pos"), "cum_neg": F.col("neg")}
+        hist, by, [F.col("__score").desc()],
+        sums={"cum_pos": F.col("pos"), "cum_neg": F.col("neg")},
     )
-    totals = hist.groupBy(*[col(b).alias(f"__t{i}") for i, b in enumerate(by)]).agg(
-        F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg")
-    )
-    condition = F.lit(True)
-    for i, b in enumerate(by):
-        condition = condition & col(b).eqNullSafe(F.col(f"__t{i}"))
-    # Without model columns ``totals`` is one row.
-    rows = cum.join(totals, condition) if by else cum.crossJoin(F.broadcast(totals))
-    above = F.col("n_pos") - F.col("cum_pos") + F.col("pos")
-    above_all = above + F.col("n_neg") - F.col("cum_neg") + F.col("neg")
-    wins = F.col("pos") * (F.col("cum_neg") - F.col("neg") + F.col("neg") / 2.0)
-    steps = F.when(F.col("pos") > 0, F.col("pos") * (above / above_all)).otherwise(0.0)
-    pairs = F.max(F.col("n_pos").cast("double") * F.col("n_neg").cast("double"))
-    return rows.groupBy(*[col(b) for b in by]).agg(
-        F.max("n_pos").alias("n_pos"),
-        F.max("n_neg").alias("n_neg"),
-        F.when(pairs > 0, F.sum(wins) / pairs).alias("auroc"),
-        F.when(pairs > 0, F.sum(steps) / F.max("n_pos")).alias("average_precision"),
+    wins = F.col("neg") * (F.col("cum_pos") - F.col("pos") + F.col("pos") / 2.0)
+    precision = F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))
+    steps = F.when(F.col("pos") > 0, F.col("pos") * precision).otherwise(0.0)
+    n_pos, n_neg = F.sum("pos"), F.sum("neg")
+    both = (n_pos > 0) & (n_neg > 0)
+    return cum.groupBy(*[col(b) for b in by]).agg(
+        n_pos.alias("n_pos"),
+        n_neg.alias("n_neg"),
+        F.when(both, F.sum(wins) / n_pos / n_neg).alias("auroc"),
+        F.when(both, F.sum(steps) / n_pos).alias("average_precision"),
     )
 
 
@@ -241,7 +235,7 @@ def tuned_report(
 
 def platt(
     valid: DataFrame, test: DataFrame, by: Sequence[str], label: str = LABEL, score: str = SCORE,
-    c: float = 1e6, iterations: int = 20,
+    c: float = 1e6, iterations: int = 24,
 ) -> DataFrame:
     """Logistic fit on the logit of validation scores per group, applied to test scores.
 

@@ -10,6 +10,7 @@ from ..functions.scalar import col
 from ..functions.tails import chi2_p, normal_p
 from .aggregates import long_form
 from .logistic import fit_logistic
+from .onerow import with_one_row
 from .running import exact_percentiles, running
 
 
@@ -31,13 +32,8 @@ def _chi2_from_cells(cells: DataFrame, by: Sequence[str], yates: bool) -> DataFr
     sized = cells.select(*keys, "a", "b", F.col("n").cast("double").alias("o")).join(
         rows, [*keys, "a"]
     ).join(columns, [*keys, "b"])
-    if keys:
-        sides = row_side.join(column_side, keys)
-        sized = sized.join(sides, keys)
-    else:
-        # One row on each side: totals of a single table.
-        sides = row_side.crossJoin(F.broadcast(column_side))
-        sized = sized.crossJoin(F.broadcast(sides))
+    for side in (row_side, column_side):
+        sized = sized.join(side, keys) if keys else with_one_row(sized, side)
     expected = F.col("r") * F.col("c") / F.col("n")
     one = sized.groupBy(*keys).agg(
         *[F.max(name).alias(name) for name in ("n", "n_rows", "n_cols", "__ir", "__ic")],
@@ -194,7 +190,7 @@ def association_table(
 
 
 def univariate_or(
-    df: DataFrame, features: Sequence[str], label: str, iterations: int = 12
+    df: DataFrame, features: Sequence[str], label: str, iterations: int = 24
 ) -> DataFrame:
     """Odds ratio per standard deviation of each feature with its Wald interval.
 

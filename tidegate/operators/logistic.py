@@ -9,20 +9,25 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.scalar import col, sigmoid
 from ..session import cut
 
-_CUT_EVERY = 4
+# Parameters of at most this many groups are broadcast (a few keys and two doubles each);
+# more groups use a shuffled join.
+BROADCAST_GROUPS = 100_000
+_STEPS_PER_JOB = 4
+_TOLERANCE = 1e-10
 
 
 def fit_logistic(
-    df: DataFrame, by: Sequence[str], x: str, y: str, l2: float = 0.0, iterations: int = 20
+    df: DataFrame, by: Sequence[str], x: str, y: str, l2: float = 0.0, iterations: int = 24
 ) -> DataFrame:
     """Intercept, slope and the slope's standard error per group.
 
     The slope is penalised by ``l2``/2 times its square, the intercept is not. Rows are first
-    reduced to distinct x values; each step is one partially aggregated job over them, so a
-    group of any size is fitted without being collected. Groups with one class are dropped.
+    reduced to distinct x values; each step is one partially aggregated pass over them, so a
+    group of any size is fitted without being collected. Steps stop when no group moves any
+    more. Groups with one class are dropped.
     """
-    keys = [col(b) for b in by]
-    on = [f"__g{i}" for i in range(len(by))]
+    on = [f"__g{i}" for i in range(len(by))] or ["__g0"]
+    keys = [col(b) for b in by] or [F.lit(0)]
     hist = cut(
         df.where(col(x).isNotNull() & col(y).isNotNull())
         .groupBy(*[k.alias(g) for k, g in zip(keys, on)], col(x).cast("double").alias("__x"))
@@ -31,7 +36,7 @@ def fit_logistic(
             F.count(F.lit(1)).alias("__n"),
         )
     )
-    params = (
+    params = cut(
         hist.groupBy(*on)
         .agg(F.sum("__pos").alias("__p"), F.sum("__n").alias("__t"))
         .where("__p > 0 and __p < __t")
@@ -41,18 +46,17 @@ def fit_logistic(
             F.lit(0.0).alias("b1"),
         )
     )
-    for step in range(iterations):
-        sums = _newton_sums(hist, params, on)
-        h11 = F.col("h11") + l2
-        g1 = F.col("g1") - l2 * F.col("b1")
-        det = F.col("h00") * h11 - F.col("h01") * F.col("h01")
-        # A vanishing determinant means the fit has separated or x is constant: stay put.
-        d0 = F.when(det > 1e-300, (h11 * F.col("g0") - F.col("h01") * g1) / det).otherwise(0.0)
-        d1 = F.when(det > 1e-300, (F.col("h00") * g1 - F.col("h01") * F.col("g0")) / det).otherwise(0.0)
-        params = sums.select(*on, (F.col("b0") + d0).alias("b0"), (F.col("b1") + d1).alias("b1"))
-        if (step + 1) % _CUT_EVERY == 0:
-            params = cut(params)
-    last = _newton_sums(hist, params, on)
+    small = params.count() <= BROADCAST_GROUPS
+    done = 0
+    while done < iterations:
+        for _ in range(min(_STEPS_PER_JOB, iterations - done)):
+            params = _newton_step(hist, params, on, small, l2)
+            done += 1
+        params = cut(params)
+        moved = params.agg(F.max("__move")).first()[0]
+        if moved is None or moved < _TOLERANCE:
+            break
+    last = _newton_sums(hist, params, on, small)
     det = F.col("h00") * (F.col("h11") + l2) - F.col("h01") * F.col("h01")
     return last.select(
         *[F.col(g).alias(b) for g, b in zip(on, by)],
@@ -62,9 +66,24 @@ def fit_logistic(
     )
 
 
-def _newton_sums(hist: DataFrame, params: DataFrame, on: list[str]) -> DataFrame:
+def _newton_step(hist: DataFrame, params: DataFrame, on: list[str], small: bool, l2: float) -> DataFrame:
+    sums = _newton_sums(hist, params, on, small)
+    h11 = F.col("h11") + l2
+    g1 = F.col("g1") - l2 * F.col("b1")
+    det = F.col("h00") * h11 - F.col("h01") * F.col("h01")
+    # A vanishing determinant means the fit has separated or x is constant: stay put.
+    d0 = F.when(det > 1e-300, (h11 * F.col("g0") - F.col("h01") * g1) / det).otherwise(0.0)
+    d1 = F.when(det > 1e-300, (F.col("h00") * g1 - F.col("h01") * F.col("g0")) / det).otherwise(0.0)
+    return sums.select(
+        *on, (F.col("b0") + d0).alias("b0"), (F.col("b1") + d1).alias("b1"),
+        F.greatest(F.abs(d0), F.abs(d1)).alias("__move"),
+    )
+
+
+def _newton_sums(hist: DataFrame, params: DataFrame, on: list[str], small: bool) -> DataFrame:
     """Gradient and information sums per group at the current parameters."""
-    joined = hist.join(params, on) if on else hist.crossJoin(F.broadcast(params))
+    current = params.select(*on, "b0", "b1")
+    joined = hist.join(F.broadcast(current) if small else current, on)
     p = sigmoid(F.col("b0") + F.col("b1") * F.col("__x"))
     rows = joined.select(*on, "b0", "b1", "__x", "__pos", "__n", p.alias("__q"))
     residual = F.col("__pos") - F.col("__n") * F.col("__q")

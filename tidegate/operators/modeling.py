@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.scalar import col
 from .aggregates import long_form
 from .evaluation import evaluate, platt, pool_oof
+from .onerow import with_one_row
 from .ranking import top_by_abs
 from .running import exact_percentiles
 
@@ -159,7 +160,7 @@ def class_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
     """Inverse-frequency weights n / (k * n_class), joined from the per-class counts."""
     counts = df.groupBy(col(label)).agg(F.count(F.lit(1)).alias("__nc"))
     total = counts.agg(F.sum("__nc").alias("__n"), F.count(F.lit(1)).alias("__k"))
-    weights = counts.crossJoin(F.broadcast(total)).select(
+    weights = with_one_row(counts, total).select(
         col(label), (F.col("__n") / (F.col("__k") * F.col("__nc"))).alias(out)
     )
     return df.join(weights, label)

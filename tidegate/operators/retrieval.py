@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from ..functions.scalar import bigrams, blank_to_null, col, tokens
 from ..functions.vectors import dot
 from ..session import cut
+from .onerow import scalar, with_one_row
 from .ranking import top_k
 from .sets import merge_candidates
 
@@ -62,18 +63,18 @@ def build_bm25(docs: DataFrame, ident: str, text: str) -> TextIndex:
     """
     postings = cut(_postings(docs.withColumn("__text", col(text)), ident, tokens(F.col("__text"))))
     lengths = postings.groupBy("id", "doc_len").agg(F.lit(1).alias("one"))
-    corpus = docs.agg(F.count(F.lit(1)).alias("n_docs")).crossJoin(
-        F.broadcast(lengths.agg(F.sum("doc_len").alias("n_tokens")))
+    corpus = with_one_row(
+        docs.agg(F.count(F.lit(1)).alias("n_docs")), lengths.agg(F.sum("doc_len").alias("n_tokens"))
     ).withColumn("avg_len", F.col("n_tokens") / F.col("n_docs"))
     counted = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    n = F.col("n_docs")
-    raw = counted.crossJoin(F.broadcast(corpus.select("n_docs"))).select(
+    n = scalar(corpus, "n_docs")
+    raw = counted.select(
         "term", "df", (F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw_idf")
     )
-    mean = raw.agg(F.avg("raw_idf").alias("mean_idf"))
-    terms = raw.crossJoin(F.broadcast(mean)).select(
+    mean = scalar(raw.agg(F.avg("raw_idf").alias("mean_idf")), "mean_idf")
+    terms = raw.select(
         "term", "df",
-        F.when(F.col("raw_idf") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw_idf")).alias("idf"),
+        F.when(F.col("raw_idf") < 0, EPSILON * mean).otherwise(F.col("raw_idf")).alias("idf"),
     )
     return TextIndex(postings, terms, corpus)
 
@@ -109,11 +110,10 @@ def bm25_search(
     weighted = (
         query_terms(queries, query_id, tokens(col(text)))
         .join(index.terms, "term")
-        .crossJoin(F.broadcast(index.corpus.select("avg_len")))
-        .select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("w"), "avg_len")
+        .select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("w"))
     )
     tf = F.col("tf")
-    norm = tf + K1 * (1 - B + B * F.col("doc_len") / F.col("avg_len"))
+    norm = tf + K1 * (1 - B + B * F.col("doc_len") / scalar(index.corpus, "avg_len"))
     return _score(index.postings, weighted, F.col("w") * (tf * (K1 + 1) / norm), k)
 
 
@@ -155,9 +155,8 @@ def build_tfidf(
         .orderBy(F.col("cf").desc(), F.col("term"))
         .limit(max_features)
     )
-    terms = vocabulary.crossJoin(F.broadcast(corpus)).select(
-        "term", "df", (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf")
-    )
+    n = scalar(corpus, "n_docs")
+    terms = vocabulary.select("term", "df", (F.log((1 + n) / (1 + F.col("df"))) + 1).alias("idf"))
     weighted = raw.join(F.broadcast(terms.select("term", "idf")), "term").withColumn(
         "w", F.col("tf") * F.col("idf")
     )

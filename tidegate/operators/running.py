@@ -12,7 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scalar import col
-from ..session import cut, shuffle_partitions
+from ..session import cut
+from .onerow import join_groups
 
 _PART = "__part"
 
@@ -31,7 +32,6 @@ def running(
     a partition, so give a total order where their sequence matters.
     """
     sums, lasts = sums or {}, lasts or {}
-    n = partitions or shuffle_partitions(df.sparkSession)
     by_cols = [col(b) for b in by]
     order_cols = [col(o) if isinstance(o, str) else o for o in order]
     staged = df
@@ -39,9 +39,13 @@ def running(
         staged = staged.withColumn(f"__s_{name}", value)
     for name, value in lasts.items():
         staged = staged.withColumn(f"__l_{name}", value)
-    ranged = cut(
-        staged.repartitionByRange(n, *by_cols, *order_cols).withColumn(_PART, F.spark_partition_id())
+    # Without a number, adaptive execution merges neighbouring ranges that are small.
+    keys = [*by_cols, *order_cols]
+    spread = (
+        staged.repartitionByRange(partitions, *keys) if partitions else staged.repartitionByRange(*keys)
     )
+    # Partition ids must not change between the passes below, so they are materialised.
+    ranged = cut(spread.withColumn(_PART, F.spark_partition_id()))
 
     key = F.struct(*order_cols) if lasts else None
     totals = ranged.groupBy(*by_cols, _PART).agg(
@@ -108,7 +112,7 @@ def hash_ranks(df: DataFrame, by: Sequence[str], hexa: str, ties: Sequence[str],
     Hashes spread evenly, so the prefix buckets balance even when one group has most rows, and
     the result is lazy and independent of partitioning.
     """
-    staged = df.withColumn("__bucket", F.substring(col(hexa), 1, 3))
+    staged = df.withColumn("__bucket", F.substring(col(hexa), 1, 4))
     counts = staged.groupBy(*[col(b) for b in by], "__bucket").agg(F.count(F.lit(1)).alias("__n"))
     before = (
         Window.partitionBy(*([col(b) for b in by] or [F.lit(0)]))
@@ -149,11 +153,7 @@ def exact_percentiles(
     sizes = hist.groupBy(*[col(b).alias(f"__g{i}") for i, b in enumerate(by)]).agg(
         F.sum("__c").alias("__n")
     )
-    condition = F.lit(True)
-    for i, b in enumerate(by):
-        condition = condition & col(b).eqNullSafe(F.col(f"__g{i}"))
-    # Without grouping columns ``sizes`` is one row.
-    joined = cum.join(sizes, condition) if by else cum.crossJoin(F.broadcast(sizes))
+    joined = join_groups(cum, sizes, {b: f"__g{i}" for i, b in enumerate(by)})
 
     def at(position: Column) -> Column:
         hit = (F.col("__cum") > position) & (F.col("__cum") - F.col("__c") <= position)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.scalar import bigrams, col, contains_any, first_match, ngrams, ratio, words
 from .joins import asof_before
+from .onerow import with_one_row
 from .running import exact_percentiles
 
 Lexicon = dict[str, Sequence[str]]
@@ -30,8 +31,7 @@ def text_stats(df: DataFrame, text: str, short: int = 30) -> DataFrame:
         F.avg((F.col("n_words") == 0).cast("double")).alias("empty_rate"),
     )
     for c in ("chars", "n_words"):
-        median = exact_percentiles(sized, [], c, {f"{c}_median": 0.5})
-        one = one.crossJoin(F.broadcast(median))
+        one = with_one_row(one, exact_percentiles(sized, [], c, {f"{c}_median": 0.5}))
     return one
 
 
@@ -51,10 +51,11 @@ def diversity(df: DataFrame, text: str) -> DataFrame:
         (F.size(F.array_distinct(pairs)) / F.greatest(F.size(pairs), F.lit(1))).alias("d2")
     )
     tokens = _distinct_share(df.select(F.explode(found).alias("__t")), [], "__t")
-    return tokens.select(
+    shares = tokens.select(
         "n_items", "n_distinct",
         (F.col("n_distinct") / F.greatest(F.col("n_items"), F.lit(1))).alias("type_token_ratio"),
-    ).crossJoin(F.broadcast(per_text.agg(F.avg("d2").alias("mean_distinct_2"))))
+    )
+    return with_one_row(shares, per_text.agg(F.avg("d2").alias("mean_distinct_2")))
 
 
 def entity_diversity(df: DataFrame, text: str, by: str, order: Sequence[str]) -> DataFrame:
@@ -146,7 +147,7 @@ def agreement(
         (F.sum(F.when(committed & (F.col("truth") == F.col("said")), F.col("n")).otherwise(0))
          / F.nullif(F.sum(F.when(committed, F.col("n")).otherwise(0)), F.lit(0))).alias("accuracy")
     )
-    return counts.crossJoin(F.broadcast(total))
+    return with_one_row(counts, total)
 
 
 def flag_agreement(df: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame:

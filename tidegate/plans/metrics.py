@@ -171,19 +171,19 @@ boot AS (SELECT p.model, d.b, p.label, p.score FROM draws d JOIN ids USING (rn)
 
 
 @reg.query("bootstrap_ci", f"""
-WITH {P}, {draws_sql(200, 0)}, {RANKED.format(by="model, b", src="boot")}
+WITH {P}, {draws_sql(1000, 0)}, {RANKED.format(by="model, b", src="boot")}
 SELECT model, count(auroc) AS n_valid,
   round(quantile_cont(auroc, 0.025), 6) AS auroc_lo, round(quantile_cont(auroc, 0.975), 6) AS auroc_hi,
   round(quantile_cont(average_precision, 0.025), 6) AS average_precision_lo,
   round(quantile_cont(average_precision, 0.975), 6) AS average_precision_hi
 FROM ranking GROUP BY model""")
 def _(t: Tables):
-    out = bootstrap.bootstrap_ci(frames.predictions(t), ["model"], replicates=200)
+    out = bootstrap.bootstrap_ci(frames.predictions(t), ["model"], replicates=1000)
     return rounded(out, *[c for c in out.columns if c not in ("model", "n_valid")])
 
 
 @reg.query("paired_bootstrap", f"""
-WITH {P}, {draws_sql(200, 42)}, {RANKED.format(by="model, b", src="boot")},
+WITH {P}, {draws_sql(1000, 42)}, {RANKED.format(by="model, b", src="boot")},
 kb AS (SELECT model, b, {COUNTS.format(said="score >= 0.5")} FROM boot GROUP BY model, b),
 mb AS (SELECT r.model, r.b, r.auroc, CASE WHEN r.auroc IS NOT NULL THEN {MACRO_F1} END AS macro_f1
   FROM ranking r JOIN kb USING (model, b)),
@@ -202,7 +202,7 @@ SELECT s.model_a, s.model_b,
   round(delta_{m}_lo, 6) AS delta_{m}_lo, round(delta_{m}_hi, 6) AS delta_{m}_hi, round(p_{m}, 6) AS p_{m}''' for m in ("auroc", "macro_f1"))}
 FROM spread s JOIN o a ON a.model = s.model_a JOIN o b ON b.model = s.model_b""")
 def _(t: Tables):
-    out = bootstrap.paired_bootstrap(frames.predictions(t), replicates=200)
+    out = bootstrap.paired_bootstrap(frames.predictions(t), replicates=1000)
     return rounded(out, *[c for c in out.columns if not c.startswith("model")])
 
 
