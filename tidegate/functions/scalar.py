@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, functions as F
@@ -85,6 +85,11 @@ def whole_number_text(value: Column) -> Column:
     return F.when(value == F.floor(value), text(value.cast("bigint"))).otherwise(text(value))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), lambda v: body(v)), 1)
+
+
 def tokens(value: Column) -> Column:
     """Lower-cased white-space tokens, empties dropped."""
     parts = F.split(F.lower(F.coalesce(value, F.lit(""))), WHITESPACE)

@@ -59,10 +59,13 @@ def bootstrap_metrics(
     ).join(ids, ident).drop(ident)
     rows = draw_numbers(preds.sparkSession, ids.count(), replicates, seed).join(slim, "__rn")
     by = [*model, "b"]
-    ranking = ranking_from_histogram(score_histogram(rows, by, label, score), by)
-    counts = rows.groupBy(*[col(b) for b in by]).agg(*confusion(col(label), col(second) >= tau))
-    derived = derive_threshold_metrics(counts).drop("tp", "fp", "tn", "fn")
-    both = ranking.join(derived, by)
+    hist = score_histogram(rows, by, label, score)
+    if second == score:
+        both = derive_threshold_metrics(ranking_from_histogram(hist, by, tau))
+    else:
+        counts = rows.groupBy(*[col(b) for b in by]).agg(*confusion(col(label), col(second) >= tau))
+        both = ranking_from_histogram(hist, by).join(derive_threshold_metrics(counts), by)
+    both = both.drop("tp", "fp", "tn", "fn")
     ok = (F.col("n_pos") > 0) & (F.col("n_neg") > 0)
     metrics = [c for c in both.columns if c not in (*by, "n_pos", "n_neg")]
     return both.select(*[col(b) for b in by], *[F.when(ok, F.col(m)).alias(m) for m in metrics])

@@ -30,8 +30,13 @@ def score_histogram(
     )
 
 
-def ranking_from_histogram(hist: DataFrame, by: Sequence[str]) -> DataFrame:
-    """AUROC with mid-ranks and step-wise average precision; null with one class only."""
+def ranking_from_histogram(
+    hist: DataFrame, by: Sequence[str], tau: float | None = None
+) -> DataFrame:
+    """AUROC with mid-ranks and step-wise average precision; null with one class only.
+
+    With ``tau`` the confusion counts at that threshold come along from the same pass.
+    """
     # From the highest score down, so that one pass gives both and no group total is needed.
     cum = running(
         hist, by, [F.col("__score").desc()],
@@ -42,11 +47,17 @@ def ranking_from_histogram(hist: DataFrame, by: Sequence[str]) -> DataFrame:
     steps = F.when(F.col("pos") > 0, F.col("pos") * precision).otherwise(0.0)
     n_pos, n_neg = F.sum("pos"), F.sum("neg")
     both = (n_pos > 0) & (n_neg > 0)
+    counts = []
+    if tau is not None:
+        tp = F.sum(F.when(F.col("__score") >= tau, F.col("pos")).otherwise(0))
+        fp = F.sum(F.when(F.col("__score") >= tau, F.col("neg")).otherwise(0))
+        counts = [tp.alias("tp"), fp.alias("fp"), (n_neg - fp).alias("tn"), (n_pos - tp).alias("fn")]
     return cum.groupBy(*[col(b) for b in by]).agg(
         n_pos.alias("n_pos"),
         n_neg.alias("n_neg"),
         F.when(both, F.sum(wins) / n_pos / n_neg).alias("auroc"),
         F.when(both, F.sum(steps) / n_pos).alias("average_precision"),
+        *counts,
     )
 
 

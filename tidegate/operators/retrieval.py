@@ -11,7 +11,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from ..functions.scalar import bigrams, blank_to_null, col, tokens
+from ..functions.scalar import bigrams, blank_to_null, col, let, tokens
 from ..functions.vectors import dot
 from ..session import cut
 from .onerow import scalar, with_one_row
@@ -26,7 +26,7 @@ WORD = r"([\p{L}\p{N}_]{2,})"
 
 @dataclass(frozen=True)
 class TextIndex:
-    """Postings ``(id, term, tf, doc_len)`` held together per document, plus statistics."""
+    """Postings ``(id, term, tf, doc_len)`` with term and corpus statistics."""
 
     postings: DataFrame
     terms: DataFrame
@@ -42,15 +42,16 @@ class TextIndex:
 
 
 def _postings(docs: DataFrame, ident: str, items: Column) -> DataFrame:
-    """One shuffle of the documents by id; counting terms and all later per-document sums
-    reuse that partitioning."""
+    """Documents are spread by id before tokenising, which also serves the count per document."""
     tokenised = (
         docs.select(col(ident).alias("id"), col("__text"))
         .repartition(F.col("id"))
         .select("id", items.alias("__items"))
+        # The length is taken before the explode, so rows do not carry the whole array.
+        .select("id", F.size("__items").alias("doc_len"), "__items")
     )
     return (
-        tokenised.select("id", F.size("__items").alias("doc_len"), F.explode("__items").alias("term"))
+        tokenised.select("id", "doc_len", F.explode("__items").alias("term"))
         .groupBy("id", "doc_len", "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
@@ -90,9 +91,9 @@ def query_terms(queries: DataFrame, query_id: str, items: Column) -> DataFrame:
 def _score(postings: DataFrame, weighted: DataFrame, contribution: Column, k: int) -> DataFrame:
     """Join on term, add up per (query, document), keep k.
 
-    When the query terms are small enough for Spark to broadcast, postings keep their
-    partitioning by document: sums and the per-partition top-k need no shuffle, and only k rows
-    per query and partition travel. Larger query tables use a shuffled join with skew handling.
+    Catalyst broadcasts the query terms when they are small: postings then stay in place and
+    only partial sums travel, and of these k rows per query and partition reach the ranking.
+    Larger query tables use a shuffled join with skew handling for frequent terms.
     """
     scored = (
         postings.join(weighted, "term")
@@ -123,7 +124,7 @@ def terms_with_bigrams(text: Column, stop: Sequence[str]) -> Column:
     if stop:
         words = F.array(*[F.lit(w) for w in stop])
         found = F.filter(found, lambda t: ~F.array_contains(words, t))
-    return F.concat(found, bigrams(found))
+    return let(found, lambda w: F.concat(w, bigrams(w)))
 
 
 def english_stop_words() -> list[str]:

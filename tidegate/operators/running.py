@@ -25,9 +25,12 @@ def running(
     sums: dict[str, Column] | None = None,
     lasts: dict[str, Column] | None = None,
     partitions: int | None = None,
+    previous: bool = False,
 ) -> DataFrame:
     """Inclusive running sums and last non-null values per group, in ``order``.
 
+    With ``previous`` the last values come from earlier rows only.
+
     ``lasts`` needs ascending order columns given by name. Rows with equal order keys share
     a partition, so give a total order where their sequence matters.
     """
@@ -80,11 +83,12 @@ def running(
         .orderBy(*order_cols)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
+    upto = here.rowsBetween(Window.unboundedPreceding, -1) if previous else here
     local = ranged.select(
         *[col(c) for c in df.columns],
         _PART,
         *[F.sum(f"__s_{s}").over(here).alias(f"__r_{s}") for s in sums],
-        *[F.last(f"__l_{v}", ignorenulls=True).over(here).alias(f"__q_{v}") for v in lasts],
+        *[F.last(f"__l_{v}", ignorenulls=True).over(upto).alias(f"__q_{v}") for v in lasts],
     )
     condition = F.col(_PART) == F.col("__kp")
     for i, b in enumerate(by):
@@ -137,21 +141,24 @@ def hash_ranks(df: DataFrame, by: Sequence[str], hexa: str, ties: Sequence[str],
 
 
 def exact_percentiles(
-    df: DataFrame, by: Sequence[str], value: str, points: dict[str, float]
+    df: DataFrame, by: Sequence[str], value: str, points: dict[str, float],
+    weight: Column | None = None,
 ) -> DataFrame:
     """Exact linear-interpolation percentiles per group, one column per entry of ``points``.
 
     Works on the histogram of distinct values with running counts, so no group is collected.
+    ``weight`` gives the number of times a row counts.
     """
     v = col(value)
+    w = F.lit(1).cast("bigint") if weight is None else weight
     hist = (
         df.where(v.isNotNull() & ~F.isnan(v.cast("double")))
         .groupBy(*[col(b) for b in by], v.cast("double").alias("__v"))
-        .agg(F.count(F.lit(1)).alias("__c"))
+        .agg(F.sum(w).alias("__c"))
     )
     cum = running(hist, by, ["__v"], sums={"__cum": F.col("__c")})
-    sizes = hist.groupBy(*[col(b).alias(f"__g{i}") for i, b in enumerate(by)]).agg(
-        F.sum("__c").alias("__n")
+    sizes = cum.groupBy(*[col(b).alias(f"__g{i}") for i, b in enumerate(by)]).agg(
+        F.max("__cum").alias("__n")
     )
     joined = join_groups(cum, sizes, {b: f"__g{i}" for i, b in enumerate(by)})
 

@@ -8,30 +8,39 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.scalar import bigrams, col, contains_any, first_match, ngrams, ratio, words
-from .joins import asof_before
+from ..session import cut
 from .onerow import with_one_row
-from .running import exact_percentiles
+from .running import exact_percentiles, running
 
 Lexicon = dict[str, Sequence[str]]
 
 
 def text_stats(df: DataFrame, text: str, short: int = 30) -> DataFrame:
     """Characters and words per text (mean, median, extremes), share of short and empty texts."""
-    sized = df.select(
-        F.length(F.coalesce(col(text), F.lit(""))).alias("chars"), F.size(words(col(text))).alias("n_words")
+    # The texts are read once; all figures come from the counts of (characters, words).
+    sized = cut(
+        df.select(
+            F.length(F.coalesce(col(text), F.lit(""))).alias("chars"),
+            F.size(words(col(text))).alias("n_words"),
+        )
+        .groupBy("chars", "n_words")
+        .agg(F.count(F.lit(1)).alias("__c"))
     )
+    n, count = F.sum("__c"), F.col("__c")
     one = sized.agg(
-        F.count(F.lit(1)).alias("n"),
+        n.alias("n"),
         *[
-            f(c).alias(f"{c}_{name}")
+            f.alias(f"{c}_{name}")
             for c in ("chars", "n_words")
-            for name, f in (("mean", F.avg), ("min", F.min), ("max", F.max))
+            for name, f in (
+                ("mean", F.sum(F.col(c) * count) / n), ("min", F.min(c)), ("max", F.max(c)),
+            )
         ],
-        F.avg((F.col("n_words") < short).cast("double")).alias("short_rate"),
-        F.avg((F.col("n_words") == 0).cast("double")).alias("empty_rate"),
+        (F.sum(F.when(F.col("n_words") < short, count).otherwise(0)) / n).alias("short_rate"),
+        (F.sum(F.when(F.col("n_words") == 0, count).otherwise(0)) / n).alias("empty_rate"),
     )
     for c in ("chars", "n_words"):
-        one = with_one_row(one, exact_percentiles(sized, [], c, {f"{c}_median": 0.5}))
+        one = with_one_row(one, exact_percentiles(sized, [], c, {f"{c}_median": 0.5}, count))
     return one
 
 
@@ -65,19 +74,19 @@ def entity_diversity(df: DataFrame, text: str, by: str, order: Sequence[str]) ->
     forward, so the texts of an entity are never brought together.
     """
     rows = df.select(
-        col(by).alias("__by"), F.struct(*[col(o) for o in order]).alias("__o"),
+        col(by).alias("__by"), *[col(o).alias(f"__o{i}") for i, o in enumerate(order)],
         words(col(text)).alias("__w"),
-    ).where(F.size("__w") > 0)
+    )
+    line = [f"__o{i}" for i in range(len(order))]
     ends = rows.select(
-        "__by", "__o", F.to_json("__o").alias("__id"),
-        F.element_at("__w", 1).alias("__first"), F.element_at("__w", -1).alias("__last"),
+        "__by", *line, F.get("__w", F.lit(0)).alias("__first"),
+        F.try_element_at("__w", F.lit(-1)).alias("__last"),
     )
-    spans = asof_before(
-        ends.select("__by", "__o", "__id", "__first"), ends.select("__by", "__o", "__id", "__last"),
-        ["__by"], "__o", "__o", "__id", "__id", ["__last"],
-    ).where("__last is not null")
+    spans = running(
+        ends, ["__by"], line, lasts={"__before": F.col("__last")}, previous=True
+    ).where("__before is not null and __first is not null")
     inside = rows.select("__by", F.explode(bigrams(F.col("__w"))).alias("__b"))
-    across = spans.select("__by", F.concat_ws(" ", "__last", "__first").alias("__b"))
+    across = spans.select("__by", F.concat_ws(" ", "__before", "__first").alias("__b"))
     shares = _distinct_share(inside.unionByName(across), ["__by"], "__b")
     entities = df.select(col(by).alias("__by")).distinct()
     return entities.join(shares, "__by", "left").select(

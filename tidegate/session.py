@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, types as T
 
 
 def build_session(app: str = "tidegate", master: str | None = None, **conf: object) -> SparkSession:
@@ -24,21 +25,27 @@ def build_session(app: str = "tidegate", master: str | None = None, **conf: obje
     return builder.getOrCreate()
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder named in ``spark.checkpoint.dir``; invent one only on a local master."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        shared = tempfile.mkdtemp(prefix="tidegate-ckpt-")
-    sc.setCheckpointDir(shared)
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named in ``spark.checkpoint.dir``; invented only on a local master."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+    named = tempfile.mkdtemp(prefix="tidegate-")
+    spark.sparkContext.setCheckpointDir(named)
+    return named
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and drop its lineage."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
+    """Write ``df`` once to the shared folder and read it back: the lineage ends there.
+
+    A parquet table rather than an RDD checkpoint: later passes read only the columns they
+    need, and Catalyst knows its size. Positional names allow any column name.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/tidegate-{uuid.uuid4().hex}"
+    short = [f"c{i}" for i in range(len(df.columns))]
+    df.toDF(*short).write.parquet(path)
+    schema = T.StructType([T.StructField(s, f.dataType) for s, f in zip(short, df.schema.fields)])
+    return spark.read.schema(schema).parquet(path).toDF(*df.columns)
