@@ -31,7 +31,8 @@ def violations(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
 
 def expect(df: DataFrame, rules: dict[str, Column], unique: Sequence[str] = ()) -> DataFrame:
     """Return ``df`` unchanged, or raise with a count per broken rule."""
-    broken = {r["rule"]: r["n_violations"] for r in violations(df, rules).collect() if r["n_violations"]}
+    counted = violations(df, rules).collect() if rules else []
+    broken = {r["rule"]: r["n_violations"] for r in counted if r["n_violations"]}
     if unique:
         twice = (
             df.groupBy(*[col(u) for u in unique]).agg(F.count(F.lit(1)).alias("n")).where("n > 1")

@@ -145,10 +145,9 @@ def mask_cells(df: DataFrame, cols: Sequence[str], point: str, op: str) -> DataF
 
 def cap_count(df: DataFrame, n: str, start: str, length: str, point: str) -> DataFrame:
     """Cycles that can have finished by the landmark; untouched when anything is unknown."""
-    # try_divide gives null at length 0, the guard below keeps such rows untouched.
-    fits = F.greatest(
-        F.lit(0.0), F.floor(F.try_divide(col(point) - col(start), col(length))).cast("double")
-    )
+    # try_divide gives null at length 0; greatest would turn a null into 0, so that is guarded.
+    whole = F.floor(F.try_divide(col(point) - col(start), col(length))).cast("double")
+    fits = F.when(whole.isNotNull(), F.greatest(F.lit(0.0), whole))
     over = F.coalesce((col(length) > 0) & (col(n) > fits), F.lit(False))
     return df.withColumn(n, F.when(over, fits).otherwise(col(n).cast("double")))
 
