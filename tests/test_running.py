@@ -121,3 +121,14 @@ def test_asof_matches_brute_force(spark, strict):
     for lid, k, lt in left:
         fit = [(rt, rid, v) for rid, rk, rt, v in right if rk == k and (rt < lt or (not strict and rt == lt))]
         assert found[lid] == (max(fit)[2] if fit else None)
+
+
+@pytest.mark.parametrize("partitions", [1, 9])
+def test_group_totals(spark, partitions):
+    data = hot_rows()
+    df = spark.createDataFrame(data, SCHEMA)
+    got = running(df, ["k"], ["i"], sums={"s": F.col("i")}, totals={"all": "s"}, partitions=partitions)
+    sums = {}
+    for k, i, _, _ in data:
+        sums[k] = sums.get(k, 0) + i
+    assert all(r["all"] == sums[r["k"]] for r in got.collect())

@@ -13,6 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scalar import col, logit, ratio, sigmoid
+from ..session import cut
 from .logistic import fit_logistic
 from .running import running
 
@@ -229,7 +230,8 @@ def tuned_report(
     default: float = 0.5, label: str = LABEL, score: str = SCORE,
 ) -> DataFrame:
     """Test metrics at the default and at the validation-tuned threshold, with the change."""
-    tau = tune_threshold(valid, by, grid, True, label, score)
+    # Written out, so that Catalyst sees its size when it picks the join with the test rows.
+    tau = cut(tune_threshold(valid, by, grid, True, label, score))
     joined = test.join(tau, list(by))
     keys = [*by, "tau_star", "valid_f1"]
     shown = ("macro_f1", "accuracy", "sensitivity", "specificity", "mcc")
@@ -256,7 +258,7 @@ def platt(
         *[col(b) for b in by], logit(col(score)).alias("__x"), col(label).alias("__y")
     )
     fitted = fit_logistic(points, by, "__x", "__y", l2=1.0 / c, iterations=iterations)
-    params = fitted.select(*[col(b) for b in by], "intercept", "slope")
+    params = cut(fitted.select(*[col(b) for b in by], "intercept", "slope"))
     z = F.col("intercept") + F.col("slope") * logit(col(score))
     return (
         test.join(params, list(by))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.scalar import col
 from ..functions.tails import chi2_p, normal_p
+from ..session import cut
 from .aggregates import long_form
 from .logistic import fit_logistic
 from .onerow import with_one_row
@@ -197,12 +198,13 @@ def univariate_or(
     Missing values take the median, constant features are dropped, all fits run together.
     """
     rows = long_form(df, [label], features, "feature", "x", "double")
-    medians = exact_percentiles(rows, ["feature"], "x", {"median": 0.5})
+    # One row per feature each, written out so that Catalyst sees how small they are.
+    medians = cut(exact_percentiles(rows, ["feature"], "x", {"median": 0.5}))
     filled = rows.join(medians, "feature").select(
         "feature", F.coalesce("x", "median").alias("x"), col(label).alias("y")
     )
-    moments = filled.groupBy("feature").agg(
-        F.avg("x").alias("mu"), F.stddev_pop("x").alias("sd")
+    moments = cut(
+        filled.groupBy("feature").agg(F.avg("x").alias("mu"), F.stddev_pop("x").alias("sd"))
     ).where("sd >= 1e-8")
     scaled = filled.join(moments, "feature").select(
         "feature", ((F.col("x") - F.col("mu")) / F.col("sd")).alias("x"), "y"

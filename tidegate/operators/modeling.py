@@ -15,6 +15,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.scalar import col
+from ..session import cut
 from .aggregates import long_form
 from .evaluation import evaluate, platt, pool_oof
 from .onerow import with_one_row
@@ -157,8 +158,12 @@ def fit_pca(train: DataFrame, vec: str, k: int, out: str = "pca") -> Callable[[D
 
 
 def class_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
-    """Inverse-frequency weights n / (k * n_class), joined from the per-class counts."""
-    counts = df.groupBy(col(label)).agg(F.count(F.lit(1)).alias("__nc"))
+    """Inverse-frequency weights n / (k * n_class).
+
+    The per-class counts are written out: Catalyst sees their size and does not shuffle the
+    rows by a label that half of them share.
+    """
+    counts = cut(df.groupBy(col(label)).agg(F.count(F.lit(1)).alias("__nc")))
     total = counts.agg(F.sum("__nc").alias("__n"), F.count(F.lit(1)).alias("__k"))
     weights = with_one_row(counts, total).select(
         col(label), (F.col("__n") / (F.col("__k") * F.col("__nc"))).alias(out)

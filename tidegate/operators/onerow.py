@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame
 
 from ..functions.scalar import col
 
@@ -14,16 +14,3 @@ def scalar(one: DataFrame, name: str) -> Column:
 
 def with_one_row(df: DataFrame, one: DataFrame) -> DataFrame:
     return df.withColumns({c: scalar(one, c) for c in one.columns})
-
-
-def join_groups(left: DataFrame, right: DataFrame, keys: dict[str, str]) -> DataFrame:
-    """Inner join of rows to their group's row, null keys matching; ``keys`` maps left to right.
-
-    Without keys ``right`` is a single row.
-    """
-    if not keys:
-        return with_one_row(left, right)
-    condition = F.lit(True)
-    for mine, theirs in keys.items():
-        condition = condition & col(mine).eqNullSafe(col(theirs))
-    return left.join(right, condition)

@@ -2,7 +2,7 @@
 
 A plain window sends every row of a group to one task. Here rows are range-partitioned by
 (group, order), each partition is scanned on its own, and what earlier partitions of the
-same group add is carried in from a table with at most one row per partition boundary.
+same group add is carried in from a table of a few rows per partition boundary.
 """
 
 from __future__ import annotations
@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scalar import col
 from ..session import cut
-from .onerow import join_groups
 
 _PART = "__part"
 
@@ -24,17 +23,18 @@ def running(
     order: Sequence[str | Column],
     sums: dict[str, Column] | None = None,
     lasts: dict[str, Column] | None = None,
+    totals: dict[str, str] | None = None,
     partitions: int | None = None,
     previous: bool = False,
 ) -> DataFrame:
     """Inclusive running sums and last non-null values per group, in ``order``.
 
-    With ``previous`` the last values come from earlier rows only.
-
-    ``lasts`` needs ascending order columns given by name. Rows with equal order keys share
-    a partition, so give a total order where their sequence matters.
+    ``totals`` adds columns with the whole group's value of a running sum. With ``previous``
+    the last values come from earlier rows only. ``lasts`` needs ascending order columns given
+    by name. Rows with equal order keys share a partition, so give a total order where their
+    sequence matters.
     """
-    sums, lasts = sums or {}, lasts or {}
+    sums, lasts, totals = sums or {}, lasts or {}, totals or {}
     by_cols = [col(b) for b in by]
     order_cols = [col(o) if isinstance(o, str) else o for o in order]
     staged = df
@@ -51,7 +51,7 @@ def running(
     ranged = cut(spread.withColumn(_PART, F.spark_partition_id()))
 
     key = F.struct(*order_cols) if lasts else None
-    totals = ranged.groupBy(*by_cols, _PART).agg(
+    pieces = ranged.groupBy(*by_cols, _PART).agg(
         *[F.sum(f"__s_{s}").alias(f"__s_{s}") for s in sums],
         *[
             F.max_by(
@@ -60,34 +60,31 @@ def running(
             for name in lasts
         ],
     )
-    # One row per (group, partition) pair: at most one group crosses each partition boundary,
-    # so fewer rows than partitions have a predecessor.
-    before = (
-        Window.partitionBy(*(by_cols or [F.lit(0)]))
-        .orderBy(_PART)
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
+    # A group has one piece per partition it reaches. At most one group crosses each partition
+    # boundary, so the groups with several pieces have fewer than two pieces per boundary: this
+    # bounds the carry table by twice the number of partitions, and it is broadcast.
+    group = Window.partitionBy(*(by_cols or [F.lit(0)]))
+    before = group.orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
     carry = (
-        totals.select(
+        pieces.select(
             *[col(b).alias(f"__k{i}") for i, b in enumerate(by)],
             F.col(_PART).alias("__kp"),
-            F.count(F.lit(1)).over(before).alias("__seen"),
+            F.count(F.lit(1)).over(group).alias("__pieces"),
             *[F.sum(f"__s_{s}").over(before).alias(f"__c_{s}") for s in sums],
+            *[F.sum(f"__s_{s}").over(group).alias(f"__t_{t}") for t, s in totals.items()],
             *[F.last(f"__l_{v}", ignorenulls=True).over(before).alias(f"__d_{v}") for v in lasts],
         )
-        .where("__seen > 0")
-        .drop("__seen")
-    )
-    here = (
-        Window.partitionBy(_PART, *by_cols)
-        .orderBy(*order_cols)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        .where("__pieces > 1")
+        .drop("__pieces")
     )
+    piece = Window.partitionBy(_PART, *by_cols)
+    here = piece.orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     upto = here.rowsBetween(Window.unboundedPreceding, -1) if previous else here
     local = ranged.select(
         *[col(c) for c in df.columns],
         _PART,
         *[F.sum(f"__s_{s}").over(here).alias(f"__r_{s}") for s in sums],
+        *[F.sum(f"__s_{s}").over(piece).alias(f"__w_{t}") for t, s in totals.items()],
         *[F.last(f"__l_{v}", ignorenulls=True).over(upto).alias(f"__q_{v}") for v in lasts],
     )
     condition = F.col(_PART) == F.col("__kp")
@@ -99,6 +96,7 @@ def running(
         *[
             (F.col(f"__r_{s}") + F.coalesce(F.col(f"__c_{s}"), F.lit(0))).alias(s) for s in sums
         ],
+        *[F.coalesce(F.col(f"__t_{t}"), F.col(f"__w_{t}")).alias(t) for t in totals],
         *[F.coalesce(F.col(f"__q_{v}"), F.col(f"__d_{v}")).alias(v) for v in lasts],
     )
 
@@ -110,23 +108,24 @@ def row_numbers(
     return running(df, by, order, sums={name: F.lit(1).cast("bigint")})
 
 
-def hash_ranks(df: DataFrame, by: Sequence[str], hexa: str, ties: Sequence[str], name: str) -> DataFrame:
+def hash_ranks(
+    df: DataFrame, by: Sequence[str], hexa: str, ties: Sequence[str], name: str,
+    size: str | None = None,
+) -> DataFrame:
     """Row numbers by a uniform hex hash: cut each group by hash prefix, rank inside, add offsets.
 
     Hashes spread evenly, so the prefix buckets balance even when one group has most rows, and
-    the result is lazy and independent of partitioning.
+    the result is lazy and independent of partitioning. ``size`` adds the group's row count.
     """
     staged = df.withColumn("__bucket", F.substring(col(hexa), 1, 4))
     counts = staged.groupBy(*[col(b) for b in by], "__bucket").agg(F.count(F.lit(1)).alias("__n"))
-    before = (
-        Window.partitionBy(*([col(b) for b in by] or [F.lit(0)]))
-        .orderBy("__bucket")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
+    group = Window.partitionBy(*([col(b) for b in by] or [F.lit(0)]))
+    before = group.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
         *[col(b).alias(f"__k{i}") for i, b in enumerate(by)],
         F.col("__bucket").alias("__kb"),
         F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"),
+        F.sum("__n").over(group).alias("__size"),
     )
     here = Window.partitionBy(*[col(b) for b in by], "__bucket").orderBy(
         col(hexa), *[col(t) for t in ties]
@@ -136,7 +135,9 @@ def hash_ranks(df: DataFrame, by: Sequence[str], hexa: str, ties: Sequence[str],
     for i, b in enumerate(by):
         condition = condition & col(b).eqNullSafe(F.col(f"__k{i}"))
     return ranked.join(offsets, condition).select(
-        *[col(c) for c in df.columns], (F.col("__rank") + F.col("__offset")).alias(name)
+        *[col(c) for c in df.columns],
+        (F.col("__rank") + F.col("__offset")).alias(name),
+        *([F.col("__size").alias(size)] if size else []),
     )
 
 
@@ -156,11 +157,9 @@ def exact_percentiles(
         .groupBy(*[col(b) for b in by], v.cast("double").alias("__v"))
         .agg(F.sum(w).alias("__c"))
     )
-    cum = running(hist, by, ["__v"], sums={"__cum": F.col("__c")})
-    sizes = cum.groupBy(*[col(b).alias(f"__g{i}") for i, b in enumerate(by)]).agg(
-        F.max("__cum").alias("__n")
+    joined = running(
+        hist, by, ["__v"], sums={"__cum": F.col("__c")}, totals={"__n": "__cum"}
     )
-    joined = join_groups(cum, sizes, {b: f"__g{i}" for i, b in enumerate(by)})
 
     def at(position: Column) -> Column:
         hit = (F.col("__cum") > position) & (F.col("__cum") - F.col("__c") <= position)

@@ -13,15 +13,9 @@ from .sets import assert_same_keys
 
 
 def _with_rank(df: DataFrame, ident: str, by: Sequence[str], hexa: Column) -> DataFrame:
-    keyed = df.withColumn("__hex", hexa)
-    ranked = hash_ranks(keyed, by, "__hex", [ident], "__rank")
-    sizes = keyed.groupBy(*[col(b).alias(f"__z{i}") for i, b in enumerate(by)]).agg(
-        F.count(F.lit(1)).alias("__size")
-    )
-    condition = F.lit(True)
-    for i, b in enumerate(by):
-        condition = condition & col(b).eqNullSafe(F.col(f"__z{i}"))
-    return ranked.join(sizes, condition)
+    return hash_ranks(
+        df.withColumn("__hex", hexa), by, "__hex", [ident], "__rank", size="__size"
+    ).drop("__hex")
 
 
 def stratified_split(
@@ -35,9 +29,7 @@ def stratified_split(
     for name, w in weights[:-1]:
         total += w
         cases.append((F.col("__rank") <= F.round(F.col("__size") * round(total, 10)), F.lit(name)))
-    return ranked.withColumn("split", first_match(cases, weights[-1][0])).drop(
-        "__hex", "__rank", "__size", "__z0"
-    )
+    return ranked.withColumn("split", first_match(cases, weights[-1][0])).drop("__rank", "__size")
 
 
 def apply_frozen(
@@ -60,7 +52,7 @@ def stratified_folds(
     """
     dealt = _with_rank(df, ident, [label], hash_hex(str(seed), col(ident))).withColumn(
         "test_fold", F.pmod(F.col("__rank") - 1, F.lit(k)).cast("int")
-    ).drop("__hex", "__rank", "__size", "__z0")
+    ).drop("__rank", "__size")
     folds = dealt.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
     rest = folds.where("fold <> test_fold")
     carved = _with_rank(
@@ -69,7 +61,7 @@ def stratified_folds(
     quota = F.greatest(F.lit(1), F.bround(F.col("__size") * valid_frac))
     carved = carved.withColumn(
         "split", F.when(F.col("__rank") <= quota, "Validation").otherwise("Train")
-    ).drop("__hex", "__rank", "__size", "__z0", "__z1")
+    ).drop("__rank", "__size")
     tested = folds.where("fold = test_fold").withColumn("split", F.lit("Test"))
     return carved.unionByName(tested).drop("test_fold")
 
