@@ -305,7 +305,7 @@ def search(
 
     Each trial is a distributed fit; the loop runs over trials and never over rows.
     """
-    train, valid = train.persist(), valid.persist()
+    train, valid = cut(train), cut(valid)
     rows, best = [], None
     for i, params in enumerate(draw_params(space, trials, seed)):
         scorer = make(**params)(train, valid)
@@ -326,7 +326,7 @@ def cross_validate(
     ``folds`` has a row per (fold, id) with ``split``. Each fold fits on Train, calibrates on
     Validation and scores Test; the pool must have one row per id when ``n_expected`` is given.
     """
-    folds = folds.persist()
+    folds = cut(folds)
     tests, valids = None, None
     for fold in range(k):
         part = folds.where(F.col("fold") == fold)
@@ -353,7 +353,7 @@ def cross_validate(
             valids.where("model <> 'prior'"), tests.where("model <> 'prior'"), ["model", "fold"]
         )
         pooled = fitted.unionByName(fixed) if "prior" in models else fitted
-    pooled = pooled.select("model", "fold", "id", "label", "score", "score_raw", "calibration")
+    pooled = cut(pooled.select("model", "fold", "id", "label", "score", "score_raw", "calibration"))
     return pool_oof(pooled, ["model"], n_expected) if n_expected else pooled
 
 
@@ -362,13 +362,15 @@ def external_validation(
     label: str = "label", tau: float = 0.5,
 ) -> tuple[DataFrame, DataFrame]:
     """Fit on one cohort, score another: predictions and one metric row per model."""
-    train = train.persist()
+    train = cut(train)
     preds = None
     for name, fit in models.items():
         one = fit(train, train)(external).select(
             F.lit(name).alias("model"), col(ident).alias("id"), col(label).cast("int").alias("label"), "score"
         )
         preds = one if preds is None else preds.unionByName(one)
+    # Scored once: every metric reads the written predictions.
+    preds = cut(preds)
     return preds, evaluate(preds, ["model"], tau)
 
 

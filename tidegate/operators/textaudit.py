@@ -265,6 +265,24 @@ def findings_to_numbers(df: DataFrame, concepts: Sequence[str]) -> DataFrame:
     )
 
 
+def findings_coverage(df: DataFrame, concepts: Sequence[str]) -> DataFrame:
+    """Per concept: texts, texts with a clear answer and the mean of 1 / 0.5 / 0."""
+    numbers = findings_to_numbers(df, concepts)
+    one = numbers.agg(
+        F.count(F.lit(1)).alias("__n"),
+        *[F.count_if(col(c) != 0.5).alias(f"a{i}") for i, c in enumerate(concepts)],
+        *[F.avg(col(c)).alias(f"m{i}") for i, c in enumerate(concepts)],
+    )
+    entries = [
+        F.struct(
+            F.lit(c).alias("concept"), F.col("__n").alias("n"), F.col(f"a{i}").alias("n_answered"),
+            F.col(f"m{i}").alias("mean_value"),
+        )
+        for i, c in enumerate(concepts)
+    ]
+    return one.select(F.inline(F.array(*entries)))
+
+
 def findings_text(concepts: dict[str, str]) -> Column:
     """The compact sentence that lists all findings with their display names."""
     parts = [F.concat(F.lit(f"{shown}: "), col(c)) for c, shown in concepts.items()]

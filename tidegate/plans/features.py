@@ -352,6 +352,16 @@ def _(t: Tables):
     return out.select("patient_id", "label", "doc_rank", "doc_pmid", prompt)
 
 
+@reg.query("dataset_summary", f"""
+WITH {TOLD}, r AS (SELECT label, length({lit_sql(INSTRUCTION)} || chr(10) || trim(text) || chr(10) || {lit_sql(TAIL)}) AS n FROM told)
+SELECT label, count(*) AS n_records, count(*) AS n_entities, count(*) FILTER (WHERE label = 1) AS n_pos,
+  round(avg(n), 6) AS mean_chars, max(n) AS max_chars FROM r GROUP BY label""")
+def _(t: Tables):
+    rows = told(t).withColumn("label", F.col("is_train").cast("int"))
+    chat = narrative.chat_records(rows, "text", None, "label", "c_custkey", INSTRUCTION, TAIL, "before")
+    return narrative.dataset_summary(chat, ["label"]).withColumn("mean_chars", F.round("mean_chars", 6))
+
+
 @reg.query("mix_arms", f"""
 WITH {ASSIGNED} SELECT doc_id, arm, arm || ':' || doc_id AS record FROM assigned""")
 def _(t: Tables):
@@ -487,14 +497,56 @@ def _(t: Tables):
     return out.drop("change")
 
 
-@reg.query("what_if_all_scenarios")
+_M, _W = "'Mutant / positive'", "'Wildtype / negative'"
+
+
+def _differs(**patch: str) -> str:
+    name, value = next(iter(patch.items()))
+    return f"{name} IS DISTINCT FROM {value}"
+
+
+# The library's first-recurrence scenarios in SQL: name, new values, rows they are offered to.
+ALL_SCENARIOS = [
+    *[
+        (name, patch, _differs(**patch))
+        for name, patch in {
+            "Set IDH1 to mutant / positive": {"idh1": _M},
+            "Set IDH1 to wildtype / negative": {"idh1": _W},
+            "Set MGMT to methylated": {"mgmt": "'Methylated'"},
+            "Set MGMT to unmethylated": {"mgmt": "'Unmethylated'"},
+            "Set 1p/19q to codeleted": {"codeletion_1p19q": _M},
+            "Remove radiotherapy": {"radiotherapy": "'No'", "rt_dose": "NULL"},
+            "Add radiotherapy 60 Gy / 30 fx": {"radiotherapy": "'Yes'", "rt_dose": "60"},
+            "Remove initial chemotherapy": {"initial_chemo": "'No'"},
+            "Add initial chemotherapy (TMZ)": {"initial_chemo": "'Yes'"},
+            "Lower WHO grade to 2": {"grade": "'2'"},
+            "Raise WHO grade to 4": {"grade": "'4'"},
+            "Change diagnosis to Oligodendroglioma": {"primary_diagnosis": "'Oligodendroglioma'", "grade": "'2'"},
+            "Change diagnosis to Glioblastoma": {"primary_diagnosis": "'Glioblastoma'", "grade": "'4'"},
+        }.items()
+    ],
+    ("Age −15 years", {"age": "greatest(0.0, age - 15)"}, "age IS NOT NULL"),
+    ("Age +15 years", {"age": "least(100.0, age + 15)"}, "age IS NOT NULL"),
+    ("Favorable molecular bundle (IDHmut + codeleted + MGMTm)",
+     {"idh1": _M, "codeletion_1p19q": _M, "mgmt": "'Methylated'"}, "1 = 1"),
+    ("Unfavorable molecular bundle (IDHwt + MGMTun)",
+     {"idh1": _W, "codeletion_1p19q": _W, "mgmt": "'Unmethylated'"}, "1 = 1"),
+]
+
+
+@reg.query("what_if_all_scenarios", f"""
+WITH {FORM_SQL}, scored AS (SELECT *, {PROB} AS base FROM form),
+w AS ({" UNION ALL ".join(_scenario_sql(*s) for s in ALL_SCENARIOS)})
+SELECT c_custkey, counterfactual, round(base * 100, 2) AS baseline_pct, round(p * 100, 2) AS new_pct,
+  round((p - base) * 100, 2) AS delta_pp, CASE WHEN base >= 0.5 THEN 'High' ELSE 'Lower' END AS baseline_label,
+  CASE WHEN p >= 0.5 THEN 'High' ELSE 'Lower' END AS new_label, (base >= 0.5) <> (p >= 0.5) AS flips_decision FROM w""")
 def _(t: Tables):
     wide = form(t).withColumns(
         {c: F.lit(None).cast("double") for c in ("rt_fractions", "rt_start_day", "rt_end_day")}
     )
     return scorecard.what_if(
         wide, ["c_custkey"], scorecards.first_scenarios(), lambda df: scorecards.score_first(df, REQUIRED)
-    )
+    ).drop("change")
 
 
 @reg.query("validate_required", f"""

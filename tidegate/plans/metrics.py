@@ -206,7 +206,29 @@ def _(t: Tables):
     return rounded(out, *[c for c in out.columns if not c.startswith("model")])
 
 
-@reg.query("platt")
+def newton_sql(points: str, group: str, steps: int, l2: float) -> str:
+    """Logistic fits by a recursive query: one Newton step per level."""
+    return f"""
+fit(step, {group}, b0, b1) AS (
+  SELECT 0, {group}, ln(sum(y) / (count(*) - sum(y))), 0.0::DOUBLE FROM {points} GROUP BY {group}
+  UNION ALL
+  SELECT step + 1, {group}, b0 + ((h11 + {l2}) * g0 - h01 * (g1 - {l2} * b1)) / ((h11 + {l2}) * h00 - h01 * h01),
+    b1 + (h00 * (g1 - {l2} * b1) - h01 * g0) / ((h11 + {l2}) * h00 - h01 * h01)
+  FROM (SELECT step, {group}, b0, b1, sum(y - q) AS g0, sum((y - q) * x) AS g1, sum(q * (1 - q)) AS h00,
+      sum(q * (1 - q) * x) AS h01, sum(q * (1 - q) * x * x) AS h11
+    FROM (SELECT step, f.{group}, b0, b1, x, y, 1 / (1 + exp(-(b0 + b1 * x))) AS q FROM fit f JOIN {points} p ON p.{group} = f.{group})
+    GROUP BY step, {group}, b0, b1)
+  WHERE step < {steps}),
+params AS (SELECT {group}, b0, b1 FROM fit WHERE step = {steps})"""
+
+
+@reg.query("platt", f"""
+WITH RECURSIVE {P},
+pts AS (SELECT model, label AS y, ln(score / (1 - score)) AS x FROM preds WHERE part = 'valid'),
+{newton_sql("pts", "model", 15, 1e-6)}
+SELECT p.model, id, label, score AS score_raw, round(1 / (1 + exp(-(b0 + b1 * ln(score / (1 - score))))), 6) AS score,
+  'Platt_validation' AS calibration
+FROM preds p JOIN params USING (model) WHERE part = 'test'""")
 def _(t: Tables):
     p = frames.predictions(t)
     out = evaluation.platt(p.where("part = 'valid'"), p.where("part = 'test'"), ["model"])
@@ -249,10 +271,16 @@ def _(t: Tables):
     return rounded(out.drop("p_value").withColumn("n", F.col("n").cast("bigint")), "chi2")
 
 
-@reg.query("chi2_p_values")
+# Four degrees of freedom have a closed form.
+@reg.query("chi2_p_values", f"""
+WITH k AS (SELECT o_orderstatus AS test, o_orderpriority AS a, (o_totalprice > 250000)::INT AS b, count(*) AS n
+  FROM orders GROUP BY ALL), {chi2_sql("k", "test", True)}
+SELECT test AS o_orderstatus, n, n_rows, n_cols, dof, round(chi2, 6) AS chi2,
+  CASE WHEN dof = 4 THEN round(exp(-chi2 / 2) * (1 + chi2 / 2), 6) END AS p_value FROM chi""")
 def _(t: Tables):
     o = t("orders").withColumn("dear", (F.col("o_totalprice") > 250000).cast("int"))
-    return rounded(inference.chi2_test(o, "o_orderpriority", "dear", ["o_orderstatus"]), "chi2", "p_value")
+    out = inference.chi2_test(o, "o_orderpriority", "dear", ["o_orderstatus"])
+    return rounded(out.withColumn("n", F.col("n").cast("bigint")), "chi2", "p_value")
 
 
 def mwu_sql(rows: str, by: str) -> str:
@@ -309,7 +337,18 @@ def _(t: Tables):
     return rounded(out.drop("p_value").withColumn("u", F.round("u", 4)), "chi2", "rate_1", "rate_0")
 
 
-@reg.query("univariate_or")
+@reg.query("univariate_or", f"""
+WITH RECURSIVE r AS (
+  SELECT 'o_totalprice' AS feature, o_totalprice AS v, (o_orderstatus = 'F')::INT AS y FROM orders
+  UNION ALL SELECT 'priority', left(o_orderpriority, 1)::DOUBLE, (o_orderstatus = 'F')::INT FROM orders),
+m AS (SELECT feature, avg(v) AS mu, stddev_pop(v) AS sd FROM r GROUP BY feature),
+pts AS (SELECT r.feature, (v - mu) / sd AS x, y FROM r JOIN m ON m.feature = r.feature),
+{newton_sql("pts", "feature", 10, 0.0)},
+h AS (SELECT feature, b1, sum(q * (1 - q)) AS h00, sum(q * (1 - q) * x) AS h01, sum(q * (1 - q) * x * x) AS h11
+  FROM (SELECT p.feature, b1, x, 1 / (1 + exp(-(b0 + b1 * x))) AS q FROM pts p JOIN params USING (feature)) GROUP BY feature, b1),
+e AS (SELECT feature, b1, sqrt(h00 / (h00 * h11 - h01 * h01)) AS se FROM h)
+SELECT feature, round(exp(b1), 6) AS odds_ratio, round(exp(b1 - 1.96 * se), 6) AS lo, round(exp(b1 + 1.96 * se), 6) AS hi,
+  exp(b1 - 1.96 * se) > 1 OR exp(b1 + 1.96 * se) < 1 AS significant FROM e""")
 def _(t: Tables):
     o = t("orders").select(
         (F.col("o_orderstatus") == "F").cast("int").alias("y"), "o_totalprice",

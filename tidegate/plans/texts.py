@@ -356,14 +356,17 @@ def finding_sql(n: int, terms: list[str]) -> str:
       CASE WHEN {has(hit, ["no ", "not ", "without ", "absent"])} THEN 'no' ELSE 'yes' END END, 'unclear')"""
 
 
-@reg.query("extract_findings", f"""
-WITH r AS (SELECT doc_id, CASE WHEN quality = 1 THEN '1. YES - seen' || chr(10) || text
+FINDINGS = f"""
+r AS (SELECT doc_id, CASE WHEN quality = 1 THEN '1. YES - seen' || chr(10) || text
     WHEN quality = 0 THEN '(3) no' || chr(10) || '1: Unclear' || chr(10) || text ELSE text END AS raw
   FROM documents LEFT JOIN labels USING (doc_id)),
 s AS (SELECT doc_id, raw, list_filter(list_transform(regexp_split_to_array(lower(raw), '[.;\n]+'),
-    lambda x: trim(x)), lambda x: x <> '') AS s FROM r)
-SELECT doc_id, {", ".join(f"{finding_sql(n, terms)} AS {c}" for n, (c, terms) in enumerate(PROBE_CONCEPTS.items(), 1))} FROM s""")
-def _(t: Tables):
+    lambda x: trim(x)), lambda x: x <> '') AS s FROM r),
+found AS (SELECT doc_id, {", ".join(f"{finding_sql(n, terms)} AS {c}" for n, (c, terms) in enumerate(PROBE_CONCEPTS.items(), 1))} FROM s)"""
+
+
+def found(t: Tables):
+    """Answers in front of some documents, keywords in all."""
     d = t("documents").select("doc_id", "text").join(t("labels"), "doc_id", "left")
     raw = (
         F.when(F.col("quality") == 1, F.concat(F.lit("1. YES - seen\n"), "text"))
@@ -374,6 +377,20 @@ def _(t: Tables):
     return textaudit.extract_findings(rows, "raw", list(PROBE_CONCEPTS), PROBE_CONCEPTS).drop("raw")
 
 
+@reg.query("extract_findings", f"WITH {FINDINGS} SELECT * FROM found")
+def _(t: Tables):
+    return found(t)
+
+
+@reg.query("findings_coverage", f"WITH {FINDINGS}" + " UNION ALL ".join(
+    f""" SELECT '{c}' AS concept, count(*) AS n, count(*) FILTER (WHERE {c} <> 'unclear') AS n_answered,
+  round(avg(CASE {c} WHEN 'yes' THEN 1.0 WHEN 'no' THEN 0.0 ELSE 0.5 END::DOUBLE), 6) AS mean_value FROM found"""
+    for c in PROBE_CONCEPTS))
+def _(t: Tables):
+    out = textaudit.findings_coverage(found(t), list(PROBE_CONCEPTS))
+    return out.withColumn("mean_value", F.round("mean_value", 6))
+
+
 @reg.query("region_stats", """
 WITH c AS (SELECT user_id, CASE event_type WHEN 'purchase' THEN 1 WHEN 'click' THEN 2 WHEN 'view' THEN 3 ELSE 0 END AS lab,
     value AS x, extract(hour FROM ts) * 60 + extract(minute FROM ts) AS y, extract(day FROM ts) AS z FROM events),
