@@ -183,3 +183,9 @@ def test_context_styles(rows):
     assert {r["l"] for r in df.select(short.alias("l")).collect()} == {"[2] Second. - xxxx", "[1] First. - line", "[1] Bare - "}
     long = retrieval.source_line(F.lit(1), F.lit("T"), F.lit("abc"), F.lit("Local"), F.lit(""), F.lit(""), F.lit(0.5), 2)
     assert df.select(long.alias("l")).first()["l"] == "[1] T\nSource: Local; Local; Year: NA; Score: 0.500\nAbstract: ab"
+
+
+def test_no_queries_give_no_rows(vectors):
+    _, df = vectors
+    out = vectorsearch.vector_search(df, df.where("1 = 0"), "id", "v", "id", "v", 3)
+    assert out.count() == 0 and out.columns == ["query_id", "id", "distance", "rank"]

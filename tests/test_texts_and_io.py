@@ -230,3 +230,17 @@ def test_arms_must_match(rows):
     with pytest.raises(ValueError):
         narrative.assert_arms_match(df, "id", "arm", ["a", "b"])
     narrative.assert_arms_match(df.where("id = 1"), "id", "arm", ["a", "b"])
+
+
+def test_white_space_is_what_python_splits_on(spark):
+    from tidegate.functions.scalar import bigrams, collapse, ngrams, tokens
+
+    odd = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0        　"
+    texts = ["a" + ch + "B" for ch in odd] + ["a​b", " x  y ", "", "a﻿b", "one"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    t = F.col("t")
+    got = df.select("t", tokens(t).alias("w"), collapse(t).alias("c"), bigrams(tokens(t)).alias("b"), ngrams(tokens(t), 2).alias("g"))
+    for r in got.collect():
+        w = r["t"].lower().split()
+        assert r["w"] == w and r["c"] == " ".join(r["t"].split())
+        assert r["b"] == r["g"] == [f"{x} {y}" for x, y in zip(w, w[1:])]

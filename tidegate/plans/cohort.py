@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.scalar import WHITESPACE
 from ..operators import clean, gates
 from ..sources.readers import clean_corpus, clip_scores, file_inventory, read_table, read_tagged
 from ..sources.sinks import to_json_lines
@@ -37,8 +36,8 @@ def _(t: Tables):
 
 @reg.query("clean_corpus", f"""
 SELECT doc_id, CASE WHEN source = 'src0' THEN 'Untitled PubMed record' ELSE source END AS title,
-  sha256(trim(regexp_replace(text, '{WHITESPACE}', ' ', 'g'))) AS abstract_hash
-FROM documents WHERE trim(regexp_replace(text, '{WHITESPACE}', ' ', 'g')) <> ''""")
+  sha256(trim(regexp_replace(text, '{frames.SQL_WHITESPACE}', ' ', 'g'))) AS abstract_hash
+FROM documents WHERE trim(regexp_replace(text, '{frames.SQL_WHITESPACE}', ' ', 'g')) <> ''""")
 def _(t: Tables):
     docs = t("documents").select(
         "doc_id", F.when(F.col("source") != "src0", F.col("source")).alias("title"),

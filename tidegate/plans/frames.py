@@ -15,6 +15,11 @@ from .registry import Tables
 MODELS = {"model_a": 0.5, "model_b": 0.7, "model_c": 0.9}
 EVENT_PRICE = 400000
 
+# White space for SQL engines whose pattern language has no Unicode class.
+SQL_WHITESPACE = (
+    r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+)
+
 
 def cohort(t: Tables) -> DataFrame:
     o = t("orders").withColumn("d", F.col("o_orderdate").cast("date"))

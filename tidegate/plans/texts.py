@@ -4,16 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.scalar import WHITESPACE, tokens
+from ..functions.scalar import tokens
 from ..operators import aggregates, retrieval, textaudit, vectorsearch
 from ..operators.ranking import top_k
+from .frames import SQL_WHITESPACE
 from .registry import Registry, Tables
 
 reg = Registry()
 
 
 def toks(text: str) -> str:
-    return f"list_filter(regexp_split_to_array(lower({text}), '{WHITESPACE}'), lambda t: t <> '')"
+    return f"list_filter(regexp_split_to_array(lower({text}), '{SQL_WHITESPACE}'), lambda t: t <> '')"
 
 
 BM25 = f"""
