@@ -132,3 +132,11 @@ def test_group_totals(spark, partitions):
     for k, i, _, _ in data:
         sums[k] = sums.get(k, 0) + i
     assert all(r["all"] == sums[r["k"]] for r in got.collect())
+
+
+def test_summary_keeps_groups_without_values(rows):
+    from tidegate.operators.aggregates import numeric_summary
+
+    df = rows("k string, x double, y double", ("a", 1.0, None), ("a", float("nan"), None), ("b", 3.0, 4.0))
+    got = {(r["k"], r["column"]): (r["n"], r["min"], r["mean"], r["median"]) for r in numeric_summary(df, ["x", "y"], ["k"]).collect()}
+    assert got == {("a", "x"): (1, 1, 1, 1), ("a", "y"): (0, None, None, None), ("b", "x"): (1, 3, 3, 3), ("b", "y"): (1, 4, 4, 4)}

@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidegate.operators.clean import day_offsets, normalise_value
-from tidegate.operators.scorecard import RequiredField, check_vocabulary, validate_required, what_if
+from tidegate.operators.scorecard import (
+    RequiredField, check_vocabulary, rank_changes, validate_required, what_if,
+)
 from tidegate.presets import scorecards, vocabulary
 
 FIRST = {
@@ -101,7 +103,10 @@ def test_scoring_is_deterministic(score):
 def test_counterfactuals(spark):
     cols = ", ".join(f"{k} {t}" for k, t in SECOND.items())
     df = spark.createDataFrame([("p", *[BASE_2.get(k) for k in SECOND])], "id string, " + cols)
-    out = what_if(df, ["id"], scorecards.second_scenarios(), lambda d: scorecards.score_second(d, REQUIRED)).collect()
+    table = what_if(df, ["id"], scorecards.second_scenarios(), lambda d: scorecards.score_second(d, REQUIRED))
+    sizes = [abs(r["delta_pp"]) for r in rank_changes(table, ["id"]).orderBy("rank").collect()]
+    assert sizes == sorted(sizes, reverse=True) and len(sizes) == table.count()
+    out = table.collect()
     by_name = {r["counterfactual"]: r for r in out}
     assert by_name["MRI caption → progressing"]["new_pct"] > by_name["MRI caption → stable"]["new_pct"]
     assert "Set multiple surgeries = No" not in by_name and "Lower enhancing volume to 8" not in by_name

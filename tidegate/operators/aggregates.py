@@ -71,15 +71,9 @@ def crosstab(df: DataFrame, a: str, b: str) -> DataFrame:
 def numeric_summary(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """n, min, max, mean and exact quartiles of each column, per group."""
     rows = long_form(df, list(by), cols, "column", "value", "double")
-    keys = [*by, "column"]
-    basic = rows.groupBy(*[col(k) for k in keys]).agg(
-        F.count("value").alias("n"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-        F.avg("value").alias("mean"),
-    )
-    quartiles = exact_percentiles(rows, keys, "value", {"q25": 0.25, "median": 0.5, "q75": 0.75})
-    return basic.join(quartiles, keys, "left")
+    return exact_percentiles(
+        rows, [*by, "column"], "value", {"q25": 0.25, "median": 0.5, "q75": 0.75}, moments=True
+    )
 
 
 def positivity_table(

@@ -38,21 +38,18 @@ def pivot_features(
 ) -> DataFrame:
     """One column ``<short>_<member>`` per value column and member of ``pivot_col``.
 
-    ``values`` maps value columns to short names. Members are listed, so Spark runs no
-    extra job to find them.
+    ``values`` maps value columns to short names. Members are listed, so the pivot is one
+    aggregation with conditions and Spark runs no extra job to find them.
     """
-    wide = (
-        snapshot.groupBy(col(ident))
-        .pivot(pivot_col, list(pivot_values))
-        .agg(*[F.max(col(v)).alias(short) for v, short in values.items()])
-    )
-    single = len(values) == 1
-    out = [col(ident)]
-    for v, short in values.items():
-        for member in pivot_values:
-            source = member if single else f"{member}_{short}"
-            out.append(col(source).alias(f"{short}_{member}"))
-    return wide.select(*out)
+    return snapshot.groupBy(col(ident)).agg(*_pivoted(pivot_col, pivot_values, values))
+
+
+def _pivoted(pivot_col: str, members: Sequence[str], values: dict[str, str]) -> list[Column]:
+    return [
+        F.max(F.when(col(pivot_col) == m, col(v))).alias(f"{short}_{m}")
+        for v, short in values.items()
+        for m in members
+    ]
 
 
 def snapshot_features(
@@ -65,20 +62,19 @@ def snapshot_features(
     the distinct days seen before the landmark.
     """
     pre = rows.join(entities.select(col(ident), col(point)), ident).where(col(day) < col(point))
-    # The distinct days are counted on their own: count_distinct next to max_by would make
-    # Spark expand every row.
     last = latest_before(
         pre.select(col(ident), col(region), col(day), col(tie), *[col(v) for v in values]),
         [ident, region], day, [tie],
     )
-    wide = pivot_features(last, ident, region, regions, values)
-    meta = last.groupBy(col(ident)).agg(
-        F.count(F.lit(1)).alias("n_regions"), F.max(col(day)).alias("latest_day")
+    wide = last.groupBy(col(ident)).agg(
+        *_pivoted(region, regions, values),
+        F.count(F.lit(1)).alias("n_regions"),
+        F.max(col(day)).alias("latest_day"),
     )
+    # The distinct days are counted on their own: count_distinct next to max_by would make
+    # Spark expand every row.
     scans = pre.groupBy(col(ident)).agg(F.count_distinct(col(day)).alias("n_scans"))
-    return (
-        entities.join(wide, ident, "left").join(meta, ident, "left").join(scans, ident, "left")
-    )
+    return entities.join(wide, ident, "left").join(scans, ident, "left")
 
 
 def top_k(

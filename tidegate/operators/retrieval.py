@@ -21,6 +21,9 @@ from .sets import merge_candidates
 # Defaults of the Okapi scorer.
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
+# Largest vocabulary that is sent to every task.
+BROADCAST_TERMS = 250_000
+
 WORD = r"([\p{L}\p{N}_]{2,})"
 
 
@@ -139,8 +142,8 @@ def build_tfidf(
 ) -> tuple[TextIndex, list[str]]:
     """TF-IDF weights of 1- and 2-grams, rows of unit length.
 
-    The vocabulary is limited to ``max_features`` terms by corpus frequency (ties by term), so
-    it has a fixed size bound and is broadcast.
+    The vocabulary is limited to ``max_features`` terms by corpus frequency (ties by term). Up to
+    BROADCAST_TERMS of them it is broadcast, beyond that joined by a shuffle.
     """
     stop = list(stop) if stop is not None else english_stop_words()
     raw = cut(
@@ -158,7 +161,10 @@ def build_tfidf(
     )
     n = scalar(corpus, "n_docs")
     terms = vocabulary.select("term", "df", (F.log((1 + n) / (1 + F.col("df"))) + 1).alias("idf"))
-    weighted = raw.join(F.broadcast(terms.select("term", "idf")), "term").withColumn(
+    idfs = terms.select("term", "idf")
+    if max_features <= BROADCAST_TERMS:
+        idfs = F.broadcast(idfs)
+    weighted = raw.join(idfs, "term").withColumn(
         "w", F.col("tf") * F.col("idf")
     )
     norms = weighted.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))

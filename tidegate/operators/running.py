@@ -143,23 +143,23 @@ def hash_ranks(
 
 def exact_percentiles(
     df: DataFrame, by: Sequence[str], value: str, points: dict[str, float],
-    weight: Column | None = None,
+    weight: Column | None = None, moments: bool = False,
 ) -> DataFrame:
     """Exact linear-interpolation percentiles per group, one column per entry of ``points``.
 
     Works on the histogram of distinct values with running counts, so no group is collected.
-    ``weight`` gives the number of times a row counts.
+    Null and NaN do not count; a group without values gives nulls. ``weight`` is the number of
+    times a row counts. ``moments`` adds n, min, max and mean from the same pass.
     """
-    v = col(value)
+    v = col(value).cast("double")
+    v = F.when(~F.isnan(v), v)
     w = F.lit(1).cast("bigint") if weight is None else weight
     hist = (
-        df.where(v.isNotNull() & ~F.isnan(v.cast("double")))
-        .groupBy(*[col(b) for b in by], v.cast("double").alias("__v"))
-        .agg(F.sum(w).alias("__c"))
-    )
-    joined = running(
-        hist, by, ["__v"], sums={"__cum": F.col("__c")}, totals={"__n": "__cum"}
+        df.select(*[col(b) for b in by], v.alias("__v"), w.alias("__w"))
+        .groupBy(*[col(b) for b in by], "__v")
+        .agg(F.sum(F.when(F.col("__v").isNotNull(), F.col("__w")).otherwise(0)).alias("__c"))
     )
+    cum = running(hist, by, ["__v"], sums={"__cum": F.col("__c")}, totals={"__n": "__cum"})
 
     def at(position: Column) -> Column:
         hit = (F.col("__cum") > position) & (F.col("__cum") - F.col("__c") <= position)
@@ -173,9 +173,15 @@ def exact_percentiles(
             at(F.ceil(h)).alias(f"__hi_{name}"),
             F.max(h - F.floor(h)).alias(f"__w_{name}"),
         ]
-    picked = joined.groupBy(*[col(b) for b in by]).agg(*aggs)
+    n = F.sum("__c")
+    extra = [
+        n.alias("n"), F.min("__v").alias("min"), F.max("__v").alias("max"),
+        F.when(n > 0, F.sum(F.col("__v") * F.col("__c")) / n).alias("mean"),
+    ] if moments else []
+    picked = cum.groupBy(*[col(b) for b in by]).agg(*aggs, *extra)
     return picked.select(
         *[col(b) for b in by],
+        *(["n", "min", "max", "mean"] if moments else []),
         *[
             (
                 F.col(f"__lo_{name}")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.scalar import clip, col, first_match, sigmoid
 from .aggregates import long_form
+from .ranking import top_by_abs
 
 MISSING = ("", "Unknown", "Unknown / not available")
 
@@ -223,6 +224,11 @@ def what_if(
     )
 
 
+def rank_changes(changes: DataFrame, ident: Sequence[str], k: int = 1000) -> DataFrame:
+    """Scenarios of each row numbered by the size of their effect, largest first."""
+    return top_by_abs(changes, ident, "delta_pp", k, ["counterfactual"])
+
+
 @dataclass(frozen=True)
 class RequiredField:
     column: str

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -33,6 +35,7 @@ def shared_folder(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     named = tempfile.mkdtemp(prefix="tidegate-")
+    atexit.register(shutil.rmtree, named, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(named)
     return named
 
