@@ -26,6 +26,6 @@ def test_cut_keeps_names_types_and_rows(spark):
         "cast(null as double) as `1p/19q`"
     )
     out = cut(df)
-    assert out.columns == df.columns and [f.dataType for f in out.schema] == [f.dataType for f in df.schema]
+    assert out.dtypes == df.dtypes
     assert out.collect() == df.collect()
     assert cut(df.where("1 = 0")).count() == 0

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.hashing import hash_hex, hex_unit
 from ..functions.scalar import col
+from ..session import cut
 from .evaluation import (
     ID, LABEL, SCORE, confusion, derive_threshold_metrics, ranking_from_histogram,
     score_histogram,
@@ -53,10 +54,14 @@ def bootstrap_metrics(
     ids = numbered_ids(preds, ident)
     # Predictions get their number before the draws are made, so the n * B draws meet them in
     # one join, and what is shuffled after it are histograms.
-    slim = preds.select(
-        *[col(m) for m in model], col(ident), col(label), col(score),
-        *([col(second)] if second != score else []),
-    ).join(ids, ident).drop(ident)
+    # Written out, Catalyst knows their size: the exploded draws look smaller than they are and
+    # must never be the side that is broadcast.
+    slim = cut(
+        preds.select(
+            *[col(m) for m in model], col(ident), col(label), col(score),
+            *([col(second)] if second != score else []),
+        ).join(ids, ident).drop(ident)
+    )
     rows = draw_numbers(preds.sparkSession, ids.count(), replicates, seed).join(slim, "__rn")
     by = [*model, "b"]
     hist = score_histogram(rows, by, label, score)
