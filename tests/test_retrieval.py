@@ -1,5 +1,4 @@
 import math
-import random
 from collections import Counter
 
 import numpy as np
@@ -81,8 +80,7 @@ def vectors(spark):
 @pytest.mark.parametrize("limit", [1 << 26, 0])
 @pytest.mark.parametrize("metric", ["l2", "cosine"])
 def test_exact_search_with_many_copies(spark, vectors, limit, metric, monkeypatch):
-    monkeypatch.setattr(vectorsearch, "QUERY_BLOCK", 7)
-    monkeypatch.setattr(vectorsearch, "CORPUS_BLOCK", 50)
+    monkeypatch.setattr(vectorsearch, "BLOCK_BYTES", 50 * 8 * 8 if limit else 3 * 8 * 8)
     base, df = vectors
     queries = df.where("id in (0, 5, 150, 299)")
     got = vectorsearch.vector_search(df.repartition(4), queries, "id", "v", "id", "v", 6, metric, limit).collect()

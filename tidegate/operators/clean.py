@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import vectors
-from ..functions.scalar import blank_to_null, col, first_match, norm, text
+from ..functions.scalar import col, first_match, norm, text
 
 MISSING_WORDS = (
     "", "unknown", "unknown / not available", "unknown / not tested",
@@ -242,10 +242,3 @@ def extract_number(
 ) -> DataFrame:
     return df.withColumn(out or column, number_in_text(col(column), min_value))
 
-
-__all__ = [
-    "MISSING_WORDS", "blank_to_null", "conform", "day_offsets", "encode_numeric", "extract_number",
-    "is_missing", "lenient_date", "lenient_days", "make_label", "map_codes", "normalise",
-    "normalise_missing", "normalise_value", "number_in_text", "sanitize_vectors", "select_by_tier",
-    "select_group",
-]

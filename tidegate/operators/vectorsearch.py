@@ -14,8 +14,8 @@ from .ranking import top_k
 
 # A block of queries sent to every task stays below this many bytes.
 MAX_BROADCAST_BYTES = 64 << 20
-QUERY_BLOCK = 4096
-CORPUS_BLOCK = 1 << 16
+# Beyond it, blocks of queries and of the corpus hold about this many bytes of vectors each.
+BLOCK_BYTES = 32 << 20
 _CELLS = 1 << 22
 _DIGITS = 9
 
@@ -97,11 +97,13 @@ def _broadcast_search(corpus: DataFrame, queries: DataFrame, k: int) -> DataFram
     return corpus.mapInArrow(scan, "query_id bigint, id bigint, distance double")
 
 
-def _block_search(corpus: DataFrame, queries: DataFrame, n_queries: int, k: int) -> DataFrame:
-    """Blocks of queries against blocks of the corpus; both block sizes are bounded by hashing."""
-    n_corpus = corpus.count()
-    nq = max(1, -(-n_queries // QUERY_BLOCK))
-    nc = max(1, -(-n_corpus // CORPUS_BLOCK))
+def _block_search(
+    corpus: DataFrame, queries: DataFrame, n_queries: int, dim: int, k: int
+) -> DataFrame:
+    """Blocks of queries against blocks of the corpus; hashing the ids keeps blocks even."""
+    rows = max(1, BLOCK_BYTES // (8 * max(1, dim)))
+    nq = max(1, -(-n_queries // rows))
+    nc = max(1, -(-corpus.count() // rows))
 
     def block(ident: str, n: int):
         return F.pmod(F.xxhash64(ident), F.lit(n)).cast("int")
@@ -152,5 +154,5 @@ def vector_search(
     if n * d * 8 <= max_broadcast_bytes:
         found = _broadcast_search(c, q, k)
     else:
-        found = _block_search(c, q, n, k)
+        found = _block_search(c, q, n, d, k)
     return top_k(found, ["query_id"], "distance", k, ["id"], ascending=True)

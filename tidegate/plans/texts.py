@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import tokens
 from ..operators import aggregates, retrieval, textaudit, vectorsearch
-from ..operators.ranking import top_k
 from .frames import SQL_WHITESPACE
 from .registry import Registry, Tables
 
