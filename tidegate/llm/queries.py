@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..plans.registry import Registry, Tables
-from . import chat, decontaminate, packing, pii, tokencount, topk, warc
+from . import chat, decontaminate, packing, pii, tokencount, topk, toxicity, warc
 from .common import run_folder
 
 reg = Registry()
@@ -54,6 +54,20 @@ def op2(t: Tables) -> DataFrame:
     return warc.index_columns(read.unionByName(revisits))
 
 
+def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``docs`` with score and predicted, by models that labels of folds 0 and 2 have taught."""
+    model = toxicity.fit(docs, "doc_id", "text", labels, "doc_id", "toxic")
+    return toxicity.add_scores(docs, "text", model)
+
+
+@reg.query("op4_toxicity")
+def op4(t: Tables) -> DataFrame:
+    """Toxicity of all documents."""
+    scored = toxicity_scores(t("documents").select("doc_id", "text"), t("labels"))
+    held_out = toxicity.fold_of(F.col("doc_id")) == 1
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 OP5_SQL = r"""
 WITH c AS (
   SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
