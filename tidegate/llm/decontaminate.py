@@ -240,9 +240,22 @@ def find_overlap(
     ``items`` of the result are the item ids as text, sorted. Null and empty texts have no words;
     an item without words has no window. Repeated rows stay. Without items nothing is hit.
     """
-    kind = docs.schema[doc_id].dataType
+    rows = docs.select(col(doc_id).alias("k0"), col(text).cast("string").alias("body"))
+    whole = matched(rows, items, item_id, item_text, width)
+    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + (s[1] - s[0]))
+    return whole.select(
+        F.col("k0").alias("doc_id"),
+        "n_words",
+        hit.alias("n_hit"),
+        "spans",
+        F.sort_array("items").alias("items"),
+        (F.size("spans") > 0).alias("contaminated"),
+    )
+
+
+def matched(rows: DataFrame, items: DataFrame, item_id: str, item_text: str, width: int) -> DataFrame:
+    """``rows`` without their ``body``, with what the windows of all items hit in it."""
     blocks = item_blocks(items, item_id, item_text, width)
-    rows = docs.select(col(doc_id).alias("doc_id"), col(text).cast("string").alias("body"))
     first, second = next(blocks, Block.of([], width)), next(blocks, None)
     if second is not None:  # several blocks meet again by row
         rows = cut(rows.withColumn("row", F.monotonically_increasing_id()))
@@ -259,17 +272,17 @@ def find_overlap(
     whole = parts[0]
     for part in parts[1:]:
         whole = whole.unionByName(part)
-    if len(parts) > 1:
-        whole = _unite(whole)
-    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + (s[1] - s[0]))
-    return whole.select(
-        F.col("doc_id").cast(kind).alias("doc_id"),
-        "n_words",
-        hit.alias("n_hit"),
-        "spans",
-        F.sort_array("items").alias("items"),
-        (F.size("spans") > 0).alias("contaminated"),
-    )
+    return _unite(whole).drop("row") if len(parts) > 1 else whole
+
+
+def keep_clean(
+    docs: DataFrame, text: str, items: DataFrame, item_id: str, item_text: str, width: int = 10
+) -> DataFrame:
+    """The rows of ``docs`` in which no window of any item stands."""
+    names = [f"k{i}" for i in range(len(docs.columns))]
+    rows = docs.toDF(*names).withColumn("body", F.col(names[docs.columns.index(text)]).cast("string"))
+    clean = matched(rows, items, item_id, item_text, width).where(F.size("spans") == 0)
+    return clean.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])
 
 
 def digest_columns(found: DataFrame) -> DataFrame:

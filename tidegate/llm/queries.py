@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..plans.registry import Registry, Tables
-from . import chat, decontaminate, packing, pii, tokencount, topk, toxicity, warc
+from . import chat, decontaminate, linededup, neardup, packing, pii, tokencount, topk, toxicity, warc
 from .common import run_folder
 
 reg = Registry()
@@ -54,6 +54,18 @@ def op2(t: Tables) -> DataFrame:
     return warc.index_columns(read.unionByName(revisits))
 
 
+@reg.query("op3_recurring_lines")
+def op3(t: Tables) -> DataFrame:
+    """All documents without lines and sentences whose template recurs: what is left of each."""
+    kept = linededup.drop_recurring(t("documents").select("doc_id", "text"), "doc_id", "text")
+    return kept.select(
+        "doc_id",
+        "n_dropped",
+        F.char_length("text").cast("long").alias("kept_chars"),
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
+    )
+
+
 def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` with score and predicted, by models that labels of folds 0 and 2 have taught."""
     model = toxicity.fit(docs, "doc_id", "text", labels, "doc_id", "toxic")
@@ -116,6 +128,12 @@ def op7(t: Tables) -> DataFrame:
     return packing.pack(pieces, 4096)
 
 
+@reg.query("op8_near_duplicates")
+def op8(t: Tables) -> DataFrame:
+    """Components of near-duplicates among all documents."""
+    return neardup.components(t("documents").select("doc_id", "text"), "doc_id", "text")
+
+
 @reg.query("op9_personal_data")
 def op9(t: Tables) -> DataFrame:
     """Personal data in all documents."""
@@ -140,7 +158,3 @@ def op10(t: Tables) -> DataFrame:
     """The ten best of all vectors for each vector whose id is divisible by 100."""
     vectors = topk.quantise(t("embeddings"), "vec_id", "embedding", 1024)
     return topk.top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0), 10)
-
-
-def load() -> Registry:
-    return reg
