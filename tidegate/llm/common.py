@@ -22,14 +22,13 @@ def text_of(name: str) -> Column:
     return F.coalesce(col(name).cast("string"), F.lit(""))
 
 
-def each_batch(fn: Callable[[pa.RecordBatch], pa.RecordBatch | None]):
-    """A ``mapInArrow`` function that turns every batch into at most one other."""
+def each_batch(fn: Callable[[pa.RecordBatch], pa.RecordBatch]):
+    """A ``mapInArrow`` function that turns every batch that has rows into another."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = fn(batch)
-            if out is not None:
-                yield out
+            if batch.num_rows:
+                yield fn(batch)
 
     return run
 
@@ -38,7 +37,3 @@ def texts_as_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 of every value; null is empty."""
     return [v if v is not None else b"" for v in column.cast(pa.binary()).to_pylist()]
 
-
-def spread_by(df: DataFrame, column: Column, partitions: int | None = None) -> DataFrame:
-    """Deal rows by a column; without a number the session's shuffle partitions hold."""
-    return df.repartition(partitions, column) if partitions else df.repartition(column)

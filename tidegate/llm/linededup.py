@@ -37,20 +37,19 @@ LEAST, COPY_SHARE = 3, 0.75
 
 
 def leaf(tokens: list[bytes]) -> int:
-    """The tree's leaf for some tokens as a signed 64-bit number."""
+    """The tree's leaf for some lower-case tokens as a signed 64-bit number."""
     n = len(tokens)
-    path = tokens[: -(-2 * n // 3)] if n >= 9 else tokens
-    line = b" ".join(path)
+    line = b" ".join(tokens[: -(-2 * n // 3)] if n >= 9 else tokens)
     if VARIABLE.search(line):
-        line = b" ".join([b"<*>" if VARIABLE.search(t) else t for t in path])
-    return xxhash.xxh64_intdigest(b"%d " % n + line.lower()) - (1 << 63)
+        line = b" ".join([b"<*>" if VARIABLE.search(t) else t for t in line.split(b" ")])
+    return xxhash.xxh64_intdigest(line, seed=n) - (1 << 63)
 
 
 def units(text: bytes) -> list[tuple[int, int, int, int | None, int | None]]:
     """Pieces that make up the text: (start, end, tokens, own leaf, leaf of the whole line)."""
     out = []
     at = 0
-    for line in text.split(b"\n"):
+    for line in text.lower().split(b"\n"):  # of ASCII letters only, so places stay
         tokens = line.split()
         whole = leaf(tokens) if len(tokens) >= LINE_TOKENS else None
         parts = BREAK.split(line)
@@ -69,7 +68,20 @@ def units(text: bytes) -> list[tuple[int, int, int, int | None, int | None]]:
 
 def leaves(text: bytes) -> set[int]:
     """All leaves of a text, each once."""
-    return {x for _, _, _, own, whole in units(text) for x in (own, whole) if x is not None}
+    found = set()
+    for line in text.lower().split(b"\n"):
+        tokens = line.split()
+        if len(tokens) < LINE_TOKENS:
+            continue
+        found.add(leaf(tokens))
+        if len(tokens) > SENTENCE_TOKENS:
+            parts = BREAK.split(line)
+            if len(parts) > 1:
+                for part in parts[::2]:
+                    own = part.split()
+                    if len(own) >= SENTENCE_TOKENS:
+                        found.add(leaf(own))
+    return found
 
 
 def without(text: bytes, recurring: set[int]) -> tuple[bytes, int]:

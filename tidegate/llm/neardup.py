@@ -98,24 +98,27 @@ def summaries(docs: DataFrame, ident: str, text: str) -> DataFrame:
 
 def survivors(nodes: DataFrame) -> DataFrame:
     """Nodes that share enough of their smallest values with any others to have a link."""
-    values = nodes.select("node", "n", F.explode("first").alias("v"))
+    values = nodes.select("node", "same", "n", F.explode("first").alias("v"))
     common = values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1").select("v")
-    shared = values.join(common, "v").groupBy("node").agg(F.max("n").alias("n"), F.count("*").alias("c"))
+    shared = values.join(common, "v").groupBy("node", "same").agg(F.max("n").alias("n"), F.count("*").alias("c"))
     # Of a set up to FIRST in size at least two thirds are shared with any link of it.
     least = F.when(F.col("n") <= FIRST, F.floor((2 * F.col("n") + 2) / 3)).otherwise(FIRST_NEED)
-    return shared.where(F.col("c") >= least).select("node")
+    return shared.where(F.col("c") >= least).select("node", "same")
 
 
 def full_sets(docs: DataFrame, ident: str, text: str, wanted: DataFrame) -> DataFrame:
-    """node, n and the full sorted set of the wanted nodes, written once."""
+    """node, n and the full sorted set of the wanted nodes (node, same), written once."""
     kind = docs.schema[ident].dataType.simpleString()
 
     def build(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingle_set(v) for v in texts_as_bytes(batch.column("body"))]
-        return pa.RecordBatch.from_arrays(
+        # Another text under the same id is another node's.
+        own = [xxhash.xxh3_128_digest(s.tobytes()) == d for s, d in zip(sets, batch.column("same").to_pylist())]
+        made = pa.RecordBatch.from_arrays(
             [batch.column("node"), pa.array([len(s) for s in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))],
             ["node", "n", "hashes"],
         )
+        return made.filter(pa.array(own))
 
     source = docs.select(col(ident).alias("node"), col(text).cast("string").alias("body")).join(wanted, "node")
     return cut(source.mapInArrow(each_batch(build), f"node {kind}, n long, hashes array<long>"))
@@ -256,16 +259,16 @@ def node_components(sets: DataFrame) -> DataFrame:
 def components(docs: DataFrame, ident: str, text: str) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id and kept.
 
-    A text without words, or null, has an empty set and is linked with nothing. Rows of one id
-    are one document, which is linked where any of its texts is. A row without id is linked with
-    nothing; its component is null and it is kept.
+    A text without words, or null, has an empty set and is linked with nothing. Rows are linked by
+    their texts, also where an id is repeated. A row without id is linked with nothing; its
+    component is null and it is kept.
     """
     rows = summaries(docs, ident, text)
     linkable = rows.where((F.col("n") > 0) & F.col("id").isNotNull())
     nodes = cut(
         linkable.groupBy("same").agg(F.min("id").alias("node"), F.max("n").alias("n"), F.first("first").alias("first"))
     )
-    sets = full_sets(docs, ident, text, survivors(nodes).distinct())
+    sets = full_sets(docs, ident, text, survivors(nodes))
     comps = node_components(sets)
     named = nodes.select("same", "node").join(comps, "node", "left").select("same", F.coalesce("comp", "node").alias("comp"))
     joined = rows.select("id", "n", "same").join(named, "same", "left")
@@ -279,6 +282,10 @@ def components(docs: DataFrame, ident: str, text: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, ident: str, text: str) -> DataFrame:
-    """``docs`` without the documents that have a smaller one in their component."""
-    gone = components(docs, ident, text).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
+    """``docs`` without the documents that have a smaller one in their component.
+
+    An id that is repeated stays where any of its rows is kept.
+    """
+    judged = components(docs, ident, text).groupBy(F.col("doc_id").alias("__gone")).agg(F.max("kept").alias("kept"))
+    gone = judged.where(~F.col("kept")).select("__gone")
     return docs.join(gone, col(ident) == F.col("__gone"), "left_anti")
