@@ -272,7 +272,7 @@ def components(docs: DataFrame, ident: str, text: str) -> DataFrame:
     comps = node_components(sets)
     named = nodes.select("same", "node").join(comps, "node", "left").select("same", F.coalesce("comp", "node").alias("comp"))
     joined = rows.select("id", "n", "same").join(named, "same", "left")
-    component = F.when(F.col("n") > 0, F.coalesce("comp", "id")).otherwise(F.col("id"))
+    component = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.coalesce("comp", "id")).otherwise(F.col("id"))
     return joined.select(
         F.col("id").alias("doc_id"),
         F.col("n").alias("n_shingles"),
