@@ -77,10 +77,9 @@ def vectors(spark):
     )
 
 
-@pytest.mark.parametrize("limit", [1 << 26, 0])
+@pytest.mark.parametrize("limit", [1 << 26, 100])
 @pytest.mark.parametrize("metric", ["l2", "cosine"])
-def test_exact_search_with_many_copies(spark, vectors, limit, metric, monkeypatch):
-    monkeypatch.setattr(vectorsearch, "BLOCK_BYTES", 50 * 8 * 8 if limit else 3 * 8 * 8)
+def test_exact_search_with_many_copies(spark, vectors, limit, metric):
     base, df = vectors
     queries = df.where("id in (0, 5, 150, 299)")
     got = vectorsearch.vector_search(df.repartition(4), queries, "id", "v", "id", "v", 6, metric, limit).collect()
@@ -187,3 +186,27 @@ def test_no_queries_give_no_rows(vectors):
     _, df = vectors
     out = vectorsearch.vector_search(df, df.where("1 = 0"), "id", "v", "id", "v", 3)
     assert out.count() == 0 and out.columns == ["query_id", "id", "distance", "rank"]
+
+
+def test_vectors_of_different_lengths_or_with_nulls_are_refused(rows):
+    schema = "id int, v array<double>"
+    good, short = rows(schema, (1, [1.0, 2.0])), rows(schema, (1, [1.0, 2.0, 3.0]), (2, [1.0]))
+    for a, b in ((good, short), (short, good)):
+        with pytest.raises(ValueError, match="different lengths"):
+            vectorsearch.vector_search(a, b, "id", "v", "id", "v", 1)
+    with pytest.raises(ValueError, match="null element"):
+        vectorsearch.vector_search(rows(schema, (1, [1.0, None])), good, "id", "v", "id", "v", 1)
+
+
+def test_vector_search_with_text_ids(rows):
+    df = rows("id string, v array<double>", ("b", [0.0]), ("a", [0.0]), ("é", [3.0]), ("c", None))
+    got = vectorsearch.vector_search(df, df, "id", "v", "id", "v", 2).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.id, r.distance) for r in got] == [
+        ("a", "a", 0), ("a", "b", 0), ("b", "a", 0), ("b", "b", 0), ("é", "é", 0), ("é", "a", 9)
+    ]
+
+
+def test_the_whole_vocabulary_counts(spark):
+    docs = spark.range(2).selectExpr("id", "array_join(transform(sequence(1, 61000), x -> concat('w', x, 'q')), '. ') AS text")
+    index, _ = retrieval.build_tfidf(docs, "id", "text", stop=[])
+    assert index.terms.count() > 61000

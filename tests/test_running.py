@@ -140,3 +140,11 @@ def test_summary_keeps_groups_without_values(rows):
     df = rows("k string, x double, y double", ("a", 1.0, None), ("a", float("nan"), None), ("b", 3.0, 4.0))
     got = {(r["k"], r["column"]): (r["n"], r["min"], r["mean"], r["median"]) for r in numeric_summary(df, ["x", "y"], ["k"]).collect()}
     assert got == {("a", "x"): (1, 1, 1, 1), ("a", "y"): (0, None, None, None), ("b", "x"): (1, 3, 3, 3), ("b", "y"): (1, 4, 4, 4)}
+
+
+@pytest.mark.parametrize("strict", [True, False])
+def test_asof_with_null_times_and_keys(spark, strict):
+    asks = spark.createDataFrame([("u", 1, 5), ("u", 2, None), (None, 3, 5), ("v", 4, 5)], "k string, a int, at int")
+    facts = spark.createDataFrame([("u", 1, None, "undated"), (None, 2, 1, "nobody"), ("v", 3, 5, "same"), ("v", 4, None, "x")], "k string, f int, ft int, told string")
+    out = asof_before(asks, facts, ["k"], "at", "ft", "a", "f", ["told"], strict=strict).collect()
+    assert {r.a: r.told for r in out} == {1: None, 2: None, 3: None, 4: None if strict else "same"}

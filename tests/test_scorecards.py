@@ -167,3 +167,8 @@ def test_vocabulary_rules(spark, rules, default, pairs):
     df = spark.createDataFrame([(k,) for k in [*pairs, None]], "t string")
     got = {r["t"]: r["v"] for r in df.select("t", normalise_value(F.col("t"), rules, default).alias("v")).collect()}
     assert got == {**pairs, None: None}
+
+
+def test_every_scenario_is_ranked(spark):
+    many = spark.range(1001).selectExpr("'p' AS id", "concat('s', id) AS counterfactual", "cast(id as double) AS delta_pp")
+    assert rank_changes(many, ["id"]).agg({"rank": "max"}).first()[0] == 1001

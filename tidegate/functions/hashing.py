@@ -11,9 +11,9 @@ def hash_hex(*parts: str | Column) -> Column:
 
 
 def hex_unit(hexa: Column, start: int | Column = 1) -> Column:
-    """Eight hex digits as a number in [0, 1)."""
-    piece = F.substr(hexa, F.lit(start) if isinstance(start, int) else start, F.lit(8))
-    return F.conv(piece, 16, 10).cast("bigint") / F.lit(4294967296.0)
+    """Thirteen hex digits, as many as a double holds, as a number in [0, 1)."""
+    piece = F.substr(hexa, F.lit(start) if isinstance(start, int) else start, F.lit(13))
+    return F.conv(piece, 16, 10).cast("bigint") / F.lit(float(1 << 52))
 
 
 def unit_hash(*parts: str | Column) -> Column:

@@ -1,7 +1,7 @@
 """Bootstrap intervals and paired comparisons with a portable resampling rule.
 
-Draw i of replicate b takes the id at dense index floor(u * n), u being eight hex digits of
-SHA-256(seed | b div 8 | i) at position b mod 8. One hash serves eight replicates, and any
+Draw i of replicate b takes the id at dense index floor(u * n), u being thirteen hex digits of
+SHA-256(seed | b div 4 | i) at position b mod 4. One hash serves four replicates, and any
 engine can repeat the draw.
 """
 
@@ -29,16 +29,16 @@ def numbered_ids(df: DataFrame, ident: str) -> DataFrame:
 
 def draw_numbers(spark: SparkSession, n: int, replicates: int, seed: int) -> DataFrame:
     """Rows ``(b, __rn)``: n draws with replacement from 1..n for every replicate."""
-    blocks = (replicates + 7) // 8
+    blocks = (replicates + 3) // 4
     draws = spark.range(n * blocks).select(
         (F.col("id") % n).alias("__i"), F.expr(f"id div {max(n, 1)}").alias("__blk")
     )
-    eight = draws.withColumn("__hex", hash_hex(str(seed), F.col("__blk"), F.col("__i"))).select(
-        "__blk", "__hex", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("__j")
+    four = draws.withColumn("__hex", hash_hex(str(seed), F.col("__blk"), F.col("__i"))).select(
+        "__blk", "__hex", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("__j")
     )
-    return eight.select(
-        (F.col("__blk") * 8 + F.col("__j")).alias("b"),
-        (F.floor(hex_unit(F.col("__hex"), (F.col("__j") * 8 + 1).cast("int")) * n) + 1).alias("__rn"),
+    return four.select(
+        (F.col("__blk") * 4 + F.col("__j")).alias("b"),
+        (F.floor(hex_unit(F.col("__hex"), (F.col("__j") * 13 + 1).cast("int")) * n) + 1).alias("__rn"),
     ).where(F.col("b") < replicates)
 
 

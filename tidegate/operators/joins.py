@@ -81,9 +81,14 @@ def asof_before(
 
     Both sides are put on one time line and the last right row is carried forward, so the
     cost is one sort instead of every pair of a key. Equal right times: largest ``right_id``.
+    A right row without time or key is before nothing, and a left row without either gets nulls.
     """
     fact = F.struct(*[col(c) for c in payload])
-    facts = right.select(
+    # Nulls sort first on the line: an undated fact would count as before every row.
+    dated = right
+    for c in (*by, right_t):
+        dated = dated.where(col(c).isNotNull())
+    facts = dated.select(
         *[col(b) for b in by],
         col(right_t).alias("__t"),
         F.lit(1 if strict else 0).alias("__side"),

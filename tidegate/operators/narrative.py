@@ -235,16 +235,24 @@ def assert_arms_match(records: DataFrame, ident: str, arm: str, arms: Sequence[s
 def visit_context(
     visits: DataFrame, facts: DataFrame, by: str, visit_day: str, visit_id: str, fact_day: str,
     fact_id: str, fact_text: str, opening: Sequence[Column], out: str = "context",
+    fact_kind: str | None = None, kinds: Sequence[str] = (),
 ) -> DataFrame:
-    """A sentence line per visit from the opening parts and the last fact before the visit day.
+    """A sentence line per visit from the opening parts and the facts before the visit day.
 
-    The two day columns need different names.
+    With ``fact_kind`` the last fact of each of the ``kinds`` is told, in their order, else the last
+    of all. A fact without a day is not told. The two day columns need different names.
     """
-    told = asof_before(
-        visits, facts, [by], visit_day, fact_day, visit_id, fact_id, [fact_text, fact_day], strict=True
-    )
-    last = F.when(
-        col(fact_text).isNotNull(),
-        F.concat(col(fact_text), F.lit(" started day "), col(fact_day).cast("bigint").cast("string")),
-    )
-    return told.withColumn(out, F.concat(F.concat_ws(". ", *opening, last), F.lit(".")))
+    told, parts = visits, []
+    for number, kind in enumerate(kinds if fact_kind else [None]):
+        text, day = f"__fact{number}", f"__day{number}"
+        own = facts if kind is None else facts.where(col(fact_kind) == kind)
+        own = own.select(col(by), col(fact_id), col(fact_text).alias(text), col(fact_day).alias(day))
+        told = asof_before(told, own, [by], visit_day, day, visit_id, fact_id, [text, day], strict=True)
+        parts.append(
+            F.when(
+                col(text).isNotNull(),
+                F.concat(col(text), F.lit(" started day "), col(day).cast("bigint").cast("string")),
+            )
+        )
+    line = told.withColumn(out, F.concat(F.concat_ws(". ", *opening, *parts), F.lit(".")))
+    return line.select(*[col(c) for c in visits.columns if c != out], col(out))

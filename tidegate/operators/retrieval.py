@@ -21,9 +21,6 @@ from .sets import merge_candidates
 # Defaults of the Okapi scorer.
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
-# Largest vocabulary that is sent to every task.
-BROADCAST_TERMS = 250_000
-
 WORD = r"([\p{L}\p{N}_]{2,})"
 
 
@@ -138,12 +135,12 @@ def english_stop_words() -> list[str]:
 
 def build_tfidf(
     docs: DataFrame, ident: str, text: str, stop: Sequence[str] | None = None, min_df: int = 2,
-    max_features: int = 60000,
+    max_features: int | None = None,
 ) -> tuple[TextIndex, list[str]]:
     """TF-IDF weights of 1- and 2-grams, rows of unit length.
 
-    The vocabulary is limited to ``max_features`` terms by corpus frequency (ties by term). Up to
-    BROADCAST_TERMS of them it is broadcast, beyond that joined by a shuffle.
+    All terms of at least ``min_df`` documents count, or, on request, the ``max_features`` of the
+    highest corpus frequency (ties by term).
     """
     stop = list(stop) if stop is not None else english_stop_words()
     raw = cut(
@@ -156,15 +153,12 @@ def build_tfidf(
         raw.groupBy("term")
         .agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
         .where(F.col("df") >= min_df)
-        .orderBy(F.col("cf").desc(), F.col("term"))
-        .limit(max_features)
     )
+    if max_features is not None:
+        vocabulary = vocabulary.orderBy(F.col("cf").desc(), F.col("term")).limit(max_features)
     n = scalar(corpus, "n_docs")
     terms = vocabulary.select("term", "df", (F.log((1 + n) / (1 + F.col("df"))) + 1).alias("idf"))
-    idfs = terms.select("term", "idf")
-    if max_features <= BROADCAST_TERMS:
-        idfs = F.broadcast(idfs)
-    weighted = raw.join(idfs, "term").withColumn(
+    weighted = raw.join(terms.select("term", "idf"), "term").withColumn(
         "w", F.col("tf") * F.col("idf")
     )
     norms = weighted.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))

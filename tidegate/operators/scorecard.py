@@ -5,11 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scalar import clip, col, first_match, sigmoid
 from .aggregates import long_form
-from .ranking import top_by_abs
 
 MISSING = ("", "Unknown", "Unknown / not available")
 
@@ -224,9 +223,13 @@ def what_if(
     )
 
 
-def rank_changes(changes: DataFrame, ident: Sequence[str], k: int = 1000) -> DataFrame:
-    """Scenarios of each row numbered by the size of their effect, largest first."""
-    return top_by_abs(changes, ident, "delta_pp", k, ["counterfactual"])
+def rank_changes(changes: DataFrame, ident: Sequence[str]) -> DataFrame:
+    """All scenarios of each row numbered by the size of their effect, largest first.
+
+    A row has as many scenarios as the scorecard names, so a window per row is small.
+    """
+    by_size = Window.partitionBy(*[col(i) for i in ident]).orderBy(F.abs("delta_pp").desc(), F.col("counterfactual"))
+    return changes.withColumn("rank", F.row_number().over(by_size))
 
 
 @dataclass(frozen=True)

@@ -12,10 +12,8 @@ from ..functions.scalar import col
 from ..functions.vectors import normalise
 from .ranking import top_k
 
-# A block of queries sent to every task stays below this many bytes.
+# A block of queries sent to every task stays below about this many bytes.
 MAX_BROADCAST_BYTES = 64 << 20
-# Beyond it, blocks of queries and of the corpus hold about this many bytes of vectors each.
-BLOCK_BYTES = 32 << 20
 _CELLS = 1 << 22
 _DIGITS = 9
 
@@ -27,6 +25,8 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 
 
 def _numpy(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    if pa.types.is_string(column.type) or pa.types.is_large_string(column.type):
+        return np.asarray(column.to_pylist(), dtype=np.str_)
     return column.to_numpy() if isinstance(column, pa.ChunkedArray) else column.to_numpy(zero_copy_only=False)
 
 
@@ -36,7 +36,7 @@ class _Best:
     def __init__(self, queries: np.ndarray, k: int) -> None:
         self.queries, self.k = queries, k
         self.norms = (queries * queries).sum(axis=1)
-        self.ids = np.empty((0, len(queries)), dtype=np.int64)
+        self.ids: np.ndarray | None = None
         self.dist = np.empty((0, len(queries)))
 
     def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
@@ -52,6 +52,8 @@ class _Best:
         np.maximum(dist, 0.0, out=dist)
         np.round(dist, _DIGITS, out=dist)
         picked = self._nearest(dist)
+        if self.ids is None:
+            self.ids = np.empty((0, len(self.queries)), dtype=ids.dtype)
         all_ids = np.concatenate([self.ids, ids[picked]])
         all_dist = np.concatenate([self.dist, np.take_along_axis(dist, picked, axis=0)])
         best = np.lexsort((all_ids, all_dist), axis=0)[: self.k]
@@ -71,19 +73,22 @@ class _Best:
 
     def table(self, query_ids: np.ndarray, schema: pa.Schema) -> pa.Table:
         k = len(self.ids)
-        return pa.table(
-            [np.repeat(query_ids, k), self.ids.T.ravel(), self.dist.T.ravel()], schema=schema
-        )
+        columns = [np.repeat(query_ids, k), self.ids.T.ravel(), self.dist.T.ravel()]
+        return pa.table([pa.array(c.tolist(), f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
-def _broadcast_search(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def _broadcast_search(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame | None:
+    """k rows per query and task from one scan of the corpus; none without queries."""
     table = queries.toArrow()
     if not table.num_rows:
-        return corpus.select(F.lit(0).alias("query_id"), "id", F.lit(0.0).alias("distance")).where("1 = 0")
+        return None
     shared = corpus.sparkSession.sparkContext.broadcast(
         (_numpy(table.column("query_id")), _matrix(table.column("qv")))
     )
-    out = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("distance", pa.float64())])
+    kinds = {c: df.schema[c].dataType for c, df in (("query_id", queries), ("id", corpus))}
+    out = pa.schema(
+        [*[(c, pa.string() if isinstance(t, T.StringType) else pa.int64()) for c, t in kinds.items()], ("distance", pa.float64())]
+    )
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q = shared.value
@@ -91,42 +96,11 @@ def _broadcast_search(corpus: DataFrame, queries: DataFrame, k: int) -> DataFram
         for batch in batches:
             if batch.num_rows:
                 best.add(_numpy(batch.column("id")), _matrix(batch.column("v")))
-        if len(best.ids):
+        if best.ids is not None:
             yield from best.table(ids, out).to_batches()
 
-    return corpus.mapInArrow(scan, "query_id bigint, id bigint, distance double")
-
-
-def _block_search(
-    corpus: DataFrame, queries: DataFrame, n_queries: int, dim: int, k: int
-) -> DataFrame:
-    """Blocks of queries against blocks of the corpus; hashing the ids keeps blocks even."""
-    rows = max(1, BLOCK_BYTES // (8 * max(1, dim)))
-    nq = max(1, -(-n_queries // rows))
-    nc = max(1, -(-corpus.count() // rows))
-
-    def block(ident: str, n: int):
-        return F.pmod(F.xxhash64(ident), F.lit(n)).cast("int")
-
-    def every(n: int):
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-
-    q = queries.select("query_id", "qv", block("query_id", nq).alias("qb"), every(nc).alias("cb"))
-    c = corpus.select("id", "v", block("id", nc).alias("cb"), every(nq).alias("qb"))
-    out = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("distance", pa.float64())])
-
-    def pair(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return out.empty_table()
-        best = _Best(_matrix(left.column("qv")), k)
-        best.add(_numpy(right.column("id")), _matrix(right.column("v")))
-        return best.table(_numpy(left.column("query_id")), out)
-
-    return (
-        q.groupBy("qb", "cb")
-        .cogroup(c.groupBy("qb", "cb"))
-        .applyInArrow(pair, "query_id bigint, id bigint, distance double")
-    )
+    schema = ", ".join(f"{c} {t.simpleString()}" for c, t in kinds.items())
+    return corpus.mapInArrow(scan, f"{schema}, distance double")
 
 
 def vector_search(
@@ -136,23 +110,46 @@ def vector_search(
     """Exact k nearest neighbours by squared L2 distance.
 
     'cosine' normalises both sides first, so distance = 2 - 2 cos. Distances are rounded to
-    nine digits and ties go to the smaller id; ids are integers.
+    nine digits and ties go to the smaller id; ids are integers or texts. Null vectors take no
+    part; vectors of different lengths or with null elements are refused.
 
-    A query side whose measured size is below ``max_broadcast_bytes`` is sent to every task and
-    the corpus is scanned once without a shuffle. Beyond it, bounded blocks are paired.
+    Queries go to every task in blocks of about ``max_broadcast_bytes``; the corpus is scanned
+    once per block without a shuffle, and at most k rows per query leave a task.
     """
     def prepare(df: DataFrame, a: str, b: str, na: str, nb: str) -> DataFrame:
         v = normalise(col(b)) if metric == "cosine" else col(b).cast(T.ArrayType(T.DoubleType()))
-        return df.select(col(a).cast("bigint").alias(na), v.alias(nb)).where(F.col(nb).isNotNull())
+        kind = "bigint" if isinstance(df.schema[a].dataType, T.IntegralType) else "string"
+        return df.select(col(a).cast(kind).alias(na), v.alias(nb)).where(F.col(nb).isNotNull())
+
+    def shape(df: DataFrame, v: str):
+        sizes = [f(F.size(v)).alias(n) for f, n in ((F.min, "low"), (F.max, "high"))]
+        broken = F.max(F.exists(v, lambda x: x.isNull())).alias("broken")
+        found = df.agg(F.count(F.lit(1)).alias("n"), *sizes, broken).first()
+        if found["broken"]:
+            raise ValueError("a vector holds a null element")
+        return found
 
     if metric not in ("l2", "cosine"):
         raise ValueError(f"unknown metric {metric!r}")
     c = prepare(corpus, ident, vec, "id", "v")
     q = prepare(queries, query_id, query_vec, "query_id", "qv")
-    size = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("qv")).alias("d")).first()
-    n, d = size["n"], size["d"] or 0
-    if n * d * 8 <= max_broadcast_bytes:
-        found = _broadcast_search(c, q, k)
-    else:
-        found = _block_search(c, q, n, d, k)
+    mine, theirs = shape(q, "qv"), shape(c, "v")
+    lengths = {x for found in (mine, theirs) for x in (found["low"], found["high"]) if x is not None}
+    if len(lengths) > 1:
+        raise ValueError(f"vectors have different lengths: {sorted(lengths)}")
+    n, d = mine["n"], mine["high"] or 0
+    blocks = max(1, -(-n * d * 8 // max(1, max_broadcast_bytes)))
+    parts = [
+        found
+        for b in range(blocks)
+        if (found := _broadcast_search(
+            c, q if blocks == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b), k
+        )) is not None
+    ]
+    if not parts:
+        none = T.StructType([q.schema["query_id"], c.schema["id"], T.StructField("distance", T.DoubleType())])
+        parts = [corpus.sparkSession.createDataFrame([], none)]
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
     return top_k(found, ["query_id"], "distance", k, ["id"], ascending=True)

@@ -374,22 +374,28 @@ def _(t: Tables):
 @reg.query("visit_context", f"""
 WITH {frames.COHORT},
 o AS (SELECT o.*, c.anchor, date_diff('day', c.anchor, o.o_orderdate::DATE) AS day FROM orders o JOIN cohort c ON c.id = o.o_custkey),
+x AS (SELECT * FROM o WHERE o_orderkey % 5 <> 0),
 f AS (SELECT v.o_orderkey, arg_max(x.o_orderpriority, {{'d': x.day, 'k': x.o_orderkey}}) AS told, max(x.day) AS fact_day
-  FROM o v LEFT JOIN o x ON x.o_custkey = v.o_custkey AND x.o_orderstatus = 'F' AND x.day < v.day GROUP BY v.o_orderkey)
-SELECT o.o_orderkey, concat_ws('. ', 'Imaging day: ' || day || ' days after diagnosis', told || ' started day ' || fact_day) || '.' AS context
-FROM o JOIN f USING (o_orderkey)""")
+  FROM o v LEFT JOIN x ON x.o_custkey = v.o_custkey AND x.o_orderstatus = 'F' AND x.day < v.day GROUP BY v.o_orderkey),
+g AS (SELECT v.o_orderkey, arg_max(x.o_orderpriority, {{'d': x.day, 'k': x.o_orderkey}}) AS told2, max(x.day) AS fact_day2
+  FROM o v LEFT JOIN x ON x.o_custkey = v.o_custkey AND x.o_orderstatus = 'O' AND x.day < v.day GROUP BY v.o_orderkey)
+SELECT o.o_orderkey, concat_ws('. ', 'Imaging day: ' || day || ' days after diagnosis', told || ' started day ' || fact_day,
+  told2 || ' started day ' || fact_day2) || '.' AS context
+FROM o JOIN f USING (o_orderkey) JOIN g USING (o_orderkey)""")
 def _(t: Tables):
     o = t("orders").join(
         frames.cohort(t).select(F.col("id").alias("o_custkey"), "anchor"), "o_custkey"
     ).withColumn("day", F.datediff(F.col("o_orderdate").cast("date"), "anchor"))
     visits = o.select("o_custkey", "o_orderkey", "day")
-    facts = o.where("o_orderstatus = 'F'").select(
-        "o_custkey", F.col("o_orderkey").alias("fact_id"), F.col("day").alias("fact_day"),
-        F.col("o_orderpriority").alias("told"),
+    # Finished and open orders are the two kinds of facts; some of them have no day.
+    facts = o.select(
+        "o_custkey", F.col("o_orderkey").alias("fact_id"), F.col("o_orderpriority").alias("told"),
+        F.when(F.col("o_orderkey") % 5 != 0, F.col("day")).alias("fact_day"), "o_orderstatus",
     )
     opening = [F.concat(F.lit("Imaging day: "), F.col("day").cast("string"), F.lit(" days after diagnosis"))]
     out = narrative.visit_context(
-        visits, facts, "o_custkey", "day", "o_orderkey", "fact_day", "fact_id", "told", opening
+        visits, facts, "o_custkey", "day", "o_orderkey", "fact_day", "fact_id", "told", opening,
+        fact_kind="o_orderstatus", kinds=["F", "O"],
     )
     return out.select("o_orderkey", "context")
 

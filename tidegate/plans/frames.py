@@ -143,7 +143,7 @@ def predictions(t: Tables) -> DataFrame:
 
 
 def sql_unit(text: str) -> str:
-    return f"(('0x' || substr(sha256({text}), 1, 8))::UBIGINT / 4294967296.0)"
+    return f"(('0x' || substr(sha256({text}), 1, 13))::UBIGINT / 4503599627370496.0)"
 
 
 PREDICTIONS = f"""

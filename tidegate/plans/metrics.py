@@ -158,15 +158,15 @@ def _(t: Tables):
 
 
 def draws_sql(replicates: int, seed: int) -> str:
-    """The resampling rule in SQL: SHA-256(seed | block | i), eight hex digits per replicate."""
+    """The resampling rule in SQL: SHA-256(seed | block | i), thirteen hex digits per replicate."""
     return f"""
 ids AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS rn, count(*) OVER () AS n
   FROM (SELECT DISTINCT id FROM preds)),
 hexes AS (SELECT blk, rn AS i, n, sha256('{seed}|' || blk || '|' || rn) AS hx
-  FROM ids CROSS JOIN range(0, {(replicates + 7) // 8}) b(blk)),
-draws AS (SELECT blk * 8 + j AS b,
-    floor((('0x' || substr(hx, (j * 8 + 1)::BIGINT, 8))::UBIGINT / 4294967296.0) * n)::BIGINT AS rn
-  FROM hexes CROSS JOIN range(0, 8) r(j) WHERE blk * 8 + j < {replicates}),
+  FROM ids CROSS JOIN range(0, {(replicates + 3) // 4}) b(blk)),
+draws AS (SELECT blk * 4 + j AS b,
+    floor((('0x' || substr(hx, (j * 13 + 1)::BIGINT, 13))::UBIGINT / 4503599627370496.0) * n)::BIGINT AS rn
+  FROM hexes CROSS JOIN range(0, 4) r(j) WHERE blk * 4 + j < {replicates}),
 boot AS (SELECT p.model, d.b, p.label, p.score FROM draws d JOIN ids USING (rn) JOIN preds p USING (id))"""
 
 
@@ -183,7 +183,7 @@ def _(t: Tables):
 
 
 @reg.query("paired_bootstrap", f"""
-WITH {P}, {draws_sql(1000, 42)}, {RANKED.format(by="model, b", src="boot")},
+WITH {P}, {draws_sql(10000, 42)}, {RANKED.format(by="model, b", src="boot")},
 kb AS (SELECT model, b, {COUNTS.format(said="score >= 0.5")} FROM boot GROUP BY model, b),
 mb AS (SELECT r.model, r.b, r.auroc, CASE WHEN r.auroc IS NOT NULL THEN {MACRO_F1} END AS macro_f1
   FROM ranking r JOIN kb USING (model, b)),
@@ -202,7 +202,7 @@ SELECT s.model_a, s.model_b,
   round(delta_{m}_lo, 6) AS delta_{m}_lo, round(delta_{m}_hi, 6) AS delta_{m}_hi, round(p_{m}, 6) AS p_{m}''' for m in ("auroc", "macro_f1"))}
 FROM spread s JOIN o a ON a.model = s.model_a JOIN o b ON b.model = s.model_b""")
 def _(t: Tables):
-    out = bootstrap.paired_bootstrap(frames.predictions(t), replicates=1000)
+    out = bootstrap.paired_bootstrap(frames.predictions(t))
     return rounded(out, *[c for c in out.columns if not c.startswith("model")])
 
 

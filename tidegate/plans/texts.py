@@ -66,8 +66,7 @@ TFIDF = f"""
 dw AS (SELECT doc_id, {grams("text")} AS w FROM documents),
 dt AS (SELECT doc_id, unnest({with_pairs("w")}) AS term FROM dw),
 post AS (SELECT doc_id, term, count(*) AS tf FROM dt GROUP BY ALL),
-vocab AS (SELECT term, count(*) AS df, sum(tf) AS cf FROM post GROUP BY term HAVING count(*) >= 2
-  ORDER BY cf DESC, term LIMIT 60000),
+vocab AS (SELECT term, count(*) AS df, sum(tf) AS cf FROM post GROUP BY term HAVING count(*) >= 2),
 terms AS (SELECT term, df, ln((1 + (SELECT count(*) FROM documents)) / (1 + df)) + 1 AS idf FROM vocab),
 w AS (SELECT doc_id, term, tf * idf AS w FROM post JOIN terms USING (term)),
 dn AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM w GROUP BY doc_id),

@@ -88,8 +88,14 @@ def conform_external(raw: DataFrame, features: list[str] | None = None) -> DataF
     return conform(df, target_schema(features), mapping)
 
 
+def _or_number(name: str, worded: Column) -> Column:
+    """A value of a numeric column is a code already; words go through the rules."""
+    number = F.when(F.typeof(col(name)) != "string", col(name).cast("string").try_cast("double"))
+    return F.coalesce(F.when(~F.isnan(number), number.cast("bigint").cast("string")), worded)
+
+
 def _mutation(name: str, unknown: int) -> Column:
-    return normalise_value(col(name), v.FORM_MUTATION, str(unknown), when_missing=str(unknown))
+    return _or_number(name, normalise_value(col(name), v.FORM_MUTATION, str(unknown), when_missing=str(unknown)))
 
 
 def _rules(name: str, rules: list, default: object = None, when_missing: object = None) -> Column:
@@ -134,9 +140,9 @@ def encode_form(df: DataFrame, ident: str, features: list[str] | None = None) ->
         "Grade of Previous brain tumor": _rules("grade_previous_brain_tumor", FORM_PREVIOUS_GRADE),
         "IDH1 mutation": _mutation("idh1", 2),
         "IDH2 mutation": _mutation("idh2", 2),
-        "1p/19q": _rules("codeletion_1p19q", v.FORM_CODELETION, "10", "10"),
+        "1p/19q": _or_number("codeletion_1p19q", _rules("codeletion_1p19q", v.FORM_CODELETION, "10", "10")),
         "ATRX mutation": _mutation("atrx", 4),
-        "MGMT methylation": _rules("mgmt", v.FORM_MGMT, "4", "4"),
+        "MGMT methylation": _or_number("mgmt", _rules("mgmt", v.FORM_MGMT, "4", "4")),
         "BRAF V600E mutation": _mutation("braf", 2),
         "TERT promoter mutation": _mutation("tert", 2),
         "Chromosome 7 gain and Chromosome 10 loss": _rules("chr7_10", FORM_CHROMOSOMES, "2", "2"),
