@@ -13,8 +13,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidegate.llm import chat, decontaminate, linededup, neardup, packing, pii, queries, tokencount, topk, toxicity, warc
-from tidegate.llm.common import run_folder
 from tidegate.plans import Tables
+from tidegate.session import run_folder
 
 FOLDER = "/root/testdata/sf0.001"
 WORDS = ["".join("bcdfghklmn"[int(d)] + "aeiou"[i % 5] for d in f"{i:03}") for i in range(400)]
@@ -311,11 +311,19 @@ def test_histograms_are_packed_without_gaps():
         assert len(bins) <= len(first_fit) + 1
 
 
-def test_word_memory_gives_the_ids_of_whole_texts(documents):
+def test_word_memory_gives_the_ids_of_whole_texts(documents, monkeypatch):
     spec = tokencount.TokenizerSpec(public_tokenizers.path("word_bpe_49k.json"))
     odd = ["", "Σας ΣΑΣ Σ", "é x́ ́", "<|startoftext|> a<|endoftext|>b", "it's WE'LL 12 a1", "\x1ca\x85b  c\x0bd", "日本 語"]
-    for text in odd + [t for _, t in documents]:
-        assert packing.token_bytes(text.encode(), spec) == np.asarray(spec.ids(text), "<u4").tobytes()
+    rnd = random.Random(9)
+    letters = "aAΣσ ' .,.,!*́ͅſKW̊ẞ1É9×É<S\n\x1cß-\"&"
+    odd += ["".join("<|endoftext|>" if rnd.random() < 0.03 else rnd.choice(letters) for _ in range(rnd.randint(0, 25))) for _ in range(5000)]
+    texts = odd + [t for _, t in documents]
+    for memo in (packing.MEMO, 50):
+        monkeypatch.setattr(packing, "MEMO", memo)
+        for i in range(0, len(texts), 100):
+            part = texts[i : i + 100]
+            want = [np.asarray(spec.ids(t), "<u4").tobytes() for t in part]
+            assert packing.token_bytes([t.encode() for t in part], spec) == want
 
 
 def test_pieces_hold_every_token_once(spark, rows, documents):

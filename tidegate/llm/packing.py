@@ -21,13 +21,18 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.scalar import col
 from ..session import cut
-from .common import each_batch
+from .common import each_batch, texts_as_bytes
 from .tokencount import TokenizerSpec
 
 #: Pieces of one length and bucket that a window brings together, on average.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 1000
 #: Distinct words whose ids a worker remembers at most before it forgets all of them.
-MEMO = 400_000
+MEMO = 1_000_000
+
+#: Bytes of text whose words a worker holds at a time, if there is more than one text.
+CHUNK = 2 << 20
+#: Punctuation that may be taken off the end of a word.
+ENDS = b".,;:!?*&$#%)]}\"-"
 
 _MEMO: dict[tuple[str, str], dict[bytes, bytes]] = {}
 
@@ -127,27 +132,78 @@ def solve(counts: dict[int, int], capacity: int) -> list[Slot]:
     return slots
 
 
-def token_bytes(text: bytes, tokenizer: TokenizerSpec) -> bytes:
-    """Little-endian unsigned 32-bit ids of a whole text, word by word with a memory of words.
+def plain(word: bytes) -> tuple[bytes, bytes]:
+    """A word that gives the same ids, and the punctuation behind it, which is a token run of its own.
+
+    Only changes that these tokenizers undo anyway: case of letters up to U+00FF, and a run of
+    ASCII punctuation (no apostrophes, nothing that special tokens are made of) after a letter or
+    digit of that range, which always ends a run of letters or digits.
+    """
+    body = word.rstrip(ENDS)
+    if len(body) < len(word) and not (body[-1:].isalnum() or (body[-2:-1] == b"\xc3" and body[-1:] not in b"\x97\xb7")):
+        body = word
+    end = word[len(body) :]
+    if b"<" not in body:
+        if body.isascii():
+            body = body.lower()
+        else:
+            text = body.decode("utf-8", "replace")
+            if max(text) < "\u0100":
+                body = text.lower().encode()
+    return body, end
+
+
+def encode_words(words: list[bytes], tokenizer: TokenizerSpec) -> list[bytes]:
+    """Ids of each word by the library, many words per call with a special token between them.
+
+    The library takes such a token out before anything else and encodes what lies between on its
+    own; words that hold a part of one are encoded by themselves.
+    """
+    library = tokenizer.load()
+    special = [(i, t.content) for i, t in library.get_added_tokens_decoder().items() if t.special and not t.normalized]
+    out: dict[bytes, bytes] = {}
+    if special:
+        number, mark = special[0]
+        safe = [w for w in words if mark[0].encode() not in w and mark[-1].encode() not in w]
+        for start in range(0, len(safe), 1000):
+            part = safe[start : start + 1000]
+            text = mark.join([w.decode("utf-8", "replace") for w in part])
+            ids = np.asarray(library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.r_[np.flatnonzero(ids == number), len(ids)]
+            begins = np.r_[0, ends[:-1] + 1]
+            out.update((w, ids[a:b].tobytes()) for w, a, b in zip(part, begins, ends))
+    for word in words:
+        if word not in out:
+            out[word] = np.asarray(tokenizer.ids(word.decode("utf-8", "replace")), "<u4").tobytes()
+    return [out[w] for w in words]
+
+
+def token_bytes(texts: list[bytes], tokenizer: TokenizerSpec) -> list[bytes]:
+    """Little-endian unsigned 32-bit ids of whole texts, word by word with a memory of words.
 
     The tokenizers in use drop white space before they look at words, so that ids of a text are
     the ids of its words between ASCII white space, one after the other; the library itself
     encodes each distinct word. ``tests/llm`` holds this against whole-text encoding.
     """
+    if len(texts) > 1 and sum(map(len, texts)) > CHUNK:  # words of a few texts are held at a time
+        half = len(texts) // 2
+        return token_bytes(texts[:half], tokenizer) + token_bytes(texts[half:], tokenizer)
     known = _MEMO.setdefault((tokenizer.kind, tokenizer.path), {})
-    words = text.split()
-    missing = list({w for w in words if w not in known})
-    if missing:
-        if len(known) + len(missing) > MEMO:
-            known.clear()
-            missing = list(set(words))
-        for start in range(0, len(missing), 1000):
-            part = missing[start : start + 1000]
-            decoded = [w.decode("utf-8", "replace") for w in part]
-            found = tokenizer.load().encode_batch_fast(decoded, add_special_tokens=False)
-            for word, encoded in zip(part, found):
-                known[word] = np.asarray(encoded.ids, "<u4").tobytes()
-    return b"".join([known[w] for w in words])
+    split = [t.split() for t in texts]
+    missing = {w for words in split for w in words if w not in known}
+    if not missing:
+        return [b"".join([known[w] for w in words]) for words in split]
+    if len(known) + len(missing) > MEMO:
+        known.clear()
+        missing = {w for words in split for w in words}
+    parts = {w: plain(w) for w in missing}
+    fresh = {part for pair in parts.values() for part in pair if part and part not in known}
+    again = {w for w, (body, _) in parts.items() if body not in fresh}
+    known.update(zip(fresh, encode_words(list(fresh), tokenizer)))
+    # A spelling is remembered from its second time on; most rare words come once.
+    once = {w: known[body] + known[end] if end else known[body] for w, (body, end) in parts.items()}
+    known.update((w, once[w]) for w in again)
+    return [b"".join([known[w] if w in known else once[w] for w in words]) for words in split]
 
 
 def cut_pieces(
@@ -162,8 +218,8 @@ def cut_pieces(
 
     def pieces(batch: pa.RecordBatch) -> pa.RecordBatch:
         idents, rows, which, starts, lengths, sums = batch.column("doc_id"), [], [], [], [], []
-        for row, value in enumerate(batch.column("body").cast(pa.binary())):
-            ids = token_bytes(value.as_py(), tokenizer) + tail
+        for row, ids in enumerate(token_bytes(texts_as_bytes(batch.column("body")), tokenizer)):
+            ids += tail
             for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                 part = ids[at : at + 4 * capacity]
                 rows.append(row)
@@ -200,12 +256,12 @@ def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
     spark = pieces.sparkSession
     stored = cut(pieces)
     counted = {r["length"]: r["n"] for r in stored.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    total = sum(counted.values())
     slots = sorted(solve(counted, capacity), key=lambda s: (s.length, s.rank))
 
-    buckets = max(1, total // BUCKET_ROWS)
-    bucket = F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(buckets)).alias("bucket")
-    dealt = stored.select("*", bucket)
+    # One row per length, at most ``capacity`` of them.
+    shares = spark.createDataFrame([(k, n // BUCKET_ROWS + 1) for k, n in counted.items()], "length long, buckets long")
+    bucket = F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), "buckets").alias("bucket")
+    dealt = stored.join(F.broadcast(shares), "length").select(*stored.columns, bucket)
     sizes = dealt.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     before = sizes.select(
         "length",
