@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..plans.registry import Registry, Tables
+from ..session import run_folder
 from . import chat, decontaminate, linededup, neardup, packing, pii, tokencount, topk, toxicity, warc
-from .common import run_folder
 
 reg = Registry()
 
