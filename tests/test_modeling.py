@@ -74,3 +74,50 @@ def test_boosted_trees_learn_and_rank_features(spark):
     assert top[0]["feature"] == "f1"
     assert modeling.log_loss(modeling.positive_probability(model.transform(valid))) < 0.6
     assert modeling.log_loss(df.withColumn("score", F.lit(0.5))) == pytest.approx(np.log(2))
+
+
+def test_levels_without_limit(spark):
+    df = spark.range(1500).selectExpr("id", "concat('v', id) AS c", "if(id % 2 = 0, null, 'x') AS d")
+    levels = modeling.fit_levels(df, ["c", "d"])
+    assert levels.count() == 1500 + 1 + 1 + 1
+    assert sorted(r.position for r in levels.collect()) == list(range(1503))
+    other = spark.createDataFrame([(1, "v7", None), (2, "new", "x"), (3, None, None)], "id int, c string, d string")
+    names = {r.position: (r.column, r.value) for r in levels.collect()}
+    got = {(r.id, *names[r.position]) for r in modeling.encode_levels(other, "id", ["c", "d"], levels).collect()}
+    assert got == {(1, "c", "v7"), (1, "d", None), (2, "d", "x"), (3, "c", None), (3, "d", None)}
+    with pytest.raises(ValueError, match="fit_levels"):
+        modeling.fit_encoder(df, [], ["c"])
+
+
+def test_a_changed_test_row_leaves_the_fold_as_it_is(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(60, 4))
+    seen = []
+
+    def prepare(train):
+        fitted = modeling.fit_pca(train, "v", 2)
+        seen.append(fitted.components.round(9).tolist())
+        return lambda df: fitted(df).withColumn("features", array_to_vector("pca"))
+
+    def run(shift):
+        rows = [(i, [float(a) for a in r + (shift if i % 5 == 0 else 0)], int(r[0] > 0), "Test" if i % 5 == 0 else "Validation" if i % 5 == 1 else "Train", 0) for i, r in enumerate(x)]
+        folds = spark.createDataFrame(rows, "id int, v array<double>, label int, split string, fold int")
+        model = modeling.fitted_inside(prepare, modeling.logistic_model())
+        return modeling.cross_validate(folds, 1, {"m": model}, "id", calibrate=False).count()
+
+    assert run(0) == run(100) == 12 and seen[0] == seen[1]
+
+
+def test_penalised_logistic_is_that_of_c(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(80, 2))
+    y = (x[:, 0] + rng.normal(size=80) > 0.5).astype(int)
+    df = spark.createDataFrame([(float(a), float(b), int(c)) for (a, b), c in zip(x, y)], "a double, b double, label int")
+    df = df.withColumn("features", array_to_vector(F.array("a", "b")))
+    got = np.array([r.score for r in modeling.logistic_model(0.5)(df, df)(df).select("score").collect()])
+    z, w = np.c_[x, np.ones(80)], np.where(y == 1, 40 / y.sum(), 40 / (80 - y.sum()))
+    b, ridge = np.zeros(3), np.diag([2.0, 2.0, 0.0])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-z @ b))
+        b -= np.linalg.solve((z * (w * p * (1 - p))[:, None]).T @ z + ridge, z.T @ (w * (p - y)) + ridge @ b)
+    assert got == pytest.approx(1 / (1 + np.exp(-z @ b)), abs=1e-4)

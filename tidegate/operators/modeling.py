@@ -17,13 +17,14 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.scalar import col
 from ..session import cut
 from .aggregates import long_form
+from .bootstrap import bootstrap_ci
 from .evaluation import evaluate, platt, pool_oof
 from .onerow import with_one_row
 from .ranking import top_by_abs
-from .running import exact_percentiles
+from .running import exact_percentiles, row_numbers
 
-# More levels than this make a one-hot column useless; the limit also bounds what is collected.
-MAX_LEVELS = 1000
+# Wide one-hot columns are made for at most this many levels in all; ``encode_levels`` has no limit.
+MAX_COLUMNS = 1000
 
 
 def level_table(train: DataFrame, cat: Sequence[str]) -> DataFrame:
@@ -94,19 +95,41 @@ class Encoder:
 def fit_encoder(
     train: DataFrame, num: Sequence[str], cat: Sequence[str], fill: float | str = -999.0
 ) -> Encoder:
-    """Fit on training rows only. ``fill`` is a number or 'median'."""
+    """Fit on training rows only. ``fill`` is a number or 'median'.
+
+    A column per level, so the levels of all fields together are limited to ``MAX_COLUMNS``; more
+    of them belong in the long form of ``fit_levels`` and ``encode_levels``.
+    """
     numeric = fit_median(train, num).values if fill == "median" and num else dict.fromkeys(num, fill)
     levels: dict[str, list[str]] = {c: [] for c in cat}
     if cat:
-        limit = MAX_LEVELS * len(cat)
-        found = level_table(train, cat).limit(limit + 1).collect()
-        if len(found) > limit:
-            raise ValueError(f"more than {MAX_LEVELS} levels per categorical column")
+        found = level_table(train, cat).limit(MAX_COLUMNS + 1).collect()
+        if len(found) > MAX_COLUMNS:
+            raise ValueError(f"more than {MAX_COLUMNS} levels in all: use fit_levels and encode_levels")
         for r in found:
             levels[r["column"]].append(r["value"])
     return Encoder({c: float(v) for c, v in numeric.items()}, {c: tuple(sorted(v)) for c, v in levels.items()})
 
 
+def fit_levels(train: DataFrame, cat: Sequence[str]) -> DataFrame:
+    """(column, value, position) of all training levels and of one missing level (null) per column.
+
+    Positions are dense from 0 in order of column and value. Any number of levels: the table is
+    numbered range by range and never collected.
+    """
+    missing = train.sparkSession.createDataFrame([(c, None) for c in cat], "column string, value string")
+    levels = level_table(train, cat).unionByName(missing)
+    numbered = row_numbers(levels, [], ["column", "value"], "position")
+    return cut(numbered.withColumn("position", F.col("position") - 1))
+
+
+def encode_levels(df: DataFrame, ident: str, cat: Sequence[str], levels: DataFrame) -> DataFrame:
+    """The ones of the one-hot matrix as rows (ident, position); unknown levels have none."""
+    long = long_form(df, [ident], cat, "column", "value")
+    same = (long["column"] == levels["column"]) & long["value"].eqNullSafe(levels["value"])
+    return long.join(levels, same).select(long[ident], levels["position"])
+
+
 @dataclass(frozen=True)
 class Scaler:
     stats: dict[str, tuple[float, float]]
@@ -233,6 +256,31 @@ def prior_only() -> FitScore:
     return lambda train, valid: lambda df: df.withColumn("score", F.lit(0.5))
 
 
+def fitted_inside(prepare: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], fit: FitScore) -> FitScore:
+    """A model with its preparation: ``prepare`` sees the training rows of each fold and no others."""
+
+    def run(train: DataFrame, valid: DataFrame) -> Callable[[DataFrame], DataFrame]:
+        ready = prepare(train)
+        scorer = fit(ready(train), ready(valid))
+        return lambda df: scorer(ready(df))
+
+    return run
+
+
+def logistic_model(c: float = 1.0, label: str = "label", max_iter: int = 200) -> FitScore:
+    """Class-balanced logistic regression with penalty |w|^2 / (2 c) on the sum of weighted losses."""
+
+    def fit(train: DataFrame, valid: DataFrame) -> Callable[[DataFrame], DataFrame]:
+        rows = class_weights(train.withColumn(label, col(label).cast("double")), label)
+        total = rows.agg(F.sum("weight").alias("w")).first()["w"] or 1.0
+        model = LogisticRegression(
+            labelCol=label, weightCol="weight", regParam=1 / (c * total), standardization=False, maxIter=max_iter
+        ).fit(rows)
+        return lambda df: positive_probability(model.transform(df))
+
+    return fit
+
+
 def estimator_model(estimator: Estimator, balanced: bool = False, label: str = "label") -> FitScore:
     def fit(train: DataFrame, valid: DataFrame) -> Callable[[DataFrame], DataFrame]:
         rows = train.withColumn(label, col(label).cast("double"))
@@ -259,14 +307,13 @@ def baseline_models(
     n_features: int, label: str = "label", seed: int = 42, hidden: Sequence[int] = (64, 32),
     max_iter: int = 200,
 ) -> dict[str, FitScore]:
-    """Prior only, class-balanced logistic regression and a two-layer perceptron."""
-    logistic = LogisticRegression(labelCol=label, regParam=0.0, maxIter=max_iter)
+    """Prior only, class-balanced logistic regression (C = 1) and a two-layer perceptron."""
     mlp = MultilayerPerceptronClassifier(
         labelCol=label, layers=[n_features, *hidden, 2], seed=seed, maxIter=max_iter
     )
     return {
         "prior": prior_only(),
-        "logistic": estimator_model(logistic, balanced=True, label=label),
+        "logistic": logistic_model(1.0, label, max_iter),
         "mlp": estimator_model(mlp, label=label),
     }
 
@@ -359,9 +406,12 @@ def cross_validate(
 
 def external_validation(
     train: DataFrame, external: DataFrame, models: dict[str, FitScore], ident: str,
-    label: str = "label", tau: float = 0.5,
+    label: str = "label", tau: float = 0.5, replicates: int = 0,
 ) -> tuple[DataFrame, DataFrame]:
-    """Fit on one cohort, score another: predictions and one metric row per model."""
+    """Fit on one cohort, score another: predictions and one metric row per model.
+
+    With ``replicates`` the report has bootstrap intervals of AUROC, average precision and macro-F1.
+    """
     train = cut(train)
     preds = None
     for name, fit in models.items():
@@ -371,7 +421,14 @@ def external_validation(
         preds = one if preds is None else preds.unionByName(one)
     # Scored once: every metric reads the written predictions.
     preds = cut(preds)
-    return preds, evaluate(preds, ["model"], tau)
+    report = evaluate(preds, ["model"], tau)
+    if replicates:
+        spread = bootstrap_ci(
+            preds, ["model"], ("auroc", "average_precision", "macro_f1"), replicates, tau=tau,
+            ident="id", label="label", score="score",
+        )
+        report = report.join(spread.drop("n_valid"), "model")
+    return preds, report
 
 
 def group_contributions(

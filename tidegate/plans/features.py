@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import functions as F
 
 from ..functions.hashing import unit_hash
 from ..operators import audit, modeling, narrative, retrieval, scorecard, splits
+from ..operators.evaluation import tuned_report
 from ..operators.narrative import Block, Field, RenderGate
+from ..operators.onerow import with_one_row
 from ..presets import scorecards
 from ..presets.prompts import INSTRUCTION, TAIL
 from . import frames, texts
@@ -109,12 +110,20 @@ def vectors(t: Tables):
     )
 
 
+def hybrid(t: Tables, k: int = 8):
+    """Reduced vectors beside a feature column; the reduction sees the rows it is fitted on only."""
+    extra = t("embeddings").select("vec_id", F.element_at("embedding", 1).alias("first"))
+
+    def prepare(train):
+        reduce_vectors = modeling.fit_pca(train, "embedding", k)
+        return lambda df: modeling.assemble_hybrid(reduce_vectors(df), extra, "vec_id", "pca", ["first"])
+
+    return prepare
+
+
 def hybrid_matrix(t: Tables, k: int = 8):
     v = vectors(t)
-    train = v.where("split = 'Train'")
-    reduced = modeling.fit_pca(train, "embedding", k)(v)
-    extra = t("embeddings").select("vec_id", F.element_at("embedding", 1).alias("first"))
-    return modeling.assemble_hybrid(reduced, extra, "vec_id", "pca", ["first"])
+    return hybrid(t, k)(v.where("split = 'Train'"))(v)
 
 
 def parts(df):
@@ -135,43 +144,38 @@ def _(t: Tables):
     return hybrid_matrix(t).select("vec_id", "label", vector_to_array("features").alias("features"))
 
 
-SMALL_GBT = {"max_iter": 10, "max_depth": 2, "step": 0.2}
-
-
 @reg.query("fit_gbt")
 def _(t: Tables):
     train, valid, test = parts(hybrid_matrix(t))
-    model = modeling.fit_gbt(
-        modeling.class_weights(train, "label"), valid, weight="weight", **SMALL_GBT
-    )
+    model = modeling.fit_gbt(modeling.class_weights(train, "label"), valid, weight="weight")
     return modeling.positive_probability(model.transform(test)).select("vec_id", "label", "score")
 
 
 @reg.query("search")
 def _(t: Tables):
-    train, valid, _ = parts(hybrid_matrix(t))
-    _, _, log = modeling.search(
-        train, valid, lambda **p: modeling.gbt_model(**p),
-        {"max_iter": ("int", 3, 6), "max_depth": ("choice", [1, 2]), "step": ("log", 0.05, 0.5)}, trials=2,
-    )
-    return log
+    """Twenty trials of the penalty, the best of them scored once on the test rows."""
+    train, valid, test = parts(hybrid_matrix(t))
+    _, best, log = modeling.search(train, valid, modeling.logistic_model, {"c": ("log", 0.001, 1000.0)})
+    tagged = [best(df).select(F.lit("best").alias("model"), "label", "score") for df in (valid, test)]
+    report = tuned_report(*tagged, ["model"]).drop("model")
+    return with_one_row(log, report)
 
 
 @reg.query("cross_validate")
 def _(t: Tables):
-    v = hybrid_matrix(t).drop("split", "embedding", "pca")
-    folds = splits.stratified_folds(v, "vec_id", "label", k=2)
+    v = vectors(t).drop("split")
+    folds = splits.stratified_folds(v, "vec_id", "label", k=5)
     models = {
-        "prior": modeling.prior_only(),
-        "logistic": modeling.estimator_model(LogisticRegression(maxIter=20), balanced=True),
+        name: fit if name == "prior" else modeling.fitted_inside(hybrid(t), fit)
+        for name, fit in modeling.baseline_models(9).items()
     }
-    return modeling.cross_validate(folds, 2, models, "vec_id", n_expected=v.count())
+    return modeling.cross_validate(folds, 5, models, "vec_id", n_expected=v.count())
 
 
 @reg.query("baselines")
 def _(t: Tables):
     train, valid, test = parts(hybrid_matrix(t))
-    models = modeling.baseline_models(9, hidden=(8, 4), max_iter=20)
+    models = modeling.baseline_models(9)
     scored = [
         fit(train, valid)(test).select(F.lit(n).alias("model"), "vec_id", "label", "score")
         for n, fit in models.items()
@@ -181,9 +185,11 @@ def _(t: Tables):
 
 @reg.query("external_validation")
 def _(t: Tables):
-    train, _, test = parts(hybrid_matrix(t))
-    models = {"logistic": modeling.estimator_model(LogisticRegression(maxIter=20), balanced=True)}
-    return modeling.external_validation(train, test, models, "vec_id")[1]
+    """Train and Validation rows are the cohort, Test rows the external one."""
+    matrix = hybrid_matrix(t)
+    pooled, external = matrix.where("split <> 'Test'"), matrix.where("split = 'Test'")
+    models = modeling.baseline_models(9)
+    return modeling.external_validation(pooled, external, models, "vec_id", replicates=1000)[1]
 
 
 SPLIT = """
