@@ -6,6 +6,7 @@ import pytest
 HERE = os.path.dirname(os.path.abspath(__file__))
 sys.path[:0] = [os.path.dirname(HERE), HERE]
 
+from tidegate.plans import Tables, load  # noqa: E402
 from tidegate.session import build_session  # noqa: E402
 
 
@@ -19,6 +20,19 @@ def spark():
     session.stop()
 
 
+@pytest.fixture(scope="session")
+def planned(spark):
+    """The registered query of a name over one folder, planned once however many tests look at it."""
+    plans, made = load().plans, {}
+
+    def plan(name, folder):
+        if (name, folder) not in made:
+            made[name, folder] = plans[name](Tables(spark, folder))
+        return made[name, folder]
+
+    return plan
+
+
 @pytest.fixture()
 def rows(spark):
     """DataFrame from a schema text and tuples."""

@@ -13,8 +13,8 @@ def plan_of(df):
 
 
 @pytest.mark.parametrize("name", sorted(REG.plans))
-def test_no_product_joins_and_no_row_udfs(spark, name):
-    plan = plan_of(REG.plans[name](Tables(spark, FOLDER)))
+def test_no_product_joins_and_no_row_udfs(planned, name):
+    plan = plan_of(planned(name, FOLDER))
     for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython"):
         assert bad not in plan
 

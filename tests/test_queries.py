@@ -5,7 +5,7 @@ import os
 import oracle
 import pytest
 
-from tidegate.plans import Tables, load
+from tidegate.plans import load
 
 FOLDER = os.environ.get("TIDEGATE_TEST_DATA", "/root/testdata/sf0.001")
 REG = load()
@@ -17,10 +17,10 @@ def con():
 
 
 @pytest.mark.parametrize("name", sorted(REG.sql))
-def test_matches_sql(spark, con, name):
-    assert oracle.compare(spark, con, REG.plans[name], REG.sql[name], FOLDER) is None
+def test_matches_sql(spark, con, planned, name):
+    assert oracle.compare(spark, con, lambda t: planned(name, FOLDER), REG.sql[name], FOLDER) is None
 
 
 @pytest.mark.parametrize("name", sorted(set(REG.plans) - set(REG.sql)))
-def test_runs(spark, name):
-    assert REG.plans[name](Tables(spark, FOLDER)).count() > 0
+def test_runs(planned, name):
+    assert planned(name, FOLDER).count() > 0
