@@ -6,23 +6,26 @@ and then in both sketches, so that links share most of their retained values:
 
 1. documents of equal sets become one node, named by the smallest id;
 2. nodes that share hardly any of their 32 smallest values with others are put aside, the rest
-   get sketches of k = 128 and keep their full sets;
+   get sketches of k = 512 and keep their full sets;
 3. inverted lists of retained values: to share ``need`` of them, two nodes must share one of the
    len - need + 1 that are rarest, so common passages make no lists unless most of a text is
    common;
 4. nodes are compared along these lists, first each with the one that shares most lists with it,
    round by round while components grow, and at last every pair of a list that is still in
-   different components; size and union-sketch estimates filter, the full sets decide;
+   different components; sizes and the difference of sketches, bounded from below by bitmaps,
+   filter, the full sets decide;
 5. links are contracted to components.
 
 Members of one component are never paired with each other again, so a group of thousands of
-copies costs a few comparisons per member. Nothing is capped. ``need`` is a proven bound for
-sets up to k; beyond, a link with J = 0.75 is missed with a chance below 1e-8, and far below for
-more similar texts.
+copies costs a few comparisons per member. Nothing is capped. Links of sets up to 32 shingles are
+bound to be found (in step 3, those of sets up to 384); beyond, a link with J = 0.75 is missed with
+a chance below 1e-8, by the Chernoff bound, and far below for more similar texts.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -33,10 +36,12 @@ from ..session import cut
 from .common import each_batch, texts_as_bytes
 
 WORDS = 5
-K, NEED = 128, 64
+K, NEED = 512, 307
 FIRST, FIRST_NEED = 32, 8
 #: Rounds in which every node meets one more partner before the rest is paired.
 ROUNDS = 3
+#: Longs of a bitmap over a sketch.
+LONGS = 16
 #: Words whose hashes a worker remembers before it forgets all of them.
 MEMO = 500_000
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -73,7 +78,15 @@ def shingle_set(text: bytes) -> np.ndarray:
 
 def needed(n: Column) -> Column:
     """Retained values that a link must share, from the size of the full set."""
-    return F.when(n <= K, F.floor((2 * n + 2) / 3)).otherwise(NEED).cast("int")
+    whole = F.when(4 * n <= 3 * K, F.ceil(3 * n / 4)).otherwise(F.ceil(2 * n / 3))
+    return F.when(n <= K, whole).otherwise(NEED).cast("int")
+
+
+def bitmap(values: np.ndarray) -> np.ndarray:
+    """Bits of the values' places modulo 1024."""
+    bits = np.zeros(64 * LONGS, np.uint8)
+    bits[values % len(bits)] = 1
+    return np.packbits(bits).view(np.int64)
 
 
 def summaries(docs: DataFrame, ident: str, text: str) -> DataFrame:
@@ -107,7 +120,7 @@ def survivors(nodes: DataFrame) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, ident: str, text: str, wanted: DataFrame) -> DataFrame:
-    """node, n and the full sorted set of the wanted nodes (node, same), written once."""
+    """node, n, the full sorted set and its bitmap of the wanted nodes (node, same), written once."""
     kind = docs.schema[ident].dataType.simpleString()
 
     def build(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -115,27 +128,49 @@ def full_sets(docs: DataFrame, ident: str, text: str, wanted: DataFrame) -> Data
         # Another text under the same id is another node's.
         own = [xxhash.xxh3_128_digest(s.tobytes()) == d for s, d in zip(sets, batch.column("same").to_pylist())]
         made = pa.RecordBatch.from_arrays(
-            [batch.column("node"), pa.array([len(s) for s in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))],
-            ["node", "n", "hashes"],
+            [
+                batch.column("node"),
+                pa.array([len(s) for s in sets], pa.int64()),
+                pa.array(sets, pa.list_(pa.int64())),
+                pa.array([bitmap(s[:K]) for s in sets], pa.list_(pa.int64())),
+            ],
+            ["node", "n", "hashes", "bits"],
         )
         return made.filter(pa.array(own))
 
     source = docs.select(col(ident).alias("node"), col(text).cast("string").alias("body")).join(wanted, "node")
-    return cut(source.mapInArrow(each_batch(build), f"node {kind}, n long, hashes array<long>"))
+    return cut(source.mapInArrow(each_batch(build), f"node {kind}, n long, hashes array<long>, bits array<long>"))
 
 
 def inverted_lists(sets: DataFrame) -> DataFrame:
-    """v, node and n: the retained values by which links are bound to be found, written once."""
-    values = sets.select("node", "n", F.explode(F.slice("hashes", 1, K)).alias("v"))
-    common = values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
-    held = values.join(common, "v").groupBy("node", "n").agg(
-        F.sort_array(F.collect_list(F.struct("df", "v"))).alias("shared")  # at most K of them
-    )
+    """v, node, n, c and early: the retained values by which links are bound to be found, written once.
+
+    ``c`` is how many of its retained values the node shares with any other; ``early`` marks the
+    values that are enough to find partners that are not smaller.
+    """
     length = F.least(F.col("n"), F.lit(K)).cast("int")
+    kept = sets.select("node", "n", F.slice("hashes", 1, K).alias("values"))
+    for last in (False, True):
+        values = kept.select("node", "n", F.explode("values").alias("v"))
+        common = values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
+        shared = F.sort_array(F.collect_list(F.struct("df", "v")))  # at most K of them
+        held = values.join(common, "v").groupBy("node", "n").agg(shared.alias("shared"))
+        # Nodes that share too little are no one's partner; what only they shared is shared no more.
+        enough = held.where(F.size("shared") >= needed(F.col("n")))
+        if not last:
+            kept = cut(enough.select("node", "n", F.transform("shared", lambda s: s["v"]).alias("values")))
     alone = length - F.size("shared")  # held by no other node: rarest of all
     prefix = length - needed(F.col("n")) + 1 - alone
-    rare = held.where(prefix > 0).select("node", "n", F.explode(F.slice("shared", F.lit(1), prefix)).alias("s"))
-    return cut(rare.select(F.col("s.v").alias("v"), "node", "n"))
+    # A partner that is no smaller shares six sevenths of a set at least: fewer values will do.
+    strict = F.when(4 * F.col("n") <= 3 * K, F.ceil(6 * F.col("n") / 7)).otherwise(needed(F.col("n")))
+    rare = enough.select(
+        "node", "n", F.size("shared").cast("long").alias("c"), (length - strict + 1 - alone).alias("few"),
+        F.posexplode(F.slice("shared", F.lit(1), prefix)).alias("at", "s"),
+    ).select(F.col("s.v").alias("v"), "node", "n", "c", (F.col("at") < F.col("few")).alias("early"))
+    # A node that shares too little for the smallest node of a list has no link in it.
+    lowest = rare.groupBy("v").agg(F.min("n").alias("lowest"))
+    hopeful = F.col("c") >= overlap(F.col("n"), F.greatest("lowest", F.ceil(3 * F.col("n") / 4)))
+    return cut(rare.join(lowest, "v").where(hopeful).drop("lowest"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -168,21 +203,46 @@ def similar(x: np.ndarray, y: np.ndarray) -> bool:
     return 100 * shared >= 75 * (len(x) + len(y) - shared)
 
 
-def sized(pairs: DataFrame) -> DataFrame:
-    """Pairs whose sizes allow a link."""
-    return pairs.where(4 * F.least("na", "nb") >= 3 * F.greatest("na", "nb"))
+def overlap(na: Column, nb: Column) -> Column:
+    """Retained values that two sets of these sizes must share for a link."""
+    low, high = F.least(na, nb), F.greatest(na, nb)
+    shared = F.ceil(3 * (na + nb) / 7)  # of the full sets
+    return F.when(high <= K, shared).when(low <= K, shared - (high - K)).otherwise(NEED)
+
+
+def possible(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
+    """Whether sizes, shared values and bitmaps of two nodes (n, c, bits) allow a link.
+
+    A bit that only one sketch has is a value that only this sketch has, so the bits bound from
+    below how many of its values a sketch does not share.
+    """
+    na, nb, bits_a, bits_b = a("n"), b("n"), a("bits"), b("bits")
+    low, high, least = F.least(na, nb), F.greatest(na, nb), overlap(na, nb)
+
+    def only(x: Column, y: Column) -> Column:
+        return sum((F.bit_count(x[i].bitwiseAND(F.bitwise_not(y[i]))) for i in range(LONGS)), F.lit(0))
+
+    return (
+        (4 * low >= 3 * high)
+        & (F.least(a("c"), b("c")) >= least)
+        & (only(bits_a, bits_b) <= F.least(na, F.lit(K)) - least)
+        & (only(bits_b, bits_a) <= F.least(nb, F.lit(K)) - least)
+    )
 
 
-def best_partners(lists: DataFrame, tested: DataFrame | None) -> DataFrame:
+def best_partners(lists: DataFrame, tested: DataFrame | None, number: int) -> DataFrame:
     """Per node the node of another component with which it shares most lists, of those that
-    stand at an end of a list and were not tried yet: (a, b). ``lists`` has v, node, n and comp."""
-    heads = lists.groupBy("v").agg(
-        F.min(F.struct("comp", "node", "n")).alias("low"), F.max(F.struct("comp", "node", "n")).alias("high")
-    ).where(F.col("low.comp") != F.col("high.comp"))
+    head a list in this round and were not tried yet: (a, b). ``lists`` has v, node, n, c, comp and bits.
+
+    A list is headed by one node of its first and one of its last component, other ones each round.
+    """
+    place = F.struct("comp", F.xxhash64("node", F.lit(number)).alias("h"), "node", "n", "c", "bits")
+    heads = lists.groupBy("v").agg(F.min(place).alias("low"), F.max(place).alias("high")).where(F.col("low.comp") != F.col("high.comp"))
     met = lists.join(heads, "v")
     other = F.when(F.col("comp") != F.col("low.comp"), F.col("low")).otherwise(F.col("high"))
-    pairs = met.select(F.col("node").alias("b"), F.col("n").alias("nb"), other["node"].alias("a"), other["n"].alias("na"))
-    counts = untested(sized(pairs).groupBy("b", "a").agg(F.count("*").alias("c")), tested)
+    pairs = met.select(F.col("node").alias("b"), "n", "c", "bits", other.alias("other"))
+    hopeful = pairs.where(possible(lambda x: F.col(f"other.{x}"), F.col))
+    counts = untested(hopeful.groupBy("b", F.col("other.node").alias("a")).agg(F.count("*").alias("c")), tested)
     return counts.groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a")).select("a", "b")
 
 
@@ -196,13 +256,22 @@ def untested(pairs: DataFrame, tested: DataFrame | None) -> DataFrame:
 
 
 def remaining_pairs(lists: DataFrame, tested: DataFrame | None) -> DataFrame:
-    """Every pair of nodes that share a list and lie in different components, once."""
+    """Every pair of nodes in different components that a list shows to be hopeful, once.
+
+    The smaller set of a pair, or that of smaller id, looks from its early values only.
+    """
     mixed = lists.groupBy("v").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("v")
-    left = lists.join(mixed, "v")
-    right = left.select("v", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    pairs = left.select("v", F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca")).join(right, "v")
-    apart = pairs.where((F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b")))
-    return untested(sized(apart).select("a", "b").distinct(), tested)
+    left = lists.join(mixed, "v").withColumnRenamed("node", "id")
+
+    def side(x: str) -> DataFrame:
+        own = [F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "c", "comp", "bits")]
+        return left.select("v", *own, *(["early"] if x == "a" else []))
+
+    first = F.struct("n_a", "id_a") < F.struct("n_b", "id_b")
+    both = side("a").where("early").join(side("b"), "v")
+    apart = both.where((F.col("comp_a") != F.col("comp_b")) & first)
+    hopeful = apart.where(possible(lambda x: F.col(f"{x}_a"), lambda x: F.col(f"{x}_b")))
+    return untested(hopeful.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct(), tested)
 
 
 def contract(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -241,11 +310,15 @@ def contract(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 def node_components(sets: DataFrame) -> DataFrame:
     """node and comp of every node that a list holds."""
-    lists = inverted_lists(sets)
+    lists, signs = inverted_lists(sets), sets.select("node", "bits")
     nodes = cut(lists.select("node").distinct().withColumn("comp", F.col("node")))
     tested = None
-    for _ in range(ROUNDS):
-        pairs = cut(best_partners(lists.join(nodes, "node"), tested))
+
+    def placed() -> DataFrame:
+        return lists.join(nodes, "node").join(signs, "node")
+
+    for number in range(ROUNDS):
+        pairs = cut(best_partners(placed(), tested, number))
         if pairs.isEmpty():
             return nodes
         tested = pairs if tested is None else tested.unionByName(pairs)
@@ -253,7 +326,7 @@ def node_components(sets: DataFrame) -> DataFrame:
         if links.isEmpty():
             break
         nodes = contract(nodes, links)
-    return contract(nodes, cut(verified(remaining_pairs(lists.join(nodes, "node"), tested), sets)))
+    return contract(nodes, cut(verified(remaining_pairs(placed(), tested), sets)))
 
 
 def components(docs: DataFrame, ident: str, text: str) -> DataFrame:
