@@ -80,7 +80,7 @@ def overlap(text, items, width=10):
     return len(words), len(hit), len(found), digest, bool(hit)
 
 
-def recurring(rows, least=3, share=0.75):
+def recurring(rows, least=3, share=0.6):
     """Texts after recurring lines and sentences went, from (id, text), ids distinct."""
 
     def tokens_leaf(text):
@@ -98,7 +98,7 @@ def recurring(rows, least=3, share=0.75):
             for i, part in enumerate(parts):
                 m, own = tokens_leaf(re.sub(r"[.!?]+[ \t]+\Z", "", part))
                 newline = "\n" if i == len(parts) - 1 else ""
-                yield part + newline, m, {x for x in (own if m >= 8 and len(parts) > 1 else None, whole) if x}
+                yield part + newline, m, {x for x in (own if m >= 5 and len(parts) > 1 else None, whole) if x}
 
     held = defaultdict(set)
     for ident, text in rows:

@@ -6,7 +6,7 @@ tokens that hold digits, at-signs or schemes are variable fields, and so is the
 leaf is the template, so lines that differ in numbers, dates, addresses or their tail share one.
 
 A template that at least ``least`` documents hold recurs. It stays in the document of smallest
-id and is dropped from the others. A document whose tokens lie to three quarters or more in
+id and is dropped from the others. A document whose tokens lie to three fifths or more in
 recurring templates is a copy of another as a whole, not one with boilerplate in it; it is left
 alone for near-duplicate detection to judge.
 
@@ -31,9 +31,9 @@ from .common import each_batch, text_of, texts_as_bytes
 BREAK = re.compile(rb"([.!?]+[ \t]+)")
 VARIABLE = re.compile(rb"[0-9@]|://")
 #: Fewest tokens of a line and of a sentence that may count as a template.
-LINE_TOKENS, SENTENCE_TOKENS = 5, 8
+LINE_TOKENS, SENTENCE_TOKENS = 5, 5
 #: Documents that make a template recur, and the share of a text that makes it a copy.
-LEAST, COPY_SHARE = 3, 0.75
+LEAST, COPY_SHARE = 3, 0.6
 
 
 def leaf(tokens: list[bytes]) -> int:
@@ -74,7 +74,7 @@ def leaves(text: bytes) -> set[int]:
         if len(tokens) < LINE_TOKENS:
             continue
         found.add(leaf(tokens))
-        if len(tokens) > SENTENCE_TOKENS:
+        if len(tokens) >= SENTENCE_TOKENS:
             parts = BREAK.split(line)
             if len(parts) > 1:
                 for part in parts[::2]:

@@ -76,7 +76,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def op4(t: Tables) -> DataFrame:
     """Toxicity of all documents."""
     scored = toxicity_scores(t("documents").select("doc_id", "text"), t("labels"))
-    held_out = toxicity.fold_of(F.col("doc_id")) == 1
+    held_out = F.coalesce(toxicity.fold_of(F.col("doc_id")) == 1, F.lit(False))
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
