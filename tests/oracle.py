@@ -8,6 +8,8 @@ import time
 
 import duckdb
 
+sys.path.insert(0, __file__.rsplit("/", 2)[0])
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
     "benchmark labels conversations"

@@ -244,3 +244,13 @@ def test_white_space_is_what_python_splits_on(spark):
         w = r["t"].lower().split()
         assert r["w"] == w and r["c"] == " ".join(r["t"].split())
         assert r["b"] == r["g"] == [f"{x} {y}" for x, y in zip(w, w[1:])]
+
+
+def test_one_row_per_key_whatever_the_order(spark):
+    from tidegate.streaming.resume import one_per_key
+
+    df = spark.createDataFrame([(1, "b", {"x": 2}), (1, "a", {"x": 9}), (2, None, None), (2, "z", None)], "k int, t string, m map<string, int>")
+    for order in (df, df.orderBy(F.desc("t"))):
+        got = {(r.k, r.t) for r in one_per_key(order.repartition(3), ["k"]).collect()}
+        assert got == {(1, "a"), (2, "z")}
+    assert one_per_key(df.select("k"), ["k"]).count() == 2

@@ -47,6 +47,15 @@ def value_counts(df: DataFrame, column: str, n: int | None = None) -> DataFrame:
     return ordered.limit(n) if n else ordered
 
 
+def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Distinct values and missing values of each column, one row per column."""
+    values = long_form(df, [], columns, "column", "value").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    return values.groupBy("column").agg(
+        F.count("value").alias("n_distinct"),
+        F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("n_missing"),
+    )
+
+
 def crosstab(df: DataFrame, a: str, b: str) -> DataFrame:
     """Contingency counts with margins (null marks a margin) and the row share."""
     # Cells are counted first, so the cube expands cells and not rows.

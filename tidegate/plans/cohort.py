@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import clean, gates
+from ..session import run_folder
 from ..sources.readers import clean_corpus, clip_scores, file_inventory, read_table, read_tagged
-from ..sources.sinks import to_json_lines
+from ..sources.sinks import to_json_lines, write_table
 from . import frames
 from .registry import Registry, Tables
 
@@ -388,3 +389,18 @@ def _(t: Tables):
     return gates.require_complete(
         t("events"), ["user_id"], "event_type", ["click", "view", "purchase"], "value"
     )
+
+
+@reg.query("tables_round_trip", """
+SELECT 'csv' AS kind, c_custkey, c_name, c_acctbal, c_mktsegment FROM customer
+UNION ALL SELECT 'parquet', c_custkey, c_name, c_acctbal, c_mktsegment FROM customer""")
+def _(t: Tables):
+    """Written by segment in two formats and read back."""
+    columns = ["c_custkey", "c_name", "c_acctbal", "c_mktsegment"]
+    parts = []
+    for kind in ("csv", "parquet"):
+        path = run_folder(t.spark, kind)
+        write_table(t("customer").select(*columns), path, fmt=kind, partition=["c_mktsegment"])
+        back = read_table(t.spark, path, numeric=["c_custkey", "c_acctbal"], fmt=kind).select(*columns)
+        parts.append(back.withColumn("c_custkey", F.col("c_custkey").cast("bigint")).withColumn("kind", F.lit(kind)))
+    return parts[0].unionByName(parts[1]).select("kind", *columns)

@@ -561,6 +561,21 @@ def _(t: Tables):
     ).drop("change")
 
 
+@reg.query("rank_changes", f"""
+WITH {FORM_SQL}, scored AS (SELECT *, {PROB} AS base FROM form),
+w AS ({" UNION ALL ".join(_scenario_sql(*s) for s in ALL_SCENARIOS)}),
+d AS (SELECT c_custkey, counterfactual, round((p - base) * 100, 2) AS delta_pp FROM w)
+SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY abs(delta_pp) DESC, counterfactual) AS rank FROM d""")
+def _(t: Tables):
+    wide = form(t).withColumns(
+        {c: F.lit(None).cast("double") for c in ("rt_fractions", "rt_start_day", "rt_end_day")}
+    )
+    changes = scorecard.what_if(
+        wide, ["c_custkey"], scorecards.first_scenarios(), lambda df: scorecards.score_first(df, REQUIRED)
+    )
+    return scorecard.rank_changes(changes, ["c_custkey"]).select("c_custkey", "counterfactual", "delta_pp", "rank")
+
+
 @reg.query("validate_required", f"""
 WITH {FORM_SQL},
 f AS (SELECT c_custkey, (age IS NULL)::INT AS m1, (initial_chemo = 'Yes' AND initial_chemo_name IS NULL)::INT AS m2,

@@ -129,6 +129,16 @@ def _(t: Tables):
     return aggregates.value_counts(t("events"), "event_type", 3)
 
 
+@reg.query("distinct_counts", """
+SELECT 'o_orderstatus' AS "column", count(DISTINCT o_orderstatus) AS n_distinct, count_if(o_orderstatus IS NULL) AS n_missing FROM orders
+UNION ALL SELECT 'o_custkey', count(DISTINCT o_custkey), count_if(o_custkey IS NULL) FROM orders
+UNION ALL SELECT 'urgent', count(DISTINCT urgent), count_if(urgent IS NULL)
+  FROM (SELECT nullif(o_orderpriority, '1-URGENT') AS urgent FROM orders)""")
+def _(t: Tables):
+    o = t("orders").withColumn("urgent", F.nullif("o_orderpriority", F.lit("1-URGENT")))
+    return aggregates.distinct_counts(o, ["o_orderstatus", "o_custkey", "urgent"])
+
+
 @reg.query("crosstab", """
 WITH c AS (SELECT o_orderstatus, o_orderpriority, count(*) AS n, grouping(o_orderstatus, o_orderpriority) AS margin
   FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)),

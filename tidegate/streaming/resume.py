@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.scalar import col
@@ -24,6 +24,16 @@ def done_keys(spark: SparkSession, path: str, keys: Sequence[str], schema: T.Str
     return spark.read.parquet(path).select(*[col(k) for k in keys])
 
 
+def one_per_key(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per key, the one whose other columns come first as JSON text, in any run."""
+    rest = [c for c in rows.columns if c not in keys]
+    if not rest:
+        return rows.distinct()
+    whole = F.struct(*[col(c) for c in rest])
+    picked = rows.groupBy(*[col(k) for k in keys]).agg(F.min_by(whole, F.to_json(whole)).alias("__row"))
+    return picked.select(*[col(c) if c in keys else F.col("__row").getField(c).alias(c) for c in rows.columns])
+
+
 def run_available(
     spark: SparkSession, source: str, schema: T.StructType, sink: str, checkpoint: str,
     keys: Sequence[str], work: Callable[[DataFrame], DataFrame], fmt: str = "parquet",
@@ -31,9 +41,7 @@ def run_available(
     """Process the files that are there now and stop."""
 
     def batch(rows: DataFrame, batch_id: int) -> None:
-        fresh = remaining(
-            rows.dropDuplicates(list(keys)), done_keys(rows.sparkSession, sink, keys, schema), keys
-        )
+        fresh = remaining(one_per_key(rows, keys), done_keys(rows.sparkSession, sink, keys, schema), keys)
         work(fresh).write.mode("append").parquet(sink)
 
     return (
