@@ -13,6 +13,7 @@ from ..operators.narrative import Block, Field, RenderGate
 from ..operators.onerow import with_one_row
 from ..presets import scorecards
 from ..presets.prompts import INSTRUCTION, TAIL
+from ..session import cut
 from . import frames, texts
 from .registry import Registry, Tables
 
@@ -156,7 +157,7 @@ def _(t: Tables):
     """Twenty trials of the penalty, the best of them scored once on the test rows."""
     train, valid, test = parts(hybrid_matrix(t))
     _, best, log = modeling.search(train, valid, modeling.logistic_model, {"c": ("log", 0.001, 1000.0)})
-    tagged = [best(df).select(F.lit("best").alias("model"), "label", "score") for df in (valid, test)]
+    tagged = [cut(best(df).select(F.lit("best").alias("model"), "label", "score")) for df in (valid, test)]
     report = tuned_report(*tagged, ["model"]).drop("model")
     return with_one_row(log, report)
 
