@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tidegate.llm import decontaminate, linededup, neardup, packing
 from tidegate.llm.queries import tokenizer, toxicity_scores
 from tidegate.plans.registry import Registry, Tables
-from tidegate.session import run_folder
+from tidegate.session import run_folder, ship_package
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -63,7 +63,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of a folder, each written to the shared folder and read again."""
-    docs = Tables(spark, sf_dir)("documents")
+    docs = Tables(ship_package(spark), sf_dir)("documents")
     folder = run_folder(spark, "pipeline")
     for number, (_, stage) in enumerate(STAGES):
         path = f"{folder}/{number}"
