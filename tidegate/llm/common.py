@@ -15,13 +15,18 @@ def text_of(name: str) -> Column:
     return F.coalesce(col(name).cast("string"), F.lit(""))
 
 
-def each_batch(fn: Callable[[pa.RecordBatch], pa.RecordBatch]):
-    """A ``mapInArrow`` function that turns every batch that has rows into another."""
+def each_batch(fn: Callable[[pa.RecordBatch], pa.RecordBatch], after: Callable[[], None] | None = None):
+    """A ``mapInArrow`` function that turns every batch that has rows into another.
+
+    ``after`` runs at the end of a task, to give back what the worker would keep until the next.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 yield fn(batch)
+        if after:
+            after()
 
     return run
 

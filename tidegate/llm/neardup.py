@@ -43,7 +43,7 @@ ROUNDS = 3
 #: Longs of a bitmap over a sketch.
 LONGS = 16
 #: Words whose hashes a worker remembers before it forgets all of them.
-MEMO = 500_000
+MEMO = 300_000
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _HASHES: dict[bytes, int] = {}
 
@@ -76,6 +76,11 @@ def shingle_set(text: bytes) -> np.ndarray:
     return np.unique((mix(code) >> np.uint64(1)).astype(np.int64))
 
 
+def forget() -> None:
+    """Give the memory of words back."""
+    _HASHES.clear()
+
+
 def needed(n: Column) -> Column:
     """Retained values that a link must share, from the size of the full set."""
     whole = F.when(4 * n <= 3 * K, F.ceil(3 * n / 4)).otherwise(F.ceil(2 * n / 3))
@@ -106,7 +111,7 @@ def summaries(docs: DataFrame, ident: str, text: str) -> DataFrame:
         )
 
     source = docs.select(col(ident).alias("id"), col(text).cast("string").alias("body"))
-    return cut(source.mapInArrow(each_batch(sketch), f"id {kind}, n long, same binary, first array<long>"))
+    return cut(source.mapInArrow(each_batch(sketch, forget), f"id {kind}, n long, same binary, first array<long>"))
 
 
 def survivors(nodes: DataFrame) -> DataFrame:
@@ -139,7 +144,7 @@ def full_sets(docs: DataFrame, ident: str, text: str, wanted: DataFrame) -> Data
         return made.filter(pa.array(own))
 
     source = docs.select(col(ident).alias("node"), col(text).cast("string").alias("body")).join(wanted, "node")
-    return cut(source.mapInArrow(each_batch(build), f"node {kind}, n long, hashes array<long>, bits array<long>"))
+    return cut(source.mapInArrow(each_batch(build, forget), f"node {kind}, n long, hashes array<long>, bits array<long>"))
 
 
 def inverted_lists(sets: DataFrame) -> DataFrame:

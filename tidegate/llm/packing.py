@@ -27,7 +27,7 @@ from .tokencount import TokenizerSpec
 #: Pieces of one length and bucket that a window brings together, on average.
 BUCKET_ROWS = 1000
 #: Distinct words whose ids a worker remembers at most before it forgets all of them.
-MEMO = 1_000_000
+MEMO = 700_000
 
 #: Bytes of text whose words a worker holds at a time, if there is more than one text.
 CHUNK = 2 << 20

@@ -289,7 +289,7 @@ def fit(docs: DataFrame, ident: str, text: str, labels: DataFrame, label_id: str
             [batch.column("toxic"), pa.array(rows, pa.list_(pa.float64()))], ["toxic", "x"]
         )
 
-    seen = sample.where("fold = 2").select("toxic", "body").mapInArrow(each_batch(measure), "toxic int, x array<double>").toArrow()
+    seen = sample.where("fold = 2").select("toxic", "body").mapInArrow(each_batch(measure, lambda: shared_models.value.__post_init__()), "toxic int, x array<double>").toArrow()
     x = np.asarray(seen.column("x").to_pylist(), float).reshape(-1, 4)
     y = seen.column("toxic").to_numpy().astype(float)
     order = np.lexsort((*x.T, y))  # rows arrive in any order; sums must not depend on it
@@ -317,7 +317,7 @@ def add_scores(docs: DataFrame, text: str, model: Comparison, threshold: float =
         return pa.RecordBatch.from_arrays([*batch.columns[:-1], scores], [*names, "score"])
 
     schema = T.StructType([*[T.StructField(n, f.dataType) for n, f in zip(names, kept)], T.StructField("score", T.DoubleType())])
-    scored = source.mapInArrow(each_batch(score), schema)
+    scored = source.mapInArrow(each_batch(score, lambda: shared.value.__post_init__()), schema)
     return scored.select(
         *[F.col(n).alias(f.name) for n, f in zip(names, kept)],
         "score",
