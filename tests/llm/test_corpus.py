@@ -402,6 +402,16 @@ def test_every_pair_left_is_tried(rows, monkeypatch):
     assert got == brute.near_duplicates(data)
 
 
+def test_links_between_sets_on_both_sides_of_a_sketch(rows):
+    rnd, data = random.Random(8), []
+    for small, large in ((500, 660), (500, 550), (512, 640), (400, 530), (512, 682), (513, 684), (384, 512)):
+        words = prose(rnd, large + 4).split()
+        data += [(len(data), " ".join(words[: small + 4])), (len(data) + 1, " ".join(words))]
+    df = rows("doc_id long, text string", *data)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.components(df, "doc_id", "text").collect()}
+    assert got == brute.near_duplicates(data) and got[1] == (660, 0)
+
+
 def test_components_with_nulls_and_repeated_ids(rows):
     a, b = prose(random.Random(1), 40), prose(random.Random(2), 40)
     df = rows("doc_id long, text string", (None, a), (3, a), (5, a), (5, b), (7, b), (8, None), (9, ""))

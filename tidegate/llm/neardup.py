@@ -172,10 +172,14 @@ def inverted_lists(sets: DataFrame) -> DataFrame:
         "node", "n", F.size("shared").cast("long").alias("c"), (length - strict + 1 - alone).alias("few"),
         F.posexplode(F.slice("shared", F.lit(1), prefix)).alias("at", "s"),
     ).select(F.col("s.v").alias("v"), "node", "n", "c", (F.col("at") < F.col("few")).alias("early"))
-    # A node that shares too little for the smallest node of a list has no link in it.
-    lowest = rare.groupBy("v").agg(F.min("n").alias("lowest"))
-    hopeful = F.col("c") >= overlap(F.col("n"), F.greatest("lowest", F.ceil(3 * F.col("n") / 4)))
-    return cut(rare.join(lowest, "v").where(hopeful).drop("lowest"))
+    # A node that shares too little for any size of partner that a list may hold has no link in it.
+    # overlap() grows with the partner's size up to K and falls or stays beyond: an end is its least.
+    sizes = rare.groupBy("v").agg(F.min("n").alias("lowest"), F.max("n").alias("highest"))
+    n = F.col("n")
+    least = F.least(
+        overlap(n, F.greatest("lowest", F.ceil(3 * n / 4))), overlap(n, F.least("highest", F.floor(4 * n / 3)))
+    )
+    return cut(rare.join(sizes, "v").where(F.col("c") >= least).drop("lowest", "highest"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
