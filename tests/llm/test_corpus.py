@@ -412,6 +412,17 @@ def test_links_between_sets_on_both_sides_of_a_sketch(rows):
     assert got == brute.near_duplicates(data) and got[1] == (660, 0)
 
 
+def test_links_behind_unlike_heads_of_lists(rows):
+    rnd = random.Random(10)
+    passages = [prose(rnd, 258).split() for _ in range(2)]
+    data = [(0, " ".join(passages[0] + passages[1]))]  # the smallest id, unlike all others by its size
+    for p in passages:
+        data += [(len(data), " ".join(p[1:])), (len(data) + 1, " ".join(p[:-1]))]
+    df = rows("doc_id long, text string", *data)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.components(df, "doc_id", "text").collect()}
+    assert got == brute.near_duplicates(data) and [got[i][1] for i in range(5)] == [0, 1, 1, 3, 3]
+
+
 def test_components_with_nulls_and_repeated_ids(rows):
     a, b = prose(random.Random(1), 40), prose(random.Random(2), 40)
     df = rows("doc_id long, text string", (None, a), (3, a), (5, a), (5, b), (7, b), (8, None), (9, ""))

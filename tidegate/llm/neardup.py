@@ -329,7 +329,7 @@ def node_components(sets: DataFrame) -> DataFrame:
     for number in range(ROUNDS):
         pairs = cut(best_partners(placed(), tested, number))
         if pairs.isEmpty():
-            return nodes
+            break  # no head of a list is a partner; others in it may be
         tested = pairs if tested is None else tested.unionByName(pairs)
         links = cut(verified(pairs, sets))
         if links.isEmpty():
