@@ -455,6 +455,14 @@ def test_further_spans_and_masks(rows):
     assert pii.find_spans(rows("doc_id long, text string"), "doc_id", "text").count() == 0
 
 
+def test_cues_and_schemes_in_any_case():
+    cues = ["User ID: ", "Customer ID ", "Member ID #", "Tax ID=", "Account Number: ", "Account No. ", "aCCt Nr ", "IBAN ", "Passport NO "]
+    for cue in cues:
+        assert [(k, a) for k, a, _ in pii.find(f"İß {cue}AB47 0815.")] == [("account", len(cue) + 3)], cue
+    assert pii.find("İ Https://a.b/C hTTP://x") == [("url", 2, 15), ("url", 16, 24)]
+    assert pii.find("account \u0131d 4711 0815") == []  # no ASCII i
+
+
 # Top k
 
 
