@@ -107,6 +107,26 @@ def test_reader_skips_what_predicates_reject():
         list(warc.records(io.BytesIO(b"hello\r\n"), lambda h: True))
 
 
+def test_pages_without_id_are_archived(spark, rows):
+    big = "ß" * 80
+    data = [(None, "u0", big), (1, "u1", big), (None, "u2", "ab"), (None, None, "ab"), (None, "u4", big + "x"), (None, "u5", big + "x"), (7, "u7", None)]
+    path = run_folder(spark, "test-warc")
+    warc.write_warc(rows("page_id long, url string, html string", *data), path, "page_id", "url", "html")
+    archive = warc.read_warc(spark, path)
+    stored = sorted((r.target_uri, bytes(r.payload).decode()) for r in archive.where("payload is not null").collect())
+    assert stored == sorted((u or "", h or "") for _, u, h in data if u != "u0")
+    assert [(r.record_type, r.refers_to) for r in archive.where("target_uri = 'u0'").collect()] == [("revisit", "<urn:page:1>")]
+    index = warc.index_columns(warc.read_warc(spark, path)).drop("payload_digest")
+    index = sorted(map(tuple, index.collect()), key=str)
+    want = [(None, 160, "revisit", None), (1, 160, "response", None), *[(None, 2, "response", None)] * 2, *[(None, 161, "response", None)] * 2, (7, 0, "response", None)]
+    assert index == sorted(want, key=str)
+    con = oracle.duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", data)
+    twin = [(a, b, d, e) for a, b, _, d, e in con.execute(queries.OP2_SQL).fetchall()]
+    assert sorted(twin, key=str) == index
+
+
 def test_archive_of_no_pages(spark, rows):
     path = run_folder(spark, "test-warc")
     warc.write_warc(rows("page_id long, url string, html string"), path, "page_id", "url", "html")

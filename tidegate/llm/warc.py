@@ -56,7 +56,8 @@ def one_line(value: Column) -> Column:
 def with_revisits(df: DataFrame, ident: str, payload: str, least: int = 100) -> DataFrame:
     """``df`` with ``digest``, ``bytes`` and ``original``: the smallest id with an equal payload.
 
-    ``original`` is null for a record that stores its payload. A null payload is empty.
+    ``original`` is null for a record that stores its payload. A null payload is empty. A null id
+    is no one's original.
     """
     body = F.coalesce(col(payload).cast("string"), F.lit(""))
     sized = df.withColumns(
@@ -70,16 +71,17 @@ def with_revisits(df: DataFrame, ident: str, payload: str, least: int = 100) ->
         .drop("n")
     )
     joined = sized.join(groups, F.col("digest") == F.col("g"), "left")
-    original = F.when(F.col("original") != col(ident), F.col("original"))
+    original = F.when(~F.col("original").eqNullSafe(col(ident)), F.col("original"))
     return joined.drop("g").withColumn("original", original)
 
 
 def write_warc(
     df: DataFrame, path: str, ident: str, uri: str, payload: str, least: int = 100, date: str = EPOCH
 ) -> None:
-    """One record per row of ``df`` (ids distinct and not null), gzip-compressed, into folder ``path``.
+    """One record per row of ``df`` (ids distinct where not null), gzip-compressed, into folder ``path``.
 
-    A null payload is empty, a null address too. Each record carries its payload's SHA-256, and
+    A null payload is empty, a null address too. A row without id is named by its payload's digest,
+    under no page; it is a revisit where a row with id stores the same payload. Each record carries its payload's SHA-256, and
     its HTTP head the payload's length, also where a revisit leaves the payload out.
     """
     kept = df.select(col(ident).alias("id"), col(uri).alias("uri"), col(payload).cast("string").alias("body"))
@@ -95,7 +97,7 @@ def write_warc(
         F.lit(f"{VERSION}{END}WARC-Type: "),
         F.when(revisit, "revisit").otherwise("response"),
         F.lit(f"{END}WARC-Record-ID: "),
-        record_id(F.col("id")),
+        F.coalesce(record_id(F.col("id")), F.concat(F.lit("<urn:payload:"), F.col("digest"), F.lit(">"))),
         F.lit(f"{END}WARC-Date: {date}{END}WARC-Target-URI: "),
         one_line(F.col("uri")),
         F.lit(f"{END}WARC-Payload-Digest: sha256:"),
@@ -115,8 +117,8 @@ def write_warc(
 
 
 def page_of(record: Column) -> Column:
-    """The key inside a record id that ``record_id`` made."""
-    return F.regexp_extract(record, r"^<urn:page:(.*)>$", 1)
+    """The key inside a record id that ``record_id`` made; null in any other."""
+    return F.when(record.startswith("<urn:page:"), F.regexp_extract(record, r"^<urn:page:(.*)>$", 1))
 
 
 @dataclass
@@ -283,8 +285,11 @@ def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame
 
 
 def index_columns(archive: DataFrame, ident: str = "long") -> DataFrame:
-    """page_id, payload_bytes, payload_digest (bare hex), record_type and refers_to of each record."""
-    revisit = F.col("record_type") == "revisit"
+    """page_id, payload_bytes, payload_digest (bare hex), record_type and refers_to of each record.
+
+    A record of no page has neither page_id nor refers_to, as in the SQL twin.
+    """
+    revisit = (F.col("record_type") == "revisit") & F.col("record_id").startswith("<urn:page:")
     return archive.select(
         page_of(F.col("record_id")).cast(ident).alias("page_id"),
         "payload_bytes",
