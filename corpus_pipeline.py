@@ -27,7 +27,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Recurring lines and sentences go from all documents but the first; every document stays."""
-    kept = linededup.drop_recurring(docs, "doc_id", "text").drop("n_dropped")
+    kept = linededup.drop_recurring(docs, "doc_id", "text", exact=True).drop("n_dropped")
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return kept.select(*docs.columns)

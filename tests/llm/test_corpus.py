@@ -163,6 +163,18 @@ def test_recurring_lines_go_as_in_the_plain_version(rows):
     assert all(got[i] == t for i, t in data if i in (1, 30, 31, 32, 33))  # copies stay whole
 
 
+def test_texts_that_recur_mostly_lose_it_unless_they_are_copies(rows):
+    rnd = random.Random(11)
+    a, b, c = (prose(rnd, 40) for _ in range(3))
+    own = [prose(rnd, 30) for _ in range(10)]
+    data = [(0, a + "\n" + own[0]), (1, b + "\n" + own[1]), (2, c + "\n" + own[2])]
+    data += [(i, a + "\n" + b + "\n" + c + "\n" + own[i]) for i in (3, 4)]  # several passages, no copy of any
+    data += [(5, c), (6, a + "\n" + own[0]), (7, a + "\n" + own[0])]
+    df = rows("doc_id long, text string", *data)
+    got = {r.doc_id: r.text for r in linededup.drop_recurring(df, "doc_id", "text", exact=True).collect()}
+    assert got == {**dict(data), 3: own[3], 4: own[4], 5: ""}
+
+
 def test_recurring_lines_with_nulls_and_empty_tables(rows):
     line = "this very line is in each of the documents here"
     df = rows("doc_id long, text string", (None, line + "\nown words only here 1 2"), (5, None), (2, line + "\nab cd ef gh ij"), (2, line), (7, line + "\nb c d e f g h"))

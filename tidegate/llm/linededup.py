@@ -6,9 +6,9 @@ tokens that hold digits, at-signs or schemes are variable fields, and so is the
 leaf is the template, so lines that differ in numbers, dates, addresses or their tail share one.
 
 A template that at least ``least`` documents hold recurs. It stays in the document of smallest
-id and is dropped from the others. A document whose tokens lie to three fifths or more in
-recurring templates is a copy of another as a whole, not one with boilerplate in it; it is left
-alone for near-duplicate detection to judge.
+id and is dropped from the others. Copies are left alone for near-duplicate detection to judge: a
+document with three fifths or more of its tokens in recurring templates and, with ``exact``, a
+text that is also that of the first holder of all of them.
 
 Leaves are counted and joined by a 64-bit hash; a template that a third of all documents hold is
 counted map-side first and split by adaptive execution when it is joined.
@@ -84,61 +84,73 @@ def leaves(text: bytes) -> set[int]:
     return found
 
 
-def without(text: bytes, recurring: set[int]) -> tuple[bytes, int]:
-    """The text without its recurring units and how many were dropped; whole if it is a copy."""
+def without(text: bytes, recurring: set[int], share: float | None = COPY_SHARE) -> tuple[bytes, int]:
+    """The text without its recurring units and how many were dropped; whole if ``share`` or more of it would go."""
     found = units(text)
     drop = [own in recurring or whole in recurring for _, _, _, own, whole in found]
     tokens = sum(n for _, _, n, _, _ in found)
     lost = sum(n for (_, _, n, _, _), d in zip(found, drop) if d)
-    if not lost or lost >= COPY_SHARE * tokens:
+    if not lost or (share is not None and lost >= share * tokens):
         return text, 0
     kept = b"".join([text[a:b] for (a, b, _, _, _), d in zip(found, drop) if not d])
     return (kept[:-1] if kept.endswith(b"\n") and not text.endswith(b"\n") else kept), sum(drop)
 
 
 def recurring_leaves(docs: DataFrame, ident: str, text: str, least: int = LEAST) -> DataFrame:
-    """id and leaf of every recurring template that a document holds and is not the first to hold."""
+    """id and leaf of every recurring template that a document holds and is not the first to hold,
+    and ``copy``: whether the first has the same text."""
     kind = docs.schema[ident].dataType.simpleString()
 
     def find(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [np.fromiter(leaves(v), np.int64) for v in texts_as_bytes(batch.column("body"))]
+        texts = texts_as_bytes(batch.column("body"))
+        found = [np.fromiter(leaves(v), np.int64) for v in texts]
+        own = np.array([xxhash.xxh3_64_intdigest(v) for v in texts], np.uint64).view(np.int64)
         rows = np.repeat(np.arange(len(found)), [len(f) for f in found])
         return pa.RecordBatch.from_arrays(
-            [batch.column("id").take(pa.array(rows)), pa.array(np.concatenate(found))], ["id", "leaf"]
+            [batch.column("id").take(pa.array(rows)), pa.array(np.concatenate(found)), pa.array(own[rows])],
+            ["id", "leaf", "own"],
         )
 
     source = docs.select(col(ident).alias("id"), text_of(text).alias("body")).where(F.col("body") != "")
-    held = cut(source.mapInArrow(each_batch(find), f"id {kind}, leaf long"))
+    held = cut(source.mapInArrow(each_batch(find), f"id {kind}, leaf long, own long"))
+    holder = F.when(F.col("id").isNotNull(), F.struct("id", "own"))
     known = (
-        held.groupBy("leaf").agg(F.count("*").alias("n"), F.min("id").alias("first")).where(F.col("n") >= least)
+        held.groupBy("leaf").agg(F.count("*").alias("n"), F.min(holder).alias("first")).where(F.col("n") >= least)
     )
-    return held.join(known, "leaf").where(~F.col("id").eqNullSafe(F.col("first"))).select("id", "leaf")
+    others = held.join(known, "leaf").where(~F.col("id").eqNullSafe(F.col("first.id")))
+    return others.select("id", "leaf", (F.col("own") == F.col("first.own")).alias("copy"))
 
 
-def drop_recurring(docs: DataFrame, ident: str, text: str, least: int = LEAST) -> DataFrame:
+def drop_recurring(
+    docs: DataFrame, ident: str, text: str, least: int = LEAST, exact: bool = False
+) -> DataFrame:
     """``docs`` with recurring units cut out of ``text``, and ``n_dropped``.
 
     Every row stays. A null text stays null, rows of one id are one document, a null id is a
-    document too. Ties cannot occur: the smallest id keeps a template.
+    document too. Ties cannot occur: the smallest id keeps a template. With ``exact`` only
+    texts that equal that of the first holder of all their recurring templates are left whole.
     """
     names = [f"k{i}" for i in range(len(docs.columns))]
     short = docs.toDF(*names)
     key, body = names[docs.columns.index(ident)], names[docs.columns.index(text)]
-    marked = recurring_leaves(docs, ident, text, least).groupBy("id").agg(F.collect_set("leaf").alias("leaves"))
+    held = recurring_leaves(docs, ident, text, least).groupBy("id")
+    marked = held.agg(F.collect_set("leaf").alias("leaves"), F.bool_and("copy").alias("copy"))
 
     @F.pandas_udf("struct<text: string, n: long>")
-    def rebuilt(texts, found):
+    def rebuilt(texts, found, copies):
         import pandas as pd
 
         out = [
-            (None, 0) if t is None else without(t.encode(), set(f.tolist())) for t, f in zip(texts, found)
+            (None, 0) if t is None else without(t.encode(), set(f.tolist()), None if exact and not c else COPY_SHARE)
+            for t, f, c in zip(texts, found, copies)
         ]
         return pd.DataFrame({"text": [t.decode() if t is not None else None for t, _ in out], "n": [n for _, n in out]})
 
     joined = short.join(marked, F.col(key).eqNullSafe(F.col("id")), "left")
     # Only texts with something to drop travel to Python.
     marks = F.coalesce("leaves", F.expr("cast(array() as array<long>)"))
-    changed = joined.withColumn("new", rebuilt(F.when(F.col("leaves").isNotNull(), F.col(body).cast("string")), marks))
+    moved = F.when(F.col("leaves").isNotNull(), F.col(body).cast("string"))
+    changed = joined.withColumn("new", rebuilt(moved, marks, F.coalesce("copy", F.lit(False))))
     return changed.select(
         *[
             (F.coalesce(F.col("new.text"), F.col(body)) if n == body else F.col(n)).alias(c)

@@ -57,7 +57,7 @@ def op2(t: Tables) -> DataFrame:
 @reg.query("op3_recurring_lines")
 def op3(t: Tables) -> DataFrame:
     """All documents without lines and sentences whose template recurs: what is left of each."""
-    kept = linededup.drop_recurring(t("documents").select("doc_id", "text"), "doc_id", "text")
+    kept = linededup.drop_recurring(t("documents").select("doc_id", "text"), "doc_id", "text", exact=True)
     return kept.select(
         "doc_id",
         "n_dropped",
