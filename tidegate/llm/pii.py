@@ -34,7 +34,6 @@ CUES = ("account", "acct", "iban", "customer id", "user id", "member id", "passp
 
 DIGITS = frozenset("0123456789")
 LETTERS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
-LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 LOCAL = DIGITS | LETTERS | frozenset("._%+-")
 HOST = DIGITS | LETTERS | frozenset("-")
 DIAL = DIGITS | frozenset(" ().-")
@@ -149,7 +148,8 @@ def find(text: str) -> list[Span]:
     """All spans of a text as (kind, start, end) in code points, by start and then kind."""
     spans: list[Span] = []
     behind = dict.fromkeys(KINDS, 0)
-    for last, (kind, length) in automaton().iter(text.translate(LOWER)):  # of ASCII letters only, so places stay
+    low = text.encode().lower().decode()  # of ASCII letters only, so places stay
+    for last, (kind, length) in automaton().iter(low):
         at = last - length + 1
         if at < behind[kind]:
             continue
