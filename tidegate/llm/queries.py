@@ -6,7 +6,21 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..plans.registry import Registry, Tables
 from ..session import run_folder
-from . import chat, decontaminate, linededup, neardup, packing, pii, tokencount, topk, toxicity, warc
+from . import (
+    centroids,
+    chat,
+    decontaminate,
+    divergence,
+    linededup,
+    neardup,
+    packing,
+    pii,
+    quality,
+    tokencount,
+    topk,
+    toxicity,
+    warc,
+)
 
 reg = Registry()
 
@@ -158,3 +172,97 @@ def op10(t: Tables) -> DataFrame:
     """The ten best of all vectors for each vector whose id is divisible by 100."""
     vectors = topk.quantise(t("embeddings"), "vec_id", "embedding", 1024)
     return topk.top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0), 10)
+
+
+@reg.query("op11_quality")
+def op11(t: Tables) -> DataFrame:
+    """Quality of all documents, by a model that labels outside fold 1 have taught."""
+    docs = t("documents").select("doc_id", "text")
+    model = quality.fit(docs, "doc_id", "text", t("labels"), "doc_id", "quality")
+    held_out = F.coalesce(quality.fold_of(F.col("doc_id")) == 1, F.lit(False))
+    scored = quality.add_scores(docs, "text", model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+OP12_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+t AS MATERIALIZED (
+  SELECT r, lang, source, term, count(*) AS n FROM (
+    SELECT r, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d)
+  GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source FROM d),
+k AS MATERIALIZED (SELECT lang, term, sum(n) AS n FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+c AS (SELECT t.lang, t.source, t.term, sum(t.n) AS n FROM t JOIN k USING (lang, term) GROUP BY ALL),
+wide AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0)::HUGEINT AS n, k.n::HUGEINT AS whole
+  FROM g JOIN k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+parts AS MATERIALIZED (
+  SELECT lang, source, term, n,
+    1 + 1000000000 * (n + 1) // (sum(n) OVER own + count(*) OVER own) AS p,
+    1 + 1000000000 * (whole + 1) // (sum(whole) OVER own + count(*) OVER own) AS q
+  FROM wide WINDOW own AS (PARTITION BY lang, source)),
+sums AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM parts a JOIN parts b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+rated AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM parts WHERE n > 0 AND p > q),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM rated)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
+
+@reg.query("op12_source_divergence", OP12_SQL)
+def op12(t: Tables) -> DataFrame:
+    """Divergence of all sources from the others of their language, and the terms behind it."""
+    return divergence.audit(t("documents"), "lang", "source", "text")
+
+
+K, ROUNDS, DIMS, SEED = 8, 10, 64, 3
+
+
+def op13_sql() -> str:
+    """Plain k-means, round by round."""
+    steps = [
+        f"""v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS x
+  FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) = {DIMS}
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0)""",
+        f"""c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('{SEED}:' || vec_id), x) - 1 AS k, x AS c FROM v QUALIFY k < {K})""",
+    ]
+    for i in range(ROUNDS + 1):
+        steps.append(
+            f"""a{i} AS MATERIALIZED (
+  SELECT r, first(vec_id) AS vec_id, first(x) AS x, arg_min(k, d * {K} + k) AS k, min(d) AS d FROM (
+    SELECT r, vec_id, x, k, list_dot_product(x, x) - 2 * list_dot_product(x, c) + list_dot_product(c, c) AS d FROM v, c{i})
+  GROUP BY r)"""
+        )
+        if i < ROUNDS:
+            steps.append(
+                f"""c{i + 1} AS MATERIALIZED (
+  SELECT k, coalesce(m.c, o.c) AS c FROM c{i} o LEFT JOIN (
+    SELECT k, list(((s - (s % n + n) % n) // n)::DOUBLE ORDER BY place) AS c FROM (
+      SELECT k, place, sum(y::HUGEINT) AS s, count(*) AS n FROM (
+        SELECT k, generate_subscripts(x, 1) AS place, unnest(x) AS y FROM a{i}) GROUP BY k, place) GROUP BY k) m USING (k))"""
+            )
+    last = ROUNDS
+    return f"""WITH {", ".join(steps)}
+SELECT vec_id, a.k::INT AS cluster, d::BIGINT AS distance,
+  (sum(d) OVER (PARTITION BY a.k))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(list_transform(c, lambda z: z::BIGINT), ',')) AS centroid_sha256
+FROM a{last} a JOIN c{last} c USING (k)"""
+
+
+@reg.query("op13_centroid_clusters", op13_sql())
+def op13(t: Tables) -> DataFrame:
+    """All vectors in eight clusters after ten rounds."""
+    vectors = centroids.quantise(t("embeddings"), "vec_id", "embedding", DIMS)
+    found = centroids.cluster(vectors, DIMS, centroids.first_centroids(vectors, K, SEED), ROUNDS)
+    return centroids.digest_columns(found)
