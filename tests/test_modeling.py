@@ -4,6 +4,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from tidegate.operators import modeling
+from tidegate.operators.boosting import BoostParams
 
 
 def test_encoder_knows_training_levels_only(rows):
@@ -69,10 +70,11 @@ def test_boosted_trees_learn_and_rank_features(spark):
         [(i, [float(v) for v in r], int(r[1] > 0)) for i, r in enumerate(x)], "id int, v array<double>, label int"
     ).withColumn("features", array_to_vector("v"))
     train, valid = df.where("id < 150"), df.where("id >= 150")
-    model = modeling.fit_gbt(modeling.class_weights(train, "label"), valid, weight="weight", max_iter=5)
+    params = BoostParams(rounds=12, rate=0.3)
+    model = modeling.fit_gbt(modeling.class_weights(train, "label"), valid, weight="weight", params=params)
     top = modeling.top_importances(df, model, ["f0", "f1", "f2"], 2).collect()
     assert top[0]["feature"] == "f1"
-    assert modeling.log_loss(modeling.positive_probability(model.transform(valid))) < 0.6
+    assert modeling.log_loss(modeling.score_boosted(model, valid)) < 0.3
     assert modeling.log_loss(df.withColumn("score", F.lit(0.5))) == pytest.approx(np.log(2))
 
 

@@ -3,13 +3,21 @@
 Draw i of replicate b takes the id at dense index floor(u * n), u being thirteen hex digits of
 SHA-256(seed | b div 4 | i) at position b mod 4. One hash serves four replicates, and any
 engine can repeat the draw.
+
+The ``poisson`` method draws no ids: every row counts in replicate b as often as a Poisson(1)
+number made from its id and b says, and scores are rounded to a grid. Rows stay where they are and
+one histogram per model and replicate leaves a task, whatever the number of rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.hashing import hash_hex, hex_unit
 from ..functions.scalar import col
@@ -76,13 +84,124 @@ def bootstrap_metrics(
     return both.select(*[col(b) for b in by], *[F.when(ok, F.col(m)).alias(m) for m in metrics])
 
 
+#: Modulus of the number sequence of a row, and the sums of Poisson(1) chances.
+PRIME = 2147483647
+POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
+
+
+def poisson_weights(start: np.ndarray, b: int) -> np.ndarray:
+    """How often rows count in replicate b, from a number below ``PRIME`` per row."""
+    y = (start + b * 40692) % PRIME
+    y = (y * y + 48271 * b + 1) % PRIME
+    y = (y * y + 16807) % PRIME
+    y = (y * 69621) % PRIME
+    return np.searchsorted(POISSON, y / PRIME, "right")
+
+
+def poisson_metrics(
+    preds: DataFrame, model: Sequence[str], replicates: int, seed: int = 0, tau: float = 0.5,
+    ident: str = ID, label: str = LABEL, score: str = SCORE, score_calibrated: str | None = None, cells: int = 1000,
+) -> DataFrame:
+    """Metrics of every model on every replicate by Poisson weights; rows of one id weigh alike.
+
+    Scores between 0 and 1 are rounded to ``cells`` steps for the ranking metrics, so that scores in
+    one step are ties; threshold metrics use the scores as they are. Replicates with one class give
+    null metrics. A row without id, label or score does not count.
+    """
+    second = score_calibrated or score
+    keys = [f"m{i}" for i in range(len(model))]
+    start = F.floor(hex_unit(hash_hex(str(seed), col(ident)), F.lit(1)) * PRIME)
+    cell = F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), col(score).cast("double"))) * cells + 0.5)
+    rows = preds.where(col(ident).isNotNull() & col(label).isin(0, 1) & col(score).isNotNull()).select(
+        *[col(m).alias(k) for m, k in zip(model, keys)], start.cast("long").alias("start"), col(label).cast("int").alias("label"),
+        cell.cast("int").alias("cell"), F.coalesce(col(second) >= tau, F.lit(False)).alias("said"),
+    )
+    kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
+    kinds = f"{kinds}, " if kinds else ""
+    width = cells + 1
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            names = list(zip(*(batch.column(k).to_pylist() for k in keys))) if keys else [()] * batch.num_rows
+            number: dict[tuple, int] = {}
+            group = np.fromiter((number.setdefault(n, len(number)) for n in names), np.int64, batch.num_rows)
+            begin, label_, cell_, said = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("start", "label", "cell", "said"))
+            for name, g in number.items():
+                own = group == g
+                # Places: cells of negatives, cells of positives, then the four counts at the threshold.
+                place, at = label_[own] * width + cell_[own], 2 * width + 2 * said[own] + label_[own]
+                total = held.setdefault(name, np.zeros((replicates, 2 * width + 4), np.int32))
+                for b in range(replicates):
+                    w = poisson_weights(begin[own], b)
+                    total[b] += np.bincount(place, w, 2 * width + 4).astype(np.int32)
+                    total[b] += np.bincount(at, w, 2 * width + 4).astype(np.int32)
+        for name, total in held.items():
+            for b in range(replicates):
+                yield pa.RecordBatch.from_arrays(
+                    [*[pa.array([v], rows_type[k]) for k, v in zip(keys, name)], pa.array([b], pa.int32()), pa.array([total[b].astype(np.int64).tobytes()], pa.binary())],
+                    [*keys, "b", "sums"],
+                )
+
+    rows_type = {f.name: to_arrow_type(f.dataType) for f in rows.schema.fields if f.name in keys}
+    numbers = ["n_pos", "n_neg", "auroc", "average_precision", "tp", "fp", "tn", "fn"]
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, total = None, None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                name = tuple(batch.column(c)[i].as_py() for c in [*keys, "b"])
+                own = np.frombuffer(batch.column("sums")[i].as_py(), np.int64)
+                if name != current:
+                    if current:
+                        yield row(current, total)
+                    current, total = name, own.copy()
+                else:
+                    total += own
+        if current:
+            yield row(current, total)
+
+    def row(name: tuple, total: np.ndarray) -> pa.RecordBatch:
+        neg, pos = total[:width][::-1], total[width : 2 * width][::-1]  # from the highest score down
+        tn, fn, fp, tp = total[2 * width :]
+        n_pos, n_neg = int(pos.sum()), int(neg.sum())
+        area = precision = None
+        if n_pos and n_neg:
+            above, seen = np.cumsum(pos), np.cumsum(pos + neg)
+            area = float((neg * (above - pos + pos / 2)).sum() / n_pos / n_neg)
+            precision = float((pos * above / np.maximum(seen, 1)).sum() / n_pos)
+        values = [n_pos, n_neg, area, precision, int(tp), int(fp), int(tn), int(fn)]
+        types = [pa.int64()] * 2 + [pa.float64()] * 2 + [pa.int64()] * 4
+        return pa.RecordBatch.from_arrays(
+            [*[pa.array([v], rows_type[k]) for k, v in zip(keys, name)], pa.array([name[-1]], pa.int32()), *[pa.array([v], t) for v, t in zip(values, types)]],
+            [*keys, "b", *numbers],
+        )
+
+    sums = rows.mapInArrow(count, f"{kinds}b int, sums binary").repartition(*keys, "b").sortWithinPartitions(*keys, "b")
+    made = sums.mapInArrow(
+        finish, f"{kinds}b int, n_pos long, n_neg long, auroc double, average_precision double, tp long, fp long, tn long, fn long"
+    )
+    named = made.select(*[F.col(k).alias(m) for k, m in zip(keys, model)], "b", *numbers)
+    both = derive_threshold_metrics(named).drop("tp", "fp", "tn", "fn")
+    ok = (F.col("n_pos") > 0) & (F.col("n_neg") > 0)
+    metrics = [c for c in both.columns if c not in (*model, "b", "n_pos", "n_neg")]
+    return both.select(*[col(m) for m in model], "b", *[F.when(ok, F.col(m)).alias(m) for m in metrics])
+
+
+METHODS = {"exact": bootstrap_metrics, "poisson": poisson_metrics}
+
+
 def bootstrap_ci(
     preds: DataFrame, model: Sequence[str], metrics: Sequence[str] = ("auroc", "average_precision"),
     replicates: int = 1000, alpha: float = 0.05, seed: int = 0, tau: float = 0.5, min_valid: int = 1,
     ident: str = ID, label: str = LABEL, score: str = SCORE, score_calibrated: str | None = None,
+    method: str = "exact",
 ) -> DataFrame:
-    """Percentile interval of each metric; null when fewer than ``min_valid`` replicates count."""
-    boot = bootstrap_metrics(preds, model, replicates, seed, tau, ident, label, score, score_calibrated)
+    """Percentile interval of each metric; null when fewer than ``min_valid`` replicates count.
+
+    ``method`` is "exact" (ids drawn with replacement) or "poisson" (weights made on the row).
+    """
+    boot = METHODS[method](preds, model, replicates, seed, tau, ident, label, score, score_calibrated)
     aggs = []
     for m in metrics:
         n = F.count(m)

@@ -293,12 +293,14 @@ def pool_oof(
 
 def evaluate(
     preds: DataFrame, by: Sequence[str], tau: float = 0.5, label: str = LABEL, score: str = SCORE,
-    score_calibrated: str | None = None, digits: int | None = 4,
+    score_calibrated: str | None = None, digits: int | None = 4, replicates: int = 0,
+    ident: str = ID, seed: int = 0, method: str = "exact",
 ) -> DataFrame:
     """One row per model with every metric.
 
     Ranking metrics use ``score``; threshold and calibration metrics use ``score_calibrated``
-    when it is given.
+    when it is given. With ``replicates`` the 95 % bootstrap intervals of AUROC and average precision
+    come along, and how many replicates had both classes; ``method`` is that of ``bootstrap_ci``.
     """
     second = score_calibrated or score
     keys = [col(b) for b in by]
@@ -323,7 +325,17 @@ def evaluate(
     def shown(name: str) -> Column:
         return F.round(name, digits).alias(name) if digits is not None else F.col(name)
 
-    return report.select(*keys, "n", "n_pos", "n_neg", *[shown(m) for m in numeric])
+    spread = []
+    if replicates:
+        from .bootstrap import bootstrap_ci
+
+        boot = bootstrap_ci(
+            preds, by, ("auroc", "average_precision"), replicates, seed=seed, tau=tau, ident=ident,
+            label=label, score=score, method=method,
+        )
+        report = report.join(boot, list(by))
+        spread = [*[shown(f"{m}_{end}") for m in ("auroc", "average_precision") for end in ("lo", "hi")], "n_valid"]
+    return report.select(*keys, "n", "n_pos", "n_neg", *[shown(m) for m in numeric], *spread)
 
 
 def arm_delta(

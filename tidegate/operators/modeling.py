@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.ml import Estimator, Model, Pipeline
-from pyspark.ml.classification import (
-    GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier,
-)
+from pyspark.ml import Estimator, Pipeline
+from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, functions as F
@@ -17,6 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.scalar import col
 from ..session import cut
 from .aggregates import long_form
+from .boosting import Boosted, BoostParams, boost
 from .bootstrap import bootstrap_ci
 from .evaluation import evaluate, platt, pool_oof
 from .onerow import with_one_row
@@ -223,27 +223,40 @@ def positive_probability(df: DataFrame, out: str = "score") -> DataFrame:
 
 def fit_gbt(
     train: DataFrame, valid: DataFrame, features: str = "features", label: str = "label",
-    weight: str | None = None, max_iter: int = 250, max_depth: int = 3, step: float = 0.04,
-    subsample: float = 0.85, feature_subset: str = "0.85", min_instances: int = 2, seed: int = 42,
-) -> Model:
-    """Boosted trees that stop early on the validation rows."""
-    flagged = train.withColumn("__valid", F.lit(False)).unionByName(
-        valid.withColumn("__valid", F.lit(True)), allowMissingColumns=True
-    ).withColumn(label, col(label).cast("double"))
-    model = GBTClassifier(
-        featuresCol=features, labelCol=label, maxIter=max_iter, maxDepth=max_depth, stepSize=step,
-        subsamplingRate=subsample, featureSubsetStrategy=feature_subset,
-        minInstancesPerNode=min_instances, validationIndicatorCol="__valid", seed=seed,
-    )
-    if weight:
-        flagged = flagged.fillna({weight: 1.0})
-        model = model.setWeightCol(weight)
-    return model.fit(flagged)
+    weight: str | None = None, ident: str = "id", params: BoostParams = BoostParams(), bins: int = 32, seed: int = 42,
+) -> Boosted:
+    """Boosted trees with an L2 leaf penalty that stop after ``params.patience`` rounds without gain
+    on the validation rows. ``features`` is a vector or an array; null and NaN are missing values."""
+    return boost(boost_rows(train, valid, features, label, weight, ident), [params], bins=bins, seed=seed)[0]
+
+
+def boost_rows(train: DataFrame, valid: DataFrame, features: str, label: str, weight: str | None, ident: str) -> DataFrame:
+    """Training and validation rows in the columns that ``boosting.boost`` takes by default."""
+
+    def rows(df: DataFrame, flag: bool) -> DataFrame:
+        return df.select(
+            col(ident).alias("id"), as_array(df, features).alias("features"), col(label).alias("label"),
+            (col(weight).cast("double") if weight and not flag else F.lit(1.0)).alias("weight"), F.lit(flag).alias("valid"),
+        )
+
+    return rows(train, False).unionByName(rows(valid, True))
+
+
+def as_array(df: DataFrame, name: str):  # noqa: ANN201
+    """A vector or array column as an array."""
+    return col(name) if df.schema[name].dataType.typeName() == "array" else vector_to_array(col(name))
 
 
-def top_importances(df: DataFrame, model: Model, names: Sequence[str], k: int = 100) -> DataFrame:
-    """The k largest feature importances of a fitted model as rows."""
-    rows = [(n, float(v)) for n, v in zip(names, model.featureImportances.toArray())]
+def score_boosted(model: Boosted, df: DataFrame, features: str = "features", out: str = "score") -> DataFrame:
+    staged = df.withColumn("__features", as_array(df, features))
+    return model.transform(staged, "__features", out).drop("__features")
+
+
+def top_importances(df: DataFrame, model: Boosted, names: Sequence[str], k: int = 100) -> DataFrame:
+    """The k features that most splits of a fitted model use, as shares of its splits."""
+    used = Counter(int(f) for tree in model.trees[: model.best] for f in tree.feature if f >= 0)
+    total = sum(used.values()) or 1
+    rows = [(n, used[j] / total) for j, n in enumerate(names)]
     table = df.sparkSession.createDataFrame(rows, "feature string, importance double")
     return table.orderBy(F.col("importance").desc(), "feature").limit(k)
 
@@ -294,11 +307,14 @@ def estimator_model(estimator: Estimator, balanced: bool = False, label: str = "
     return fit
 
 
-def gbt_model(balanced: bool = True, label: str = "label", **params) -> FitScore:
+def gbt_model(balanced: bool = True, label: str = "label", ident: str = "id", seed: int = 42, **params) -> FitScore:
+    """Boosted trees, classes weighted alike when ``balanced``; other arguments are those of ``BoostParams``."""
+
     def fit(train: DataFrame, valid: DataFrame) -> Callable[[DataFrame], DataFrame]:
         rows = class_weights(train, label) if balanced else train
-        model = fit_gbt(rows, valid, label=label, weight="weight" if balanced else None, **params)
-        return lambda df: positive_probability(model.transform(df))
+        weight = "weight" if balanced else None
+        model = fit_gbt(rows, valid, "features", label, weight, ident, BoostParams(**params), seed=seed)
+        return lambda df: score_boosted(model, df)
 
     return fit
 
@@ -364,6 +380,39 @@ def search(
     return best[1], best[2], log
 
 
+def search_boosted(
+    train: DataFrame, valid: DataFrame, space: dict[str, tuple], others: int | None = None, features: str = "features",
+    label: str = "label", ident: str = "id", trials: int = 20, seed: int = 42, **fixed,
+) -> tuple[Boosted, DataFrame]:
+    """Seeded draws of boosted trees, all grown together; the model of least validation log-loss and the log.
+
+    ``space`` is that of ``draw_params`` over the fields of ``BoostParams``. With ``others`` all but the
+    last so many features are principal components in order and a draw may hold ``pca_dim``: it then
+    uses the first of them, which are those of a smaller reduction, and all other features. Trees of a draw
+    do not depend on the others, so the model of the best trial is what a fit of it alone gives.
+    Classes weigh alike in training; the log has a row per trial with its loss and best round.
+    """
+    weighted = class_weights(train.select(*{ident, features, label}), label)
+    rows = cut(boost_rows(weighted, valid, features, label, "weight", ident))
+    width = (rows.select(F.size("features").alias("n")).first() or {"n": 0})["n"]
+    latent = 0 if others is None else width - others
+    drawn = draw_params(space, trials, seed)
+    params = []
+    for one in drawn:
+        one = dict(one)
+        kept = min(one.pop("pca_dim", latent), latent)
+        params.append(BoostParams(features=tuple([*range(kept), *range(latent, width)]), **fixed, **one))
+    models = boost(rows, params, seed=seed)
+    log = [
+        (i, m.valid_loss, m.best, len(m.trees), str(sorted(one.items()))) for i, (m, one) in enumerate(zip(models, drawn))
+    ]
+    table = train.sparkSession.createDataFrame(
+        log, "trial int, valid_loss double, best_round int, n_rounds int, params string"
+    )
+    best = min(range(len(models)), key=lambda i: (models[i].valid_loss, i))
+    return models[best], table
+
+
 def cross_validate(
     folds: DataFrame, k: int, models: dict[str, FitScore], ident: str, label: str = "label",
     features: str = "features", calibrate: bool = True, n_expected: int | None = None,

@@ -6,7 +6,7 @@ Ties are ordered by id. Documents that share no term with a query are not return
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from ..functions.scalar import bigrams, blank_to_null, col, let, tokens
 from ..functions.vectors import dot
 from ..session import cut
+from .blockindex import pack_blocks, search_blocks
 from .onerow import scalar, with_one_row
 from .ranking import top_k
 from .sets import merge_candidates
@@ -26,19 +27,38 @@ WORD = r"([\p{L}\p{N}_]{2,})"
 
 @dataclass(frozen=True)
 class TextIndex:
-    """Postings ``(id, term, tf, doc_len)`` with term and corpus statistics."""
+    """Postings ``(id, term, tf, doc_len)`` with term and corpus statistics.
+
+    ``blocks`` are the same postings weighted and packed by block of documents; they are made at the
+    first search or when the index is saved.
+    """
 
     postings: DataFrame
     terms: DataFrame
     corpus: DataFrame
+    weigh: Callable[[TextIndex], Column] = field(repr=False)
+    packed: list[DataFrame] = field(default_factory=list, repr=False)
+
+    @property
+    def blocks(self) -> DataFrame:
+        if not self.packed:
+            self.packed.append(pack_blocks(self.postings.withColumn("w", self.weigh(self))))
+        return self.packed[0]
 
     def save(self, path: str) -> None:
-        for name in ("postings", "terms", "corpus"):
+        for name in ("postings", "terms", "corpus", "blocks"):
             getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> TextIndex:
-        return TextIndex(*[spark.read.parquet(f"{path}/{n}") for n in ("postings", "terms", "corpus")])
+        tables = [spark.read.parquet(f"{path}/{n}") for n in ("postings", "terms", "corpus", "blocks")]
+        return TextIndex(*tables[:3], weigh=okapi, packed=[tables[3]])
+
+
+def okapi(index: TextIndex) -> Column:
+    """Weight of a posting before the query's: saturated term frequency by document length."""
+    tf = F.col("tf")
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("doc_len") / scalar(index.corpus, "avg_len")))
 
 
 def _postings(docs: DataFrame, ident: str, items: Column) -> DataFrame:
@@ -77,7 +97,7 @@ def build_bm25(docs: DataFrame, ident: str, text: str) -> TextIndex:
         "term", "df",
         F.when(F.col("raw_idf") < 0, EPSILON * mean).otherwise(F.col("raw_idf")).alias("idf"),
     )
-    return TextIndex(postings, terms, corpus)
+    return TextIndex(postings, terms, corpus, okapi)
 
 
 def query_terms(queries: DataFrame, query_id: str, items: Column) -> DataFrame:
@@ -88,22 +108,6 @@ def query_terms(queries: DataFrame, query_id: str, items: Column) -> DataFrame:
     )
 
 
-def _score(postings: DataFrame, weighted: DataFrame, contribution: Column, k: int) -> DataFrame:
-    """Join on term, add up per (query, document), keep k.
-
-    Catalyst broadcasts the query terms when they are small: postings then stay in place and
-    only partial sums travel, and of these k rows per query and partition reach the ranking.
-    Larger query tables use a shuffled join with skew handling for frequent terms.
-    """
-    scored = (
-        postings.join(weighted, "term")
-        .groupBy("query_id", "id")
-        .agg(F.sum(contribution).alias("score"))
-        .withColumn("score", F.round("score", 9))
-    )
-    return top_k(scored, ["query_id"], "score", k, ["id"]).select("query_id", "id", "score", "rank")
-
-
 def bm25_search(
     index: TextIndex, queries: DataFrame, query_id: str, text: str, k: int = 10
 ) -> DataFrame:
@@ -113,9 +117,7 @@ def bm25_search(
         .join(index.terms, "term")
         .select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("w"))
     )
-    tf = F.col("tf")
-    norm = tf + K1 * (1 - B + B * F.col("doc_len") / scalar(index.corpus, "avg_len"))
-    return _score(index.postings, weighted, F.col("w") * (tf * (K1 + 1) / norm), k)
+    return search_blocks(index.blocks, weighted, k)
 
 
 def terms_with_bigrams(text: Column, stop: Sequence[str]) -> Column:
@@ -146,9 +148,13 @@ def build_tfidf(
     raw = cut(
         _postings(
             docs.withColumn("__text", col(text)), ident, terms_with_bigrams(F.col("__text"), stop)
-        )
+        ).withColumn("h", F.xxhash64("term"))
     )
     corpus = docs.agg(F.count(F.lit(1)).alias("n_docs"))
+    # Most terms come in one document. Their hashes are counted first, so that such terms never travel
+    # as texts; what a shared hash lets through the exact count below removes.
+    likely = raw.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_df).select("h")
+    raw = raw.join(likely, "h", "left_semi").drop("h")
     vocabulary = (
         raw.groupBy("term")
         .agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
@@ -165,7 +171,7 @@ def build_tfidf(
     postings = weighted.join(norms, "id").select(
         "id", "term", "tf", (F.col("w") / F.col("norm")).alias("w")
     )
-    return TextIndex(postings, terms, corpus), stop
+    return TextIndex(postings, terms, corpus, lambda index: F.col("w")), stop
 
 
 def tfidf_search(
@@ -181,7 +187,7 @@ def tfidf_search(
     unit = weighted.join(norms, "query_id").select(
         "query_id", "term", (F.col("qw") / F.col("qn")).alias("q")
     )
-    return _score(index.postings, unit, F.col("q") * F.col("w"), k)
+    return search_blocks(index.blocks, unit.withColumnRenamed("q", "w"), k)
 
 
 def hybrid_retrieve(

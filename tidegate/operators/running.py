@@ -11,8 +11,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.scalar import col
+from ..functions.scalar import all_of, any_of, col
 from ..session import cut
+from .onerow import with_one_row
 
 _PART = "__part"
 
@@ -141,21 +142,118 @@ def hash_ranks(
     )
 
 
+#: Ranks that a quantile sketch may be off by, as a share of the rows: one in this many.
+SKETCH = 10_000
+#: Rows of a group beyond which its counted values are summed up by ranges.
+LARGE_GROUP = 1_000_000_000
+
+
 def exact_percentiles(
     df: DataFrame, by: Sequence[str], value: str, points: dict[str, float],
     weight: Column | None = None, moments: bool = False,
 ) -> DataFrame:
     """Exact linear-interpolation percentiles per group, one column per entry of ``points``.
 
-    Works on the histogram of distinct values with running counts, so no group is collected.
+    The first scan makes a quantile sketch per group, whose known error gives a narrow bracket around
+    each wanted rank; the second counts what lies between the brackets in one number each and the
+    values inside one by one. Rows are never sorted or dealt out by value, and a group of any size
+    needs some thousand counts. Small groups are counted value by value.
+
     Null and NaN do not count; a group without values gives nulls. ``weight`` is the number of
-    times a row counts. ``moments`` adds n, min, max and mean from the same pass.
+    times a row counts; weighted rows are taken as counts already. ``moments`` adds n, min, max and
+    mean from the first scan.
     """
+    if weight is not None:
+        return _percentiles_of_counts(df, by, value, points, weight, moments)
+    keys = [f"__k{i}" for i in range(len(by))]
+    order = sorted(points, key=points.get)
+    v = col(value).cast("double")
+    rows = df.select(*[col(b).alias(k) for b, k in zip(by, keys)], F.when(~F.isnan(v), v).alias("__v"))
+    edge = [q for p in order for q in (points[p] - 2 / SKETCH, points[p] + 2 / SKETCH)]
+    asked = [min(max(q, 0.0), 1.0) for q in edge]
+    sketch = F.percentile_approx("__v", F.array(*[F.lit(q) for q in asked]), F.lit(SKETCH))
+    stats = cut(
+        rows.groupBy(*keys)
+        .agg(
+            F.count("__v").alias("__n"), F.min("__v").alias("__min"), F.max("__v").alias("__max"),
+            F.avg("__v").alias("__mean"), sketch.alias("__q"),
+        )
+    )
+    whole = F.col("__n") <= 3 * SKETCH
+    brackets = stats.select(
+        *keys,
+        *[
+            F.when(whole | F.lit(edge[i] <= 0 or edge[i] >= 1), end).otherwise(F.get("__q", F.lit(i))).alias(f"__e{i}")
+            for i in range(len(edge))
+            for end in [F.col("__min" if i % 2 == 0 else "__max")]
+        ],
+    )
+
+    def on(a: DataFrame, b: DataFrame, how: str = "inner") -> DataFrame:
+        if not keys:
+            return with_one_row(a, b)
+        other = b.toDF(*[f"__o{c}" if c in keys else c for c in b.columns])
+        same = [F.col(k).eqNullSafe(F.col(f"__o{k}")) for k in keys]
+        return a.join(other, all_of(same), how).drop(*[f"__o{k}" for k in keys])
+
+    # Place: how many brackets lie wholly below the value. It and the value inside a bracket keep the order.
+    place = sum((F.when(F.col("__v") > F.col(f"__e{2 * i + 1}"), 1).otherwise(0) for i in range(len(order))), F.lit(0))
+    inside = [(F.col("__place") == i) & (F.col("__v") >= F.col(f"__e{2 * i}")) for i in range(len(order))]
+    placed = on(rows.where("__v is not null"), brackets).withColumn("__place", place)
+    hist = cut(
+        placed.groupBy(*keys, "__place", F.when(any_of(inside), F.col("__v")).alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
+    )
+    largest = stats.agg(F.max("__n")).first()[0] or 0
+    if largest > LARGE_GROUP:
+        cum = running(hist, keys, ["__place", "__v"], sums={"__cum": F.col("__c")}, totals={"__t": "__cum"})
+    else:
+        group = Window.partitionBy(*([F.col(k) for k in keys] or [F.lit(0)]))
+        up = group.orderBy("__place", "__v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        cum = hist.withColumn("__cum", F.sum("__c").over(up)).withColumn("__t", F.sum("__c").over(group))
+    picked = cut(_picked(cum, keys, points, "__t"))
+    found = on(stats, picked, "left")
+    if found.where((F.col("__n") > 0) & any_of(F.col(p).isNull() for p in points)).take(1):
+        # A sketch off by more than it promises: count every value.
+        return _percentiles_of_counts(df, by, value, points, F.lit(1).cast("bigint"), moments)
+    extra = [F.col("__n").alias("n"), *[F.col(f"__{m}").alias(m) for m in ("min", "max", "mean")]] if moments else []
+    return found.select(*[F.col(k).alias(b) for k, b in zip(keys, by)], *extra, *points)
+
+
+def _picked(cum: DataFrame, by: Sequence[str], points: dict[str, float], total: str) -> DataFrame:
+    """Interpolated values per group from counts with running sums."""
+
+    def at(position: Column) -> Column:
+        hit = (F.col("__cum") > position) & (F.col("__cum") - F.col("__c") <= position)
+        return F.max(F.when(hit, F.col("__v")))
+
+    aggs = []
+    for name, p in points.items():
+        h = F.lit(float(p)) * (F.col(total) - 1)
+        aggs += [
+            at(F.floor(h)).alias(f"__lo_{name}"),
+            at(F.ceil(h)).alias(f"__hi_{name}"),
+            F.max(h - F.floor(h)).alias(f"__w_{name}"),
+        ]
+    return cum.groupBy(*[col(b) for b in by]).agg(*aggs).select(
+        *[col(b) for b in by],
+        *[
+            (
+                F.col(f"__lo_{name}")
+                + F.col(f"__w_{name}") * (F.col(f"__hi_{name}") - F.col(f"__lo_{name}"))
+            ).alias(name)
+            for name in points
+        ],
+    )
+
+
+def _percentiles_of_counts(
+    df: DataFrame, by: Sequence[str], value: str, points: dict[str, float], weight: Column, moments: bool,
+) -> DataFrame:
+    """Percentiles from the histogram of distinct values with running counts."""
     v = col(value).cast("double")
     v = F.when(~F.isnan(v), v)
-    w = F.lit(1).cast("bigint") if weight is None else weight
     hist = (
-        df.select(*[col(b) for b in by], v.alias("__v"), w.alias("__w"))
+        df.select(*[col(b) for b in by], v.alias("__v"), weight.alias("__w"))
         .groupBy(*[col(b) for b in by], "__v")
         .agg(F.sum(F.when(F.col("__v").isNotNull(), F.col("__w")).otherwise(0)).alias("__c"))
     )

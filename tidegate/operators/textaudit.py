@@ -67,17 +67,25 @@ def diversity(df: DataFrame, text: str) -> DataFrame:
     return with_one_row(shares, per_text.agg(F.avg("d2").alias("mean_distinct_2")))
 
 
+def _pair_key(first: Column, second: Column) -> Column:
+    """A word pair as two longs: 128 bits of two hash functions of both words."""
+    return F.struct(F.xxhash64(first, second).alias("x"), F.xxhash64(F.lit(1), second, first).alias("y"))
+
+
 def entity_diversity(df: DataFrame, text: str, by: str, order: Sequence[str]) -> DataFrame:
     """Distinct-2 over all texts of an entity read one after the other.
 
     Word pairs that span two texts count too: the last word before each text is carried
-    forward, so the texts of an entity are never brought together.
+    forward, so the texts of an entity are never brought together. Pairs travel as 128-bit digests;
+    among 10 ** 13 different pairs the chance that any two are taken for one is below 10 ** -12.
+    Each text is read once.
     """
-    rows = df.select(
-        col(by).alias("__by"), *[col(o).alias(f"__o{i}") for i, o in enumerate(order)],
-        words(col(text)).alias("__w"),
-    )
     line = [f"__o{i}" for i in range(len(order))]
+    read = df.select(
+        col(by).alias("__by"), *[col(o).alias(name) for o, name in zip(order, line)],
+        F.transform(words(col(text)), lambda w: F.struct(F.xxhash64(w).alias("a"), F.xxhash64(F.lit(7), w).alias("b"))).alias("__w"),
+    )
+    rows = cut(read)
     ends = rows.select(
         "__by", *line, F.get("__w", F.lit(0)).alias("__first"),
         F.try_element_at("__w", F.lit(-1)).alias("__last"),
@@ -85,9 +93,13 @@ def entity_diversity(df: DataFrame, text: str, by: str, order: Sequence[str]) ->
     spans = running(
         ends, ["__by"], line, lasts={"__before": F.col("__last")}, previous=True
     ).where("__before is not null and __first is not null")
-    inside = rows.select("__by", F.explode(bigrams(F.col("__w"))).alias("__b"))
-    across = spans.select("__by", F.concat_ws(" ", "__before", "__first").alias("__b"))
-    shares = _distinct_share(inside.unionByName(across), ["__by"], "__b")
+    n = F.greatest(F.size("__w") - 1, F.lit(0))
+    pairs = F.zip_with(F.slice("__w", F.lit(1), n), F.slice("__w", F.lit(2), n), _pair_key)
+    inside = rows.select("__by", F.explode(pairs).alias("__p"))
+    across = spans.select("__by", _pair_key(F.col("__before"), F.col("__first")).alias("__p"))
+    keys = inside.unionByName(across).select("__by", F.col("__p.x").alias("__x"), F.col("__p.y").alias("__y"))
+    counted = keys.groupBy("__by", "__x", "__y").agg(F.count(F.lit(1)).alias("__n"))
+    shares = counted.groupBy("__by").agg(F.sum("__n").alias("n_items"), F.count(F.lit(1)).alias("n_distinct"))
     entities = df.select(col(by).alias("__by")).distinct()
     return entities.join(shares, "__by", "left").select(
         F.col("__by").alias(by),
@@ -96,11 +108,49 @@ def entity_diversity(df: DataFrame, text: str, by: str, order: Sequence[str]) ->
     )
 
 
+#: n-gram hashes that are looked up as one set inside the scan; more of them are joined.
+SET_SIZE = 10_000
+
+
 def top_ngrams(df: DataFrame, text: str, n: int = 6, k: int = 20) -> DataFrame:
-    """The k most frequent word n-grams; ties in text order."""
-    grams = df.select(words(col(text)).alias("__w")).select(F.explode(ngrams(F.col("__w"), n)).alias("ngram"))
-    counted = grams.groupBy("ngram").agg(F.count(F.lit(1)).alias("n"))
-    return counted.orderBy(F.col("n").desc(), "ngram").limit(k)
+    """The k most frequent word n-grams; ties in text order.
+
+    Hashes are counted first: an n-gram comes at most as often as its hash. Only n-grams whose hash
+    reaches the k-th count are spelt out and counted again, so texts of n-grams that are rare never
+    travel. Should hashes meet and the k-th exact count lie below, the bound falls to it and the
+    recount is repeated, so the result is exact.
+    """
+    found = df.select(words(col(text)).alias("__w")).where(F.size("__w") >= n)
+    places = F.sequence(F.lit(0), F.size("__w") - n)
+
+    def hash_at(i: Column) -> Column:
+        return F.xxhash64(*[F.get("__w", i + j) for j in range(n)])
+
+    hashes = found.select(F.explode(F.transform(places, hash_at)).alias("__h"))
+    counted = hashes.groupBy("__h").agg(F.count(F.lit(1)).alias("__n"))
+    repeated = cut(counted.where("__n > 1"))
+    highest = repeated.orderBy(F.col("__n").desc()).limit(k).agg(F.count(F.lit(1)).alias("c"), F.min("__n").alias("least")).first()
+    bound = highest["least"] if highest["c"] == k else 1
+
+    def spelt(i: Column) -> Column:
+        return F.array_join(F.slice("__w", i + 1, n), " ")
+
+    while True:
+        if bound > 1:
+            chosen = repeated.where(F.col("__n") >= bound).select("__h")
+            few = [r["__h"] for r in chosen.limit(SET_SIZE + 1).collect()]
+            if len(few) <= SET_SIZE:
+                grams = found.select(F.explode(F.transform(F.filter(places, lambda i: hash_at(i).isin(few)), spelt)).alias("ngram"))
+            else:
+                both = F.transform(places, lambda i: F.struct(hash_at(i).alias("__h"), spelt(i).alias("ngram")))
+                grams = found.select(F.inline(both)).join(chosen, "__h", "left_semi").select("ngram")
+        else:
+            grams = found.select(F.explode(F.transform(places, spelt)).alias("ngram"))
+        best = cut(grams.groupBy("ngram").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "ngram").limit(k))
+        reached = best.agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("least")).first()
+        if bound == 1 or (reached["c"] == k and reached["least"] >= bound):
+            return best.orderBy(F.col("n").desc(), "ngram")
+        bound = reached["least"] if reached["c"] == k else 1
 
 
 def mentions(text: Column, terms: Sequence[str]) -> Column:

@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from ..functions.hashing import unit_hash
-from ..operators import audit, modeling, narrative, retrieval, scorecard, splits
+from ..operators import audit, boosting, modeling, narrative, retrieval, scorecard, splits
+from ..operators.boosting import BoostParams
 from ..operators.evaluation import tuned_report
 from ..operators.narrative import Block, Field, RenderGate
 from ..operators.onerow import with_one_row
@@ -145,19 +146,90 @@ def _(t: Tables):
     return hybrid_matrix(t).select("vec_id", "label", vector_to_array("features").alias("features"))
 
 
-@reg.query("fit_gbt")
-def _(t: Tables):
-    train, valid, test = parts(hybrid_matrix(t))
-    model = modeling.fit_gbt(modeling.class_weights(train, "label"), valid, weight="weight")
-    return modeling.positive_probability(model.transform(test)).select("vec_id", "label", "score")
+BOOSTED = BoostParams(rounds=4, depth=2, rate=0.3, leaf_penalty=1.0, min_child_weight=5.0)
+BOOSTED_COLUMNS = ["l_quantity", "l_discount", "l_tax"]
+
+
+def boosted_sql(params: BoostParams, columns: list[str], bins: int = 32) -> str:
+    """Binning, every level of every tree and the choice of the best round, as one query."""
+    unit = float(boosting.UNIT)
+    cuts = f"[{', '.join(f'{i}/{bins}::DOUBLE' for i in range(1, bins))}]"
+    codes = ", ".join(f"len(list_filter(list_distinct(c{j}), lambda e: e < {c})) + 1 AS b{j}" for j, c in enumerate(columns))
+    edges = ", ".join(f"quantile_cont({c}, {cuts}) AS c{j}" for j, c in enumerate(columns))
+    steps = [
+        f"""r AS (SELECT l_orderkey || '-' || l_linenumber AS id, {", ".join(f"{c}::DOUBLE AS {c}" for c in columns)},
+  (l_returnflag = 'R')::INT AS y, {frames.sql_unit("'boost|' || l_orderkey")} AS u FROM lineitem)""",
+        f"""e AS (SELECT {edges}, count(*) / (2 * sum(y)) AS w1, count(*) / (2 * sum(1 - y)) AS w0 FROM r WHERE u < 0.7)""",
+        f"""m0 AS MATERIALIZED (SELECT id, y, u, CASE WHEN y = 1 THEN w1 ELSE w0 END AS w, {codes}, 0::DOUBLE AS m FROM r, e)""",
+    ]
+    for t in range(params.rounds):
+        steps.append(
+            f"""n{t}_0 AS MATERIALIZED (SELECT *, 0 AS node, 0::DOUBLE AS val, round(w * (p - y) * {unit}) AS g, round(w * p * (1 - p) * {unit}) AS h
+  FROM (SELECT *, 1 / (1 + exp(-m)) AS p FROM m{t}))"""
+        )
+        for level in range(params.depth):
+            n = f"n{t}_{level}"
+            long = " UNION ALL ".join(f"SELECT node, {j} AS f, b{j} AS b, g, h FROM {n} WHERE u < 0.7" for j in range(len(columns)))
+            lam = params.leaf_penalty
+            steps.append(
+                f"""s{t}_{level} AS MATERIALIZED (
+  SELECT *, round(lg * lg / (lh + {lam}) + (ag - lg) * (ag - lg) / (ah - lh + {lam}) - ag * ag / (ah + {lam}), 9) AS gain FROM (
+    SELECT node, f, b, sum(g) OVER w / {unit} AS lg, sum(h) OVER w / {unit} AS lh,
+      sum(g) OVER (PARTITION BY node, f) / {unit} AS ag, sum(h) OVER (PARTITION BY node, f) / {unit} AS ah
+    FROM (SELECT node, f, b, sum(g) AS g, sum(h) AS h FROM ({long}) GROUP BY ALL) WINDOW w AS (PARTITION BY node, f ORDER BY b))
+  WHERE lh >= {params.min_child_weight} AND ah - lh >= {params.min_child_weight}
+  QUALIFY gain > 1e-9 AND row_number() OVER (PARTITION BY node ORDER BY gain DESC, f, b) = 1)"""
+            )
+            which = "CASE s.f " + " ".join(f"WHEN {j} THEN b{j}" for j in range(len(columns))) + " END > s.b"
+            steps.append(
+                f"""n{t}_{level + 1} AS MATERIALIZED (
+  SELECT n.* REPLACE (CASE WHEN s.node IS NULL THEN -1 WHEN {which} THEN 2 * n.node + 2 ELSE 2 * n.node + 1 END AS node,
+    CASE WHEN s.node IS NULL THEN val WHEN {which} THEN -{params.rate} * (ag - lg) / (ah - lh + {lam})
+      ELSE -{params.rate} * lg / (lh + {lam}) END AS val) FROM {n} n LEFT JOIN s{t}_{level} s ON s.node = n.node)"""
+            )
+        keep = ", ".join(f"b{j}" for j in range(len(columns)))
+        steps.append(f"m{t + 1} AS MATERIALIZED (SELECT id, y, u, w, {keep}, m + val AS m FROM n{t}_{params.depth})")
+    every = " UNION ALL ".join(f"SELECT {t} AS t, id, y, u, 1 / (1 + exp(-m)) AS p FROM m{t}" for t in range(params.rounds + 1))
+    loss = "avg(CASE WHEN y = 1 THEN -ln(p) ELSE -ln(1 - p) END) FILTER (WHERE u >= 0.7 AND u < 0.85)"
+    steps.append(f"a AS MATERIALIZED ({every}), best AS (SELECT t FROM a GROUP BY t ORDER BY round({loss}, 7), t LIMIT 1)")
+    return f"WITH {', '.join(steps)} SELECT id, y AS label, round(p, 5) AS score FROM a JOIN best USING (t) WHERE u >= 0.85"
+
+
+@reg.query("fit_gbt", boosted_sql(BOOSTED, BOOSTED_COLUMNS))
+def _(t: Tables):
+    """Four trees of two levels over all lineitems, the best round kept, scored on the test rows."""
+    u = unit_hash("boost", F.col("l_orderkey"))
+    split = F.when(u < 0.7, "Train").when(u < 0.85, "Validation").otherwise("Test")
+    rows = t("lineitem").select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"),
+        F.array(*[F.col(c).cast("double") for c in BOOSTED_COLUMNS]).alias("features"),
+        (F.col("l_returnflag") == "R").cast("int").alias("label"), split.alias("split"),
+    )
+    train, valid, test = parts(rows)
+    model = modeling.fit_gbt(modeling.class_weights(train, "label"), valid, weight="weight", params=BOOSTED)
+    return modeling.score_boosted(model, test).select("id", "label", F.round("score", 5).alias("score"))
+
+
+#: The search space of the boosted trees.
+TREE_SPACE = {
+    "pca_dim": ("choice", [16, 32, 64, 96, 128]),
+    "depth": ("int", 2, 6),
+    "rate": ("log", 0.01, 0.2),
+    "leaf_penalty": ("log", 0.5, 10.0),
+    "min_child_weight": ("int", 1, 8),
+    "subsample": ("float", 0.6, 1.0),
+    "columns": ("float", 0.6, 1.0),
+}
 
 
 @reg.query("search")
 def _(t: Tables):
-    """Twenty trials of the penalty, the best of them scored once on the test rows."""
-    train, valid, test = parts(hybrid_matrix(t))
-    _, best, log = modeling.search(train, valid, modeling.logistic_model, {"c": ("log", 0.001, 1000.0)})
-    tagged = [cut(best(df).select(F.lit("best").alias("model"), "label", "score")) for df in (valid, test)]
+    """Twenty trials of boosted trees over seven parameters, the best of them scored once on the test rows."""
+    train, valid, test = parts(hybrid_matrix(t, 128))
+    best, log = modeling.search_boosted(train, valid, TREE_SPACE, others=1, ident="vec_id", rounds=400, patience=30)
+    tagged = [
+        cut(modeling.score_boosted(best, df).select(F.lit("best").alias("model"), "label", "score")) for df in (valid, test)
+    ]
     report = tuned_report(*tagged, ["model"]).drop("model")
     return with_one_row(log, report)
 
@@ -479,6 +551,78 @@ def _(t: Tables):
     )
 
 
+# Answers of the second form, with a report text.
+SECOND_FORM = {
+    "time_to_first_progression": "CASE WHEN c_nationkey < 22 THEN CAST(floor(abs(c_acctbal) / 9) AS DOUBLE) END",
+    "primary_diagnosis": FORM["primary_diagnosis"],
+    "grade": FORM["grade"],
+    "multiple_surgeries": "CASE WHEN c_nationkey % 3 = 0 THEN 'Yes' ELSE 'No' END",
+    "additional_therapy": "CASE WHEN c_nationkey > 18 THEN 'No' ELSE 'Yes' END",
+    "additional_cycles": "CAST(c_nationkey % 9 AS DOUBLE)",
+    "mri_report": "CASE WHEN c_custkey % 11 <> 0 THEN concat(CASE c_mktsegment WHEN 'HOUSEHOLD' THEN 'New lesion with mass effect, increase in edema' "
+                  "WHEN 'MACHINERY' THEN 'Stable disease, no progression' WHEN 'FURNITURE' THEN 'Decreased edema, enhancing rim reduced' "
+                  "WHEN 'BUILDING' THEN 'Progression, enlarging enhancing focus with edema' ELSE 'Unchanged' END, "
+                  "CASE WHEN c_custkey % 4 = 0 THEN '; residual is stable' WHEN c_custkey % 4 = 1 THEN '; edema and Progression' ELSE '' END) END",
+    "enhancing_volume": "CAST(c_nationkey * 2 AS DOUBLE)",
+    "edema_volume": "CAST(abs(c_acctbal) / 100 AS DOUBLE)",
+    "radiomic_summary": "CAST(NULL AS VARCHAR(20))",
+    **{c: FORM[c] for c in ("idh1", "codeletion_1p19q", "mgmt")},
+}
+SECOND_REQUIRED = {"time_to_first_progression": "Time to first progression", "grade": "WHO grade", "mri_report": "MRI report"}
+SECOND_MISSING = " + ".join(f"{_MISS.format(c=c)}::INT" for c in SECOND_REQUIRED)
+_CANCELS = {
+    "progression": "contains(report, 'no progression')",
+    **{c: f"(contains(report, 'no progression') OR contains(report, 'stable') OR regexp_matches(report, '{scorecards.SHRINKING}'))" for c in ("edema", "enhancing")},
+}
+_CONCERN = " + ".join(f"(contains(report, '{c}') AND NOT {_CANCELS.get(c, 'false')})::INT" for c in scorecards.CONCERN)
+_REASSURE = " + ".join(f"contains(report, '{c}')::INT" for c in scorecards.REASSURE)
+SECOND_EFFECTS = [
+    ("Time to first recurrence", "CASE WHEN time_to_first_progression <= 365 THEN 0.65 WHEN time_to_first_progression <= 730 THEN 0.30 "
+     "WHEN time_to_first_progression IS NOT NULL THEN -0.20 END",
+     "CASE WHEN time_to_first_progression <= 365 THEN 'First recurrence occurred within 1 year' ELSE 'First recurrence occurred within 2 years' END"),
+    ("Diagnosis / grade", "CASE WHEN coalesce(lower(primary_diagnosis), '') LIKE '%glioblastoma%' OR coalesce(grade, '') = '4' THEN 0.45 END",
+     "'Aggressive baseline diagnosis/grade'"),
+    ("Multiple surgeries", "CASE WHEN multiple_surgeries = 'Yes' THEN 0.25 END", "'Multiple surgeries recorded before prediction'"),
+    ("Salvage therapy", "CASE WHEN additional_therapy = 'No' THEN 0.25 END", "'No salvage/additional therapy recorded'"),
+    ("Salvage therapy cycles", "CASE WHEN additional_cycles <= 1 THEN 0.18 WHEN additional_cycles >= 6 THEN -0.12 END",
+     "'Low number of salvage therapy cycles'"),
+    ("MRI/RadFM text", f"CASE WHEN {_CONCERN} > 0 THEN least(0.55::DOUBLE, 0.12::DOUBLE * ({_CONCERN})) END",
+     "'MRI/RadFM text contains progression-related terms'"),
+    ("MRI/RadFM text", f"CASE WHEN {_REASSURE} > 0 THEN -least(0.35::DOUBLE, 0.10::DOUBLE * ({_REASSURE})) END", "''"),
+    ("Enhancing volume", "CASE WHEN enhancing_volume > 20 THEN 0.20 END", "'Enhancing tumor volume is elevated'"),
+    ("Edema/FLAIR volume", "CASE WHEN edema_volume > 40 THEN 0.16 END", "'Edema/FLAIR abnormality volume is elevated'"),
+    ("IDH1 mutation", "CASE WHEN idh1 = 'Mutant / positive' THEN -0.18 END", "''"),
+    ("MGMT", "CASE WHEN mgmt = 'Methylated' THEN -0.08 END", "''"),
+    ("Missing required inputs", f"CASE WHEN {SECOND_MISSING} > 0 THEN 0.12 * ({SECOND_MISSING}) END", "'Required fields are incomplete'"),
+]
+_SECOND_LOGIT = "0.15::DOUBLE + " + " + ".join(f"coalesce(({e})::DOUBLE, 0)" for _, e, _ in SECOND_EFFECTS)
+
+
+@reg.query("score_text_rules", f"""
+WITH form AS (SELECT *, lower(coalesce(mri_report, '')) AS report FROM (SELECT c_custkey, {", ".join(f"{e} AS {n}" for n, e in SECOND_FORM.items())} FROM customer)),
+s AS (SELECT c_custkey, greatest(0.02, least(0.98, 1 / (1 + exp(-({_SECOND_LOGIT}))))) AS p, {SECOND_MISSING} AS n_missing,
+  {" + ".join(f"{_MISS.format(c=c)}::INT" for c in ("enhancing_volume", "edema_volume", "radiomic_summary", "idh1", "codeletion_1p19q", "mgmt"))} AS n_optional,
+  list_filter([{{'f': 'Cohort baseline', 'e': 0.15::DOUBLE, 'x': ''}}, {", ".join(f"{{'f': '{f}', 'e': ({e})::DOUBLE, 'x': {x}}}" for f, e, x in SECOND_EFFECTS)}],
+    lambda c: c.e IS NOT NULL) AS c FROM form)
+SELECT c_custkey, round(p, 6) AS probability, n_missing,
+  CASE WHEN p >= 0.75 THEN 'High recurrence risk' WHEN p >= 0.45 THEN 'Intermediate recurrence risk' ELSE 'Lower recurrence risk' END AS risk_level,
+  CASE WHEN n_missing > 0 THEN 'Low: required inputs are incomplete' WHEN n_optional >= 5 THEN 'Moderate: core inputs present, optional evidence limited'
+    ELSE 'Higher: core inputs present' END AS completeness,
+  coalesce(nullif(array_to_string(list_transform(list_filter(c[2:], lambda x: x.e > 0)[1:6], lambda x: x.x), ' | '), ''),
+    'No strong single risk driver detected from the entered fields') AS drivers,
+  array_to_string(list_transform(list_sort(list_transform(c, lambda x, i: {{'k': -abs(x.e), 'i': i, 'f': x.f}}))[1:8], lambda x: x.f), ' | ') AS features
+FROM s""")
+def _(t: Tables):
+    """The second scorecard with its text rules, over all customers."""
+    answers = t("customer").selectExpr("c_custkey", *[f"{e} AS {n}" for n, e in SECOND_FORM.items()])
+    out = scorecards.score_second(answers, SECOND_REQUIRED)
+    return out.select(
+        "c_custkey", F.round("probability", 6).alias("probability"), F.size("missing_required").alias("n_missing"),
+        "risk_level", "completeness", F.array_join("drivers", " | ").alias("drivers"),
+        F.array_join(F.transform("contributions", lambda c: c["feature"]), " | ").alias("features"),
+    )
+
+
 SCENARIOS = [
     ("grade 4", {"grade": "'4'"}, "grade <> '4'"),
     ("no radiotherapy", {"radiotherapy": "'No'", "rt_dose": "NULL"}, "radiotherapy <> 'No'"),

@@ -182,6 +182,53 @@ def _(t: Tables):
     return rounded(out, *[c for c in out.columns if c not in ("model", "n_valid")])
 
 
+def poisson_sql(replicates: int, seed: int, cells: int = 1000) -> str:
+    """Poisson weights and the ranking metrics of the rounded scores in SQL."""
+    p = bootstrap.PRIME
+    weight = " + ".join(f"(y / {p}::DOUBLE >= {c!r}::DOUBLE)::INT" for c in bootstrap.POISSON.tolist())
+    return f"""
+starts AS (SELECT model, label, floor(least(1, greatest(0, score)) * {cells} + 0.5) AS score,
+    floor(('0x' || substr(sha256('{seed}|' || id), 1, 13))::UBIGINT / 4503599627370496.0 * {p})::BIGINT AS y FROM preds),
+y1 AS (SELECT model, label, score, b, (y + b * 40692) % {p} AS y FROM starts CROSS JOIN range(0, {replicates}) r(b)),
+y2 AS (SELECT * REPLACE ((y * y + 48271 * b + 1) % {p} AS y) FROM y1),
+y3 AS (SELECT * REPLACE ((y * y + 16807) % {p} AS y) FROM y2),
+y4 AS (SELECT * REPLACE ((y * 69621) % {p} AS y) FROM y3),
+ph AS (SELECT model, b, score, sum(CASE WHEN label = 1 THEN {weight} ELSE 0 END) AS pos,
+  sum(CASE WHEN label = 0 THEN {weight} ELSE 0 END) AS neg FROM y4 GROUP BY ALL),
+pc AS (SELECT *, sum(pos) OVER w AS cp, sum(pos + neg) OVER w AS seen FROM ph
+  WINDOW w AS (PARTITION BY model, b ORDER BY score DESC)),
+boots AS (SELECT model, b,
+  CASE WHEN sum(pos) > 0 AND sum(neg) > 0 THEN sum(neg * (cp - pos + pos / 2.0::DOUBLE)) / sum(pos) / sum(neg) END AS auroc,
+  CASE WHEN sum(pos) > 0 AND sum(neg) > 0 THEN sum(pos * cp / greatest(seen, 1)) / sum(pos) END AS average_precision
+  FROM pc GROUP BY model, b),
+boot_ci AS (SELECT model, count(auroc) AS n_valid,
+  {", ".join(f"quantile_cont({x}, {q}) AS {x}_{end}" for x in ("auroc", "average_precision") for end, q in (("lo", 0.025), ("hi", 0.975)))}
+  FROM boots GROUP BY model)"""
+
+
+ENDS = [f"{m}_{end}" for m in ("auroc", "average_precision") for end in ("lo", "hi")]
+
+
+@reg.query("bootstrap_poisson", f"""
+WITH {P}, {poisson_sql(1000, 0)}
+SELECT model, n_valid, {", ".join(f"round({c}, 6) AS {c}" for c in ENDS)} FROM boot_ci""")
+def _(t: Tables):
+    out = bootstrap.bootstrap_ci(frames.predictions(t), ["model"], replicates=1000, method="poisson")
+    return rounded(out, *ENDS)
+
+
+@reg.query("evaluate_intervals", f"""
+WITH {P}, {RANKED.format(by="model", src="preds")}, {ECE}, {poisson_sql(1000, 0)},
+k AS (SELECT model, count(*) AS n, {COUNTS.format(said="score >= 0.5")},
+  avg((score - label) * (score - label)) AS brier FROM preds GROUP BY model),
+d AS (SELECT *, {DERIVED} FROM k)
+SELECT model, n, n_pos, n_neg, {", ".join(f"round({m}, 4) AS {m}" for m in (*METRICS, *ENDS))}, n_valid
+FROM d JOIN ranking USING (model) JOIN ece USING (model) JOIN boot_ci USING (model)""")
+def _(t: Tables):
+    """The whole report with 95 % intervals of AUROC and average precision."""
+    return evaluation.evaluate(frames.predictions(t), ["model"], replicates=1000, method="poisson")
+
+
 @reg.query("paired_bootstrap", f"""
 WITH {P}, {draws_sql(10000, 42)}, {RANKED.format(by="model, b", src="boot")},
 kb AS (SELECT model, b, {COUNTS.format(said="score >= 0.5")} FROM boot GROUP BY model, b),
@@ -261,14 +308,26 @@ chi AS (SELECT {by}, max(total)::BIGINT AS n, max(nr) AS n_rows, max(nc) AS n_co
     sum(pow(abs(o - e) - {correction}, 2) / e) AS chi2 FROM full_grid GROUP BY {by})"""
 
 
+def chi2_p_sql(x: str, dof: str) -> str:
+    """Upper tail of chi-square by the power series of the lower incomplete gamma function."""
+    a, half = f"({dof} / 2.0::DOUBLE)", f"({x} / 2.0::DOUBLE)"
+    terms = f"list_transform(range(0, 400), lambda i: exp(({a} + i) * ln({half}) - {half} - lgamma({a} + i + 1)))"
+    return f"CASE WHEN {x} IS NULL OR {dof} < 1 THEN NULL WHEN {x} <= 0 THEN 1.0 ELSE round(greatest(0, 1 - list_sum({terms})), 6) END"
+
+
+def normal_p_sql(z: str) -> str:
+    """Two-sided normal tail, which is the chi-square tail of z squared with one degree of freedom."""
+    return f"CASE WHEN {z} <= 0 THEN 1.0 ELSE {chi2_p_sql(f'({z} * {z})', '1')} END"
+
+
 @reg.query("chi2_test", f"""
 WITH k AS (SELECT o_orderstatus AS test, o_orderpriority AS a, (o_totalprice > 250000)::INT AS b, count(*) AS n
   FROM orders GROUP BY ALL), {chi2_sql("k", "test", True)}
-SELECT test AS o_orderstatus, n, n_rows, n_cols, dof, round(chi2, 6) AS chi2 FROM chi""")
+SELECT test AS o_orderstatus, n, n_rows, n_cols, dof, round(chi2, 6) AS chi2, {chi2_p_sql("chi2", "dof")} AS p_value FROM chi""")
 def _(t: Tables):
     o = t("orders").withColumn("dear", (F.col("o_totalprice") > 250000).cast("int"))
     out = inference.chi2_test(o, "o_orderpriority", "dear", ["o_orderstatus"])
-    return rounded(out.drop("p_value").withColumn("n", F.col("n").cast("bigint")), "chi2")
+    return rounded(out.withColumn("n", F.col("n").cast("bigint")), "chi2", "p_value")
 
 
 # Four degrees of freedom have a closed form.
@@ -299,14 +358,14 @@ u AS (SELECT {by}, n1, n0, r1 - n1 * (n1 + 1) / 2 AS u,
 @reg.query("mann_whitney", f"""
 WITH r AS (SELECT l_shipdate IS NOT NULL AS ok, l_returnflag AS test, l_quantity AS v,
   (l_linestatus = 'F')::INT AS g FROM lineitem), {mwu_sql("r", "test")}
-SELECT test AS l_returnflag, n1, n0, round(u, 4) AS u,
-  round((greatest(u, n1 * n0 - u) - n1 * n0 / 2.0::DOUBLE - 0.5) / sqrt(var), 6) AS z FROM u""")
+SELECT test AS l_returnflag, n1, n0, round(u, 4) AS u, round(z, 6) AS z, {normal_p_sql("z")} AS p_value
+FROM (SELECT *, (greatest(u, n1 * n0 - u) - n1 * n0 / 2.0::DOUBLE - 0.5) / sqrt(var) AS z FROM u)""")
 def _(t: Tables):
     li = t("lineitem").select(
         "l_returnflag", "l_quantity", (F.col("l_linestatus") == "F").cast("int").alias("g")
     )
     out = inference.mann_whitney(li, "l_quantity", "g", ["l_returnflag"], min_n=5)
-    return rounded(out.drop("p_value").withColumn("u", F.round("u", 4)), "z")
+    return rounded(out.withColumn("u", F.round("u", 4)), "z", "p_value")
 
 
 @reg.query("association_table", f"""
@@ -317,14 +376,15 @@ k AS (SELECT 'finished' AS test, finished AS a, y AS b, count(*) AS n FROM o GRO
 {chi2_sql("k", "test", True)},
 r AS (SELECT 'o_orderkey' AS mw_test, o_orderkey AS v, y AS g FROM o), {mwu_sql("r", "mw_test")}
 SELECT 'finished' AS "column", 'binary' AS kind, (SELECT count(*) FROM o) AS n_tested, 2 AS n_unique,
-  (SELECT round(chi2, 6) FROM chi WHERE test = 'finished') AS chi2, NULL AS u,
+  (SELECT round(chi2, 6) FROM chi WHERE test = 'finished') AS chi2, NULL AS u, (SELECT {chi2_p_sql("chi2", "dof")} FROM chi WHERE test = 'finished') AS p_value,
   (SELECT round(avg(y), 6) FROM o WHERE finished = 1) AS rate_1, (SELECT round(avg(y), 6) FROM o WHERE finished = 0) AS rate_0,
   NULL AS median_1, NULL AS median_0
-UNION ALL SELECT 'pending', 'cat->binary', (SELECT count(*) FROM o), 1, (SELECT round(chi2, 6) FROM chi WHERE test = 'pending'), NULL,
+UNION ALL SELECT 'pending', 'cat->binary', (SELECT count(*) FROM o), 1, (SELECT round(chi2, 6) FROM chi WHERE test = 'pending'), NULL, (SELECT {chi2_p_sql("chi2", "dof")} FROM chi WHERE test = 'pending'),
   (SELECT round(avg(y), 6) FROM o WHERE pending IS NOT NULL), (SELECT round(avg(y), 6) FROM o WHERE pending IS NULL), NULL, NULL
-UNION ALL SELECT 'o_orderkey', 'continuous', count(*), count(DISTINCT o_orderkey), NULL, (SELECT round(u, 4) FROM u), NULL, NULL,
+UNION ALL SELECT 'o_orderkey', 'continuous', count(*), count(DISTINCT o_orderkey), NULL, (SELECT round(u, 4) FROM u),
+  (SELECT {normal_p_sql("z")} FROM (SELECT (greatest(u, n1 * n0 - u) - n1 * n0 / 2.0::DOUBLE - 0.5) / sqrt(var) AS z FROM u)), NULL, NULL,
   quantile_cont(o_orderkey, 0.5) FILTER (WHERE y = 1), quantile_cont(o_orderkey, 0.5) FILTER (WHERE y = 0) FROM o
-UNION ALL SELECT 'o_orderpriority', 'categorical', count(*), count(DISTINCT o_orderpriority), NULL, NULL, NULL, NULL, NULL, NULL FROM o""")
+UNION ALL SELECT 'o_orderpriority', 'categorical', count(*), count(DISTINCT o_orderpriority), NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM o""")
 def _(t: Tables):
     o = t("orders").select(
         "o_orderkey", "o_orderpriority", (F.col("o_totalprice") > 250000).cast("int").alias("y"),
@@ -334,7 +394,7 @@ def _(t: Tables):
     out = inference.association_table(
         o, ["finished", "pending", "o_orderkey", "o_orderpriority"], "y", received=["pending"]
     )
-    return rounded(out.drop("p_value").withColumn("u", F.round("u", 4)), "chi2", "rate_1", "rate_0")
+    return rounded(out.withColumn("u", F.round("u", 4)), "chi2", "p_value", "rate_1", "rate_0")
 
 
 @reg.query("univariate_or", f"""

@@ -38,7 +38,10 @@ def bm25(t: Tables, k: int = 10):
 
 
 @reg.query("build_bm25", f"""
-WITH {BM25} SELECT term, df, round(idf, 6) AS idf FROM terms""")
+WITH held AS MATERIALIZED (
+  SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct({toks("text")})) AS term FROM documents) GROUP BY term),
+raw AS (SELECT term, df, ln((SELECT count(*) FROM documents) - df + 0.5::DOUBLE) - ln(df + 0.5::DOUBLE) AS idf FROM held)
+SELECT term, df, round(CASE WHEN idf < 0 THEN 0.25::DOUBLE * (SELECT avg(idf) FROM raw) ELSE idf END, 6) AS idf FROM raw""")
 def _(t: Tables):
     index = retrieval.build_bm25(t("documents").select("doc_id", "text"), "doc_id", "text")
     return index.terms.withColumn("idf", F.round("idf", 6))
@@ -142,8 +145,8 @@ def overlap(query, passage):
 @reg.query("rerank", f"""
 WITH {HYBRID},
 s AS (SELECT h.query_id, h.id, len(list_intersect(list_distinct({toks("b.text")}),
-    list_distinct({toks("d.source || ' ' || d.text")}))) / len(list_distinct({toks("b.text")})) AS score
-  FROM hybrid h JOIN benchmark b ON b.item_id = h.query_id JOIN documents d ON d.doc_id = h.id)
+    list_distinct({toks("coalesce(d.source, '') || ' ' || coalesce(d.text, '')")}))) / len(list_distinct({toks("b.text")})) AS score
+  FROM hybrid h JOIN benchmark b ON b.item_id = h.query_id LEFT JOIN documents d ON d.doc_id = h.id)
 SELECT query_id, id, round(score, 6) AS rerank_score,
   row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS final_rank FROM s QUALIFY final_rank <= 3""")
 def _(t: Tables):
@@ -151,7 +154,8 @@ def _(t: Tables):
         hybrid(t)
         .join(t("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), "query_id")
         .join(t("documents").select(F.col("doc_id").alias("id"), "source", "text")
-              .withColumnRenamed("source", "title"), "id")
+              .withColumnRenamed("source", "title"), "id", "left")
+        .na.fill("", ["title", "text"])  # a vector may have no document
     )
     out = retrieval.rerank(pairs, "query_id", "query", "id", "title", "text", overlap, 3)
     return out.select("query_id", "id", F.round("rerank_score", 6).alias("rerank_score"), "final_rank")
