@@ -12,7 +12,18 @@ non-overlapping matches of these patterns:
 
 A match that fails its check is dropped, and the search goes on behind it. Further kinds:
 ``url`` (a scheme, ``//`` and what follows up to white space, quotes or brackets) and
-``account`` (4 to 34 letters and digits, one digit at least, behind a cue such as "account no").
+``account``, a number on the same line behind a cue such as "account no". What it may be depends
+on the cue:
+
+* IBAN: two letters of a known country, two digits and as many letters and digits as the country
+  has, in groups by single blanks or hyphens, whose remainder modulo 97 is 1;
+* SSN: three, two and four digits, none of the three in a range that is never given out;
+* passport: 6 to 9 letters and digits;
+* else, or where an IBAN cue is followed by no country or by a number of another length: 4 to 34
+  letters and digits.
+
+Where groups follow each other by single blanks or hyphens, all but those of an IBAN and a prefix
+of up to four capitals must hold a digit, so that words behind a number are left alone.
 """
 
 from __future__ import annotations
@@ -38,7 +49,18 @@ LOCAL = DIGITS | LETTERS | frozenset("._%+-")
 HOST = DIGITS | LETTERS | frozenset("-")
 DIAL = DIGITS | frozenset(" ().-")
 URL_END = re.compile(r"[\s<>\"'`{}|\\^\[\]]")
-ACCOUNT = re.compile(r"(?:\s*(?ai:number|no\.?|nr\.?|id))?\s*[:#=]?\s*([A-Za-z0-9](?:[ -]?[A-Za-z0-9]){3,33})(?![A-Za-z0-9])")
+TAIL = re.compile(r"(?:[ \t]*(?ai:number|no\.?|nr\.?|id)(?![A-Za-z0-9]))?[ \t]*[:#=]?[ \t]*")
+GROUP = re.compile(r"[A-Za-z0-9]+")
+SSN = re.compile(r"([0-9]{3})([ -]?)([0-9]{2})\2([0-9]{4})(?![A-Za-z0-9])")
+#: Length of an IBAN by country.
+IBAN_LENGTH = dict(
+    AD=24, AE=23, AL=28, AT=20, AZ=28, BA=20, BE=16, BG=22, BH=22, BR=29, BY=28, CH=21, CR=22, CY=28, CZ=24,
+    DE=22, DK=18, DO=28, EE=20, EG=29, ES=24, FI=18, FO=18, FR=27, GB=22, GE=22, GI=23, GL=18, GR=27, GT=28,
+    HR=21, HU=28, IE=22, IL=23, IQ=23, IS=26, IT=27, JO=30, KW=30, KZ=20, LB=28, LC=32, LI=21, LT=20, LU=20,
+    LV=21, MC=27, MD=24, ME=22, MK=19, MR=27, MT=31, MU=30, NL=18, NO=15, PK=24, PL=28, PS=29, PT=25, QA=29,
+    RO=24, RS=22, SA=24, SC=31, SE=24, SI=19, SK=24, SM=27, ST=25, SV=28, TL=23, TN=24, TR=26, UA=29, VA=22,
+    VG=24, XK=20,
+)
 
 Span = tuple[str, int, int]
 
@@ -144,6 +166,66 @@ def phone_at(text: str, plus: int) -> tuple[Span | None, int]:
     return (("phone", plus, last + 1) if 9 <= digits <= 15 else None), last + 1
 
 
+def groups(text: str, at: int) -> list[tuple[int, int]]:
+    """Places of the runs of ASCII letters and digits from here on that single blanks or hyphens divide."""
+    out = []
+    while found := GROUP.match(text, at):
+        out.append(found.span())
+        at = found.end() + 1
+        if text[found.end() : at] not in (" ", "-"):
+            break
+    return out
+
+
+def iban_at(text: str, at: int) -> int | None:
+    """End of the IBAN that starts here: 0 if its check digits are wrong, None if country or length are."""
+    length = IBAN_LENGTH.get(text[at : at + 2].upper())
+    if length is None:
+        return None
+    digits, end = "", at
+    for start, stop in groups(text, at):
+        digits, end = digits + text[start:stop].upper(), stop
+        if len(digits) >= length:
+            break
+    if len(digits) != length or not digits[2:4].isdigit():
+        return None
+    return end if int("".join(str(int(c, 36)) for c in digits[4:] + digits[:4])) % 97 == 1 else 0
+
+
+def ssn_at(text: str, at: int) -> int:
+    found = SSN.match(text, at)
+    good = found and found[1] not in ("000", "666") and found[1] < "900" and found[3] != "00" and found[4] != "0000"
+    return found.end() if good else 0
+
+
+def number_at(text: str, at: int, least: int, most: int) -> int:
+    """End of the groups with a digit each that start here, if they have so many letters and digits."""
+    size = end = 0
+    for start, stop in groups(text, at):
+        if not DIGITS.isdisjoint(text[start:stop]):
+            size, end = size + stop - start, stop
+        elif start == at and stop - start <= 4 and text[start:stop].isupper():
+            size = stop - start
+        else:
+            break
+    return end if end > at and least <= size <= most else 0
+
+
+def account_at(text: str, at: int, cue: str) -> Span | None:
+    """The number behind a cue that ends here."""
+    start = TAIL.match(text, at).end()
+    end = None
+    if cue == "ssn":
+        end = ssn_at(text, start)
+    elif cue == "passport":
+        end = number_at(text, start, 6, 9)
+    elif cue == "iban":
+        end = iban_at(text, start)
+    if end is None:
+        end = number_at(text, start, 4, 34)
+    return ("account", start, end) if end else None
+
+
 def find(text: str) -> list[Span]:
     """All spans of a text as (kind, start, end) in code points, by start and then kind."""
     spans: list[Span] = []
@@ -172,9 +254,9 @@ def find(text: str) -> list[Span]:
             if end > last + 1:
                 span, behind[kind] = ("url", at, end), end
         elif at == 0 or not text[at - 1].isalnum():
-            found = ACCOUNT.match(text, last + 1)
-            if found and any(c in DIGITS for c in found[1]):
-                span, behind[kind] = ("account", found.start(1), found.end(1)), found.end(1)
+            span = account_at(text, last + 1, low[at : last + 1])
+            if span:
+                behind[kind] = span[2]
         if span:
             spans.append(span)
     order = {k: i for i, k in enumerate(KINDS)}
