@@ -17,14 +17,15 @@ _TOLERANCE = 1e-10
 
 
 def fit_logistic(
-    df: DataFrame, by: Sequence[str], x: str, y: str, l2: float = 0.0, iterations: int = 24
+    df: DataFrame, by: Sequence[str], x: str, y: str, l2: float = 0.0, iterations: int = 100
 ) -> DataFrame:
-    """Intercept, slope and the slope's standard error per group.
+    """Intercept, slope, the slope's standard error and whether the fit has converged, per group.
 
     The slope is penalised by ``l2``/2 times its square, the intercept is not. Rows are first
     reduced to distinct x values; each step is one partially aggregated pass over them, so a
     group of any size is fitted without being collected. Steps stop when no group moves any
-    more. Groups with one class are dropped.
+    more or after ``iterations``, when ``converged`` is false for those that still do (as where a
+    threshold divides the classes and the slope has no limit). Groups with one class are dropped.
     """
     on = [f"__g{i}" for i in range(len(by))] or ["__g0"]
     keys = [col(b) for b in by] or [F.lit(0)]
@@ -44,6 +45,7 @@ def fit_logistic(
             *on,
             F.log(F.col("__p") / (F.col("__t") - F.col("__p"))).alias("b0"),
             F.lit(0.0).alias("b1"),
+            F.lit(float("inf")).alias("__move"),
         )
     )
     small = params.count() <= BROADCAST_GROUPS
@@ -63,6 +65,7 @@ def fit_logistic(
         F.col("b0").alias("intercept"),
         F.col("b1").alias("slope"),
         F.when(det > 1e-300, F.sqrt(F.col("h00") / det)).alias("slope_se"),
+        (F.col("__move") < 1e-6).alias("converged"),
     )
 
 
@@ -82,15 +85,16 @@ def _newton_step(hist: DataFrame, params: DataFrame, on: list[str], small: bool,
 
 def _newton_sums(hist: DataFrame, params: DataFrame, on: list[str], small: bool) -> DataFrame:
     """Gradient and information sums per group at the current parameters."""
-    current = params.select(*on, "b0", "b1")
+    current = params.select(*on, "b0", "b1", F.col("__move").alias("__was"))
     joined = hist.join(F.broadcast(current) if small else current, on)
     p = sigmoid(F.col("b0") + F.col("b1") * F.col("__x"))
-    rows = joined.select(*on, "b0", "b1", "__x", "__pos", "__n", p.alias("__q"))
+    rows = joined.select(*on, "b0", "b1", "__was", "__x", "__pos", "__n", p.alias("__q"))
     residual = F.col("__pos") - F.col("__n") * F.col("__q")
     w = F.col("__n") * F.col("__q") * (1 - F.col("__q"))
     return rows.groupBy(*on).agg(
         F.max("b0").alias("b0"),
         F.max("b1").alias("b1"),
+        F.max("__was").alias("__move"),
         F.sum(residual).alias("g0"),
         F.sum(residual * F.col("__x")).alias("g1"),
         F.sum(w).alias("h00"),

@@ -50,6 +50,20 @@ def _(t: Tables):
     return encoder.transform(c, keep=["c_custkey"])
 
 
+@reg.query("encode_levels", f"""
+WITH {CUSTOMERS},
+long AS (SELECT c_custkey, is_train, 'segment' AS col, segment AS value FROM cu
+  UNION ALL SELECT c_custkey, is_train, 'key', c_custkey::VARCHAR FROM cu),
+levels AS (SELECT col, value, row_number() OVER (ORDER BY col, value NULLS FIRST) - 1 AS position FROM (
+  SELECT DISTINCT col, value FROM long WHERE is_train AND value IS NOT NULL UNION ALL SELECT 'segment', NULL UNION ALL SELECT 'key', NULL))
+SELECT c_custkey, position FROM long JOIN levels l ON l.col = long.col AND l.value IS NOT DISTINCT FROM long.value""")
+def _(t: Tables):
+    """A one-hot matrix of as many columns as there are training customers, as its ones."""
+    c = customers(t).withColumn("key", F.col("c_custkey").cast("string"))
+    levels = modeling.fit_levels(c.where("is_train"), ["segment", "key"])
+    return modeling.encode_levels(c, "c_custkey", ["segment", "key"], levels)
+
+
 @reg.query("fit_median", f"""
 WITH {CUSTOMERS}, m AS (SELECT quantile_cont(balance, 0.5) AS b, quantile_cont(nation, 0.5) AS n FROM cu WHERE is_train)
 SELECT c_custkey, round(coalesce(balance, b), 6) AS balance, coalesce(nation, n) AS nation FROM cu, m""")
@@ -139,6 +153,34 @@ def _(t: Tables):
     return reduced.select("vec_id", "split", F.posexplode("pca").alias("component", "value"))
 
 
+ROTATED = f"""
+WITH v AS (SELECT vec_id, embedding[1]::DOUBLE AS first, embedding, {frames.sql_unit("'model|' || vec_id")} AS u FROM embeddings),
+x AS (SELECT vec_id, u, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x FROM v),
+m AS (SELECT i, avg(x) AS m FROM x WHERE u < 0.7 GROUP BY i),
+n AS (SELECT vec_id, sum((x - m) * (x - m)) AS n FROM x JOIN m USING (i) GROUP BY vec_id)
+"""
+
+
+@reg.query("pca_rotation", ROTATED + "SELECT vec_id, round(n, 5) AS norm FROM n")
+def _(t: Tables):
+    """With as many components as dimensions a reduction only turns: lengths from the training mean stay."""
+    v = vectors(t)
+    turned = modeling.fit_pca(v.where("split = 'Train'"), "embedding", 64)(v)
+    norm = F.aggregate("pca", F.lit(0.0), lambda a, x: a + x * x)
+    return turned.select("vec_id", F.round(norm, 5).alias("norm"))
+
+
+@reg.query("hybrid_rotation", ROTATED + """
+SELECT vec_id, round(n, 5) AS norm, round(first, 6) AS first FROM n JOIN v USING (vec_id)""")
+def _(t: Tables):
+    """The hybrid matrix of a full reduction: its length without the last feature, and that feature."""
+    from pyspark.ml.functions import vector_to_array
+
+    row = hybrid_matrix(t, 64).select("vec_id", vector_to_array("features").alias("f"))
+    norm = F.aggregate(F.slice("f", F.lit(1), F.size("f") - 1), F.lit(0.0), lambda a, x: a + x * x)
+    return row.select("vec_id", F.round(norm, 5).alias("norm"), F.round(F.element_at("f", -1), 6).alias("first"))
+
+
 @reg.query("assemble_hybrid")
 def _(t: Tables):
     from pyspark.ml.functions import vector_to_array
