@@ -436,7 +436,7 @@ def test_every_pair_left_is_tried(rows, monkeypatch):
 
 def test_links_between_sets_on_both_sides_of_a_sketch(rows):
     rnd, data = random.Random(8), []
-    for small, large in ((500, 660), (500, 550), (512, 640), (400, 530), (512, 682), (513, 684), (384, 512)):
+    for small, large in ((500, 660), (500, 550), (512, 640), (400, 530), (512, 682), (513, 684), (384, 512), (250, 330), (250, 275), (256, 320), (200, 265), (256, 341), (257, 342), (192, 256)):
         words = prose(rnd, large + 4).split()
         data += [(len(data), " ".join(words[: small + 4])), (len(data) + 1, " ".join(words))]
     df = rows("doc_id long, text string", *data)
@@ -464,6 +464,35 @@ def test_components_with_nulls_and_repeated_ids(rows):
     assert neardup.components(rows("doc_id long, text string"), "doc_id", "text").count() == 0
 
 
+def test_an_id_of_two_texts_is_two_nodes(rows):
+    a, b = prose(random.Random(1), 40), prose(random.Random(2), 40)
+    df = rows("doc_id long, text string", (3, b + " tail"), (5, a), (5, b))
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in neardup.components(df, "doc_id", "text").collect())
+    assert got == [(3, 3, True), (5, 3, False), (5, 5, True)]
+    assert {r.text for r in neardup.keep_one(df, "doc_id", "text").collect()} >= {a, b + " tail"}
+
+
+def test_equal_rows_are_one_set(spark, rows, monkeypatch):
+    a = prose(random.Random(3), 60)
+    b = " ".join(a.split()[1:])
+    data = [(1, a)] * 300 + [(2, b)] * 40 + [(4, a)] * 5 + [(3, prose(random.Random(4), 60))]
+    made = []
+    monkeypatch.setattr(neardup, "node_components", lambda sets, real=neardup.node_components: made.append(sets.count()) or real(sets))
+    out = neardup.components(rows("doc_id long, text string", *data).repartition(8), "doc_id", "text").collect()
+    assert made == [2] and Counter((r.doc_id, r.component_id) for r in out) == {(1, 1): 300, (2, 1): 40, (4, 1): 5, (3, 3): 1}
+
+
+def test_pairs_of_a_group_too_unlike_to_link_are_made_once(rows, monkeypatch):
+    rnd, passage = random.Random(6), prose(random.Random(5), 330)
+    data = [(i, " ".join([prose(rnd, 35), passage, prose(rnd, 35), prose(rnd, 25)])) for i in range(60)]
+    made = []
+    monkeypatch.setattr(neardup, "untested", lambda pairs, tested, real=neardup.untested: made.append(pairs) or real(pairs, tested))
+    got = {r.doc_id: r.component_id for r in neardup.components(rows("doc_id long, text string", *data), "doc_id", "text").collect()}
+    assert got == {i: c for i, (_, c) in brute.near_duplicates(data).items()}
+    plan = made[-1]._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_intersect" in plan
+
+
 # Personal data
 
 
@@ -495,6 +524,49 @@ def test_cues_and_schemes_in_any_case():
     assert pii.find("account \u0131d 4711 0815") == []  # no ASCII i
 
 
+def accounts(text):
+    return [text[a:b] for k, a, b in pii.find(text) if k == "account"]
+
+
+def test_words_behind_a_number_are_left_alone():
+    assert accounts("Your account 12345678 was closed yesterday by the bank") == ["12345678"]
+    text = "Your account 12345678 was closed"
+    assert pii.masked(text, pii.find(text)) == "Your account <ACCOUNT> was closed"
+    assert accounts("account: 2024 and the customer left us") == ["2024"]
+    assert accounts("passport\n2019 results") == accounts("account no\n12345678") == []
+    assert accounts("account manager 12345678") == accounts("account NO WAY") == accounts("account AB") == []
+    assert accounts("account AB 12 CD 34") == ["AB 12"]
+    assert accounts("user id 12-34 ab 56 yes 78") == ["12-34"]
+    assert accounts("tax id " + "1" * 35) == [] and accounts("tax id " + "1" * 34) == ["1" * 34]
+
+
+def test_ibans_are_validated():
+    for good in ("GB82 WEST 1234 5698 7654 32", "DE89370400440532013000", "fr14 2004 1010 0505 0001 3M02 606", "NO93-8601-1117-947"):
+        assert accounts(f"IBAN {good} is valid") == [good]
+        changed = good[:-1] + str((ord(good[-1]) + 1) % 10)
+        assert accounts(f"IBAN: {changed} is not") == []
+    assert accounts("IBAN DE00 0000 0000 0000 0000 00") == []
+    assert accounts("iban DE89 3704.") == ["DE89 3704"]  # not a whole one: a number like any other
+    assert len(pii.IBAN_LENGTH) == 77
+
+
+def test_ssn_and_passport_forms():
+    assert accounts("SSN 123-45-6789, ssn: 123 45 6789; SSN 123456789") == ["123-45-6789", "123 45 6789", "123456789"]
+    for bad in ("000-45-6789", "666-45-6789", "912-45-6789", "123-00-6789", "123-45-0000", "123-45 6789", "123-45-67890", "12-345-6789"):
+        assert accounts(f"SSN {bad}") == []
+    assert accounts("passport no. C01X00T47 issued") == ["C01X00T47"]
+    assert accounts("passport 12345") == accounts("passport 1234567890") == accounts("passport holder") == []
+
+
+def test_masks_of_overlapping_kinds():
+    for text, want in (
+        ("account 4111 1111 1111 1111 today", "account <CARD> today"),
+        ("http://a.b/x@y.org now", "<URL> now"),
+        ("nothing to hide, no account at all", "nothing to hide, no account at all"),
+    ):
+        assert pii.masked(text, pii.find(text)) == want
+
+
 # Top k
 
 
@@ -526,3 +598,34 @@ def test_top_k_of_nothing_and_of_uneven_vectors(rows):
     uneven = topk.quantise(rows(schema, (1, [0.1]), (2, [0.1, 0.2])), "vec_id", "embedding")
     with pytest.raises(ValueError, match="different lengths"):
         topk.top_k(uneven, uneven)
+
+
+def test_repeated_queries_leave_out_one_row(rows):
+    v, w = [0.5, 0.25], [0.25, 0.5]
+    df = rows("vec_id long, embedding array<double>", (100, v), (100, v), (1, w), (2, [-0.5, 0.0]), (200, v))
+    vectors = topk.quantise(df, "vec_id", "embedding")
+    out = topk.top_k(vectors, vectors.where("vec_id = 100"), 3)
+    assert sorted(map(tuple, out.collect())) == [(100, 1, 100, 327680), (100, 2, 200, 327680), (100, 3, 1, 262144)]
+    far = topk.top_k(vectors, vectors.where("vec_id = 2"), 10)  # a query that is not among its own best
+    assert [r.vec_id for r in far.orderBy("rank").collect()] == [1, 100, 100, 200]
+
+
+def test_large_components_are_refused(rows):
+    df = rows("vec_id long, embedding array<double>", (100, [1e12, 0.0]), (1, [1.0, 0.0]))
+    vectors = topk.quantise(df, "vec_id", "embedding")
+    with pytest.raises(Exception, match="too large"):
+        topk.top_k(vectors, vectors.where("vec_id = 100"), 3).count()
+
+
+def test_most_vectors_are_ruled_out_by_proof(spark):
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    vectors = topk.quantise(table, "vec_id", "embedding")
+    queries_ = [np.asarray(r.ints) for r in vectors.where("vec_id % 100 = 0").limit(12).collect()]
+    row = topk.build_index(vectors.coalesce(1)).first()
+    block = topk._Block(row.ids, row.ints, row.postings)
+    for query in queries_:
+        ids, scores, scored = block.search(query, 10)
+        exact = block.ints @ query
+        best = np.lexsort((block.ids, -exact))[:10]
+        assert ids.tolist() == block.ids[best].tolist() and scores.tolist() == exact[best].tolist()
+        assert scored <= topk.LEFT * len(block.ids)

@@ -4,7 +4,8 @@ One hash function orders all shingles; a sketch is the k smallest of a document'
 with Jaccard similarity J every value of the sketch of their union lies in both with chance J,
 and then in both sketches, so that links share most of their retained values:
 
-1. documents of equal sets become one node, named by the smallest id;
+1. documents of equal sets become one node, found by the digest of the set and numbered, so that
+   an id which different texts share never stands for one of them;
 2. nodes that share hardly any of their 32 smallest values with others are put aside, the rest
    get sketches of k = 512 and keep their full sets;
 3. inverted lists of retained values: to share ``need`` of them, two nodes must share one of the
@@ -12,7 +13,8 @@ and then in both sketches, so that links share most of their retained values:
    common;
 4. nodes are compared along these lists, first each with the one that shares most lists with it,
    round by round while components grow, and at last every pair of a list that is still in
-   different components; sizes and the difference of sketches, bounded from below by bitmaps,
+   different components; a pair is made at the least value that both hold, as far as the least
+   values of each show it; sizes and the difference of sketches, bounded from below by bitmaps,
    filter, the full sets decide;
 5. links are contracted to components.
 
@@ -24,7 +26,7 @@ a chance below 1e-8, by the Chernoff bound, and far below for more similar texts
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +42,8 @@ K, NEED = 512, 307
 FIRST, FIRST_NEED = 32, 8
 #: Rounds in which every node meets one more partner before the rest is paired.
 ROUNDS = 3
+#: Least values of a node's lists that tell whether a pair was met before.
+LEAD = 8
 #: Longs of a bitmap over a sketch.
 LONGS = 16
 #: Words whose hashes a worker remembers before it forgets all of them.
@@ -95,7 +99,7 @@ def bitmap(values: np.ndarray) -> np.ndarray:
 
 
 def summaries(docs: DataFrame, ident: str, text: str) -> DataFrame:
-    """id, n, same (digest of the set) and first (smallest hashes) of every row, written once."""
+    """id, h (hash of the text), n, same (digest of the set) and first (smallest hashes) of every row, written once."""
     kind = docs.schema[ident].dataType.simpleString()
 
     def sketch(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -103,55 +107,89 @@ def summaries(docs: DataFrame, ident: str, text: str) -> DataFrame:
         return pa.RecordBatch.from_arrays(
             [
                 batch.column("id"),
+                batch.column("h"),
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
                 pa.array([s[:FIRST] for s in sets], pa.list_(pa.int64())),
             ],
-            ["id", "n", "same", "first"],
+            ["id", "h", "n", "same", "first"],
         )
 
-    source = docs.select(col(ident).alias("id"), col(text).cast("string").alias("body"))
-    return cut(source.mapInArrow(each_batch(sketch, forget), f"id {kind}, n long, same binary, first array<long>"))
+    return cut(
+        bodies(docs, ident, text).mapInArrow(
+            each_batch(sketch, forget), f"id {kind}, h long, n long, same binary, first array<long>"
+        )
+    )
+
+
+def bodies(docs: DataFrame, ident: str, text: str) -> DataFrame:
+    """id, body and h, a hash of the body by which a row is found again."""
+    body = col(text).cast("string")
+    return docs.select(col(ident).alias("id"), body.alias("body"), F.xxhash64(body).alias("h"))
+
+
+def number_nodes(rows: DataFrame) -> DataFrame:
+    """node (a number), same, n, first, rep (id and h of its least row) and copies (its rows), written once."""
+    linkable = rows.where((F.col("n") > 0) & F.col("id").isNotNull())
+    nodes = linkable.groupBy("same").agg(
+        F.min(F.struct("id", "h")).alias("rep"), F.max("n").alias("n"), F.first("first").alias("first"), F.count("*").alias("copies")
+    )
+    return cut(nodes.withColumn("node", F.monotonically_increasing_id()))
 
 
 def survivors(nodes: DataFrame) -> DataFrame:
     """Nodes that share enough of their smallest values with any others to have a link."""
-    values = nodes.select("node", "same", "n", F.explode("first").alias("v"))
+    values = nodes.select("node", "n", F.explode("first").alias("v"))
     common = values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1").select("v")
-    shared = values.join(common, "v").groupBy("node", "same").agg(F.max("n").alias("n"), F.count("*").alias("c"))
+    shared = values.join(common, "v").groupBy("node").agg(F.max("n").alias("n"), F.count("*").alias("c"))
     # Of a set up to FIRST in size at least two thirds are shared with any link of it.
     least = F.when(F.col("n") <= FIRST, F.floor((2 * F.col("n") + 2) / 3)).otherwise(FIRST_NEED)
-    return shared.where(F.col("c") >= least).select("node", "same")
+    return nodes.join(shared.where(F.col("c") >= least).select("node"), "node").select("node", "same", "rep", "copies")
 
 
 def full_sets(docs: DataFrame, ident: str, text: str, wanted: DataFrame) -> DataFrame:
-    """node, n, the full sorted set and its bitmap of the wanted nodes (node, same), written once."""
-    kind = docs.schema[ident].dataType.simpleString()
-
-    def build(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingle_set(v) for v in texts_as_bytes(batch.column("body"))]
-        # Another text under the same id is another node's.
-        own = [xxhash.xxh3_128_digest(s.tobytes()) == d for s, d in zip(sets, batch.column("same").to_pylist())]
-        made = pa.RecordBatch.from_arrays(
-            [
-                batch.column("node"),
-                pa.array([len(s) for s in sets], pa.int64()),
-                pa.array(sets, pa.list_(pa.int64())),
-                pa.array([bitmap(s[:K]) for s in sets], pa.list_(pa.int64())),
-            ],
-            ["node", "n", "hashes", "bits"],
-        )
-        return made.filter(pa.array(own))
-
-    source = docs.select(col(ident).alias("node"), col(text).cast("string").alias("body")).join(wanted, "node")
-    return cut(source.mapInArrow(each_batch(build, forget), f"node {kind}, n long, hashes array<long>, bits array<long>"))
+    """node, n, the full sorted set and its bitmap of the wanted nodes, one row each, written once."""
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # nodes of more than one row met in this task
+        for batch in batches:
+            nodes, several = batch.column("node").to_pylist(), batch.column("several").to_pylist()
+            fresh = []
+            for node, more in zip(nodes, several):
+                fresh.append(not more or node not in seen)
+                if more:
+                    seen.add(node)
+            batch = batch.filter(pa.array(fresh, pa.bool_()))
+            sets = [shingle_set(v) for v in texts_as_bytes(batch.column("body"))]
+            # Another text of the same id and hash is another node's.
+            own = [xxhash.xxh3_128_digest(s.tobytes()) == d for s, d in zip(sets, batch.column("same").to_pylist())]
+            made = pa.RecordBatch.from_arrays(
+                [
+                    batch.column("node"),
+                    batch.column("several"),
+                    pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array(sets, pa.list_(pa.int64())),
+                    pa.array([bitmap(s[:K]) for s in sets], pa.list_(pa.int64())),
+                ],
+                ["node", "several", "n", "hashes", "bits"],
+            )
+            yield made.filter(pa.array(own, pa.bool_()))
+        forget()
+
+    found = wanted.select("node", "same", F.col("rep.id").alias("id"), F.col("rep.h").alias("h"), (F.col("copies") > 1).alias("several"))
+    source = bodies(docs, ident, text).join(found, ["id", "h"]).select("node", "same", "several", "body")
+    built = cut(source.mapInArrow(build, "node long, several boolean, n long, hashes array<long>, bits array<long>"))
+    # Equal rows of one id were built once per task; the others are alone.
+    repeated = cut(built.where("several").dropDuplicates(["node"]))
+    return built.where("not several").unionByName(repeated).drop("several")
 
 
 def inverted_lists(sets: DataFrame) -> DataFrame:
-    """v, node, n, c and early: the retained values by which links are bound to be found, written once.
+    """v, node, n, c, early and leads: the retained values by which links are bound to be found, written once.
 
     ``c`` is how many of its retained values the node shares with any other; ``early`` marks the
-    values that are enough to find partners that are not smaller.
+    values that are enough to find partners that are not smaller. The leads are the least of its
+    values here, of the early ones and of all.
     """
     length = F.least(F.col("n"), F.lit(K)).cast("int")
     kept = sets.select("node", "n", F.slice("hashes", 1, K).alias("values"))
@@ -168,10 +206,16 @@ def inverted_lists(sets: DataFrame) -> DataFrame:
     prefix = length - needed(F.col("n")) + 1 - alone
     # A partner that is no smaller shares six sevenths of a set at least: fewer values will do.
     strict = F.when(4 * F.col("n") <= 3 * K, F.ceil(6 * F.col("n") / 7)).otherwise(needed(F.col("n")))
+    few = F.greatest(length - strict + 1 - alone, F.lit(0))
+
+    def lead(count: Column) -> Column:
+        return F.slice(F.sort_array(F.slice(F.col("shared.v"), F.lit(1), count)), 1, LEAD)
+
     rare = enough.select(
-        "node", "n", F.size("shared").cast("long").alias("c"), (length - strict + 1 - alone).alias("few"),
+        "node", "n", F.size("shared").cast("long").alias("c"), few.alias("few"),
+        lead(few).alias("lead_early"), lead(prefix).alias("lead_all"),
         F.posexplode(F.slice("shared", F.lit(1), prefix)).alias("at", "s"),
-    ).select(F.col("s.v").alias("v"), "node", "n", "c", (F.col("at") < F.col("few")).alias("early"))
+    ).select(F.col("s.v").alias("v"), "node", "n", "c", (F.col("at") < F.col("few")).alias("early"), "lead_early", "lead_all")
     # A node that shares too little for any size of partner that a list may hold has no link in it.
     # overlap() grows with the partner's size up to K and falls or stays beyond: an end is its least.
     sizes = rare.groupBy("v").agg(F.min("n").alias("lowest"), F.max("n").alias("highest"))
@@ -267,18 +311,31 @@ def untested(pairs: DataFrame, tested: DataFrame | None) -> DataFrame:
 def remaining_pairs(lists: DataFrame, tested: DataFrame | None) -> DataFrame:
     """Every pair of nodes in different components that a list shows to be hopeful, once.
 
-    The smaller set of a pair, or that of smaller id, looks from its early values only.
+    The smaller set of a pair, or that of smaller number, looks from its early values only. Of
+    the lists that both are in, that of the least value makes the pair; where the leads of both
+    have no value in common, each list may make it, and equal pairs are dropped.
     """
-    mixed = lists.groupBy("v").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("v")
+    sizes = lists.groupBy("v", "comp").agg(F.count("*").alias("m"))
+    main = F.max_by("comp", F.struct("m", "comp")).alias("main")
+    mixed = sizes.groupBy("v").agg(main, F.count("*").alias("comps")).where("comps > 1").select("v", "main")
     left = lists.join(mixed, "v").withColumnRenamed("node", "id")
+    head_a, head_b = F.get("lead_a", F.lit(0)), F.get("lead_b", F.lit(0))
+    met = F.when(head_a == head_b, head_a).otherwise(F.get(F.array_intersect("lead_a", "lead_b"), F.lit(0)))
 
     def side(x: str) -> DataFrame:
         own = [F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "c", "comp", "bits")]
-        return left.select("v", *own, *(["early"] if x == "a" else []))
-
-    first = F.struct("n_a", "id_a") < F.struct("n_b", "id_b")
-    both = side("a").where("early").join(side("b"), "v")
-    apart = both.where((F.col("comp_a") != F.col("comp_b")) & first)
+        lead = F.col("lead_early" if x == "a" else "lead_all").alias(f"lead_{x}")
+        # Members of a list's largest component meet all others there, and never each other.
+        inside = F.col("comp") == F.col("main")
+        if x == "a":
+            return left.where("early").select("v", F.when(inside, 1).otherwise(0).alias("part"), *own, lead)
+        parts = F.when(inside, F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))
+        return left.select("v", F.explode(parts).alias("part"), *own, lead)
+
+    first = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("id_a") < F.col("id_b")))
+    fitting = 4 * F.least("n_a", "n_b") >= 3 * F.greatest("n_a", "n_b")
+    both = side("a").join(side("b"), ["v", "part"])
+    apart = both.where((F.col("comp_a") != F.col("comp_b")) & first & fitting & F.coalesce(met == F.col("v"), F.lit(True)))
     hopeful = apart.where(possible(lambda x: F.col(f"{x}_a"), lambda x: F.col(f"{x}_b")))
     return untested(hopeful.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct(), tested)
 
@@ -342,19 +399,20 @@ def components(docs: DataFrame, ident: str, text: str) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id and kept.
 
     A text without words, or null, has an empty set and is linked with nothing. Rows are linked by
-    their texts, also where an id is repeated. A row without id is linked with nothing; its
-    component is null and it is kept.
+    their texts, also where an id is repeated: each row of the id has the component of its own text.
+    Equal rows have equal results. A row without id is linked with nothing; its component is null
+    and it is kept.
     """
     rows = summaries(docs, ident, text)
-    linkable = rows.where((F.col("n") > 0) & F.col("id").isNotNull())
-    nodes = cut(
-        linkable.groupBy("same").agg(F.min("id").alias("node"), F.max("n").alias("n"), F.first("first").alias("first"))
-    )
-    sets = full_sets(docs, ident, text, survivors(nodes))
-    comps = node_components(sets)
-    named = nodes.select("same", "node").join(comps, "node", "left").select("same", F.coalesce("comp", "node").alias("comp"))
+    nodes = number_nodes(rows)
+    comps = node_components(full_sets(docs, ident, text, survivors(nodes)))
+    labels = nodes.select("node", F.col("rep.id").alias("id"))
+    least = comps.join(labels, "node").groupBy("comp").agg(F.min("id").alias("least"))
+    linked = comps.join(least, "comp").select("node", "least")
+    named = nodes.join(linked, "node", "left").select("same", F.coalesce("least", "rep.id").alias("least"))
     joined = rows.select("id", "n", "same").join(named, "same", "left")
-    component = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.coalesce("comp", "id")).otherwise(F.col("id"))
+    linkable = (F.col("n") > 0) & F.col("id").isNotNull()
+    component = F.when(linkable, F.coalesce("least", "id")).otherwise(F.col("id"))
     return joined.select(
         F.col("id").alias("doc_id"),
         F.col("n").alias("n_shingles"),
@@ -366,7 +424,7 @@ def components(docs: DataFrame, ident: str, text: str) -> DataFrame:
 def keep_one(docs: DataFrame, ident: str, text: str) -> DataFrame:
     """``docs`` without the documents that have a smaller one in their component.
 
-    An id that is repeated stays where any of its rows is kept.
+    An id that is repeated stays, with all its rows, where any of its texts is kept.
     """
     judged = components(docs, ident, text).groupBy(F.col("doc_id").alias("__gone")).agg(F.max("kept").alias("kept"))
     gone = judged.where(~F.col("kept")).select("__gone")
