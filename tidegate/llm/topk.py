@@ -2,13 +2,13 @@
 
 Components are integers. The index is cut into blocks of vectors; within a block every
 dimension has segments, one per quantised value, that list the vectors whose component falls
-in it. A query turns each segment into an impact, its weight times how far the quantised value
-lies above the worst one of that dimension, and takes segments of all dimensions by falling
-impact, adding to one accumulator per vector. At any moment a vector's score lies between what
-it has collected and that plus what its open dimensions may still bring; the search of a block
-stops only when the k best lower bounds are proven to stand above every other upper bound, or
-all segments are done. Vectors that may still be members are scored again from their exact
-integers, so quantising never changes a result.
+in it. For a query a segment's impact is the largest that its value can move a score, up or down;
+segments of all dimensions are taken by falling impact and added to one accumulator per vector.
+What the open dimensions of a vector may still bring is at most the sum of as many of the largest
+contributions still to come as it has open dimensions. The k-th best exact score of the vectors
+that lead so far is a bar that the k best reach; the search of a block stops when this bar is
+proven to be out of reach for most vectors, or all segments are done. The others are scored again
+from their exact integers, so quantising never changes a result.
 
 The index is a table, one row per block, dealt out to tasks like any other; queries go to it in
 batches of bounded size, and k rows per query leave a block.
@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scalar import col
 from ..session import cut
@@ -29,24 +29,34 @@ from .common import each_batch
 #: Vectors in one block of the index.
 BLOCK_ROWS = 8192
 #: Values that share one segment: 2 to this power.
-SHIFT = 6
+SHIFT = 5
 #: Queries that go to every task at once.
 QUERY_ROWS = 4096
 #: Shares of the segments after which the stop is tried.
-CHECKS = (0.3, 0.45, 0.6, 0.7, 0.8, 0.9)
+CHECKS = (0.7, 0.75, 0.8, 0.85, 0.9, 0.95)
+#: Share of the vectors up to which the rest is scored at once.
+LEFT = 0.2
+#: Leading vectors, besides the k best, whose exact scores make the bar.
+LEADERS = 32
+#: Components stay below this, so that inner products of 32768 dimensions fit 64 bits.
+LARGEST = 1 << 24
 
 
 def quantise(df: DataFrame, ident: str, vector: str, scale: int = 1024) -> DataFrame:
     """vec_id and ``ints``, floor(scale * x) of every component.
 
     Vectors that are null or empty, or hold a null or a component that is not finite, are left
-    out, and so are rows without an id.
+    out, and so are rows without an id. A component beyond ``LARGEST`` stops the job with an error.
     """
     x = col(vector)
     sound = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+
+    def whole(v: Column) -> Column:
+        y = F.floor(F.lit(scale) * v.cast("double"))
+        return F.when(F.abs(y) < LARGEST, y.cast("long")).otherwise(F.raise_error(F.lit("a component is too large")).cast("long"))
+
     return df.where(col(ident).isNotNull() & (F.size(x) > 0) & sound).select(
-        col(ident).cast("long").alias("vec_id"),
-        F.transform(x, lambda v: F.floor(F.lit(scale) * v.cast("double")).cast("long")).alias("ints"),
+        col(ident).cast("long").alias("vec_id"), F.transform(x, whole).alias("ints")
     )
 
 
@@ -97,7 +107,7 @@ class _Block:
         self.ids = np.frombuffer(ids, np.int64)
         n = len(self.ids)
         self.ints = np.frombuffer(ints, np.int64).reshape(n, -1)
-        self.postings = np.frombuffer(postings, np.int32).reshape(-1, n)
+        self.postings = np.frombuffer(postings, np.int32).reshape(-1, n).astype(np.intp)
         levels = self.ints >> SHIFT
         dims, values, starts, ends = [], [], [], []
         for d, order in enumerate(self.postings):
@@ -109,51 +119,56 @@ class _Block:
             ends.append(np.r_[at[1:], n])
         self.dims, self.values, self.starts, self.ends = map(np.concatenate, (dims, values, starts, ends))
 
-    def search(self, query: np.ndarray, k: int, own: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and exact scores of the k best vectors of the block, ``own`` left out."""
+    def search(self, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """Ids and exact scores of the k best vectors of the block, and how many were scored exactly."""
         n, dim = self.ints.shape
         low, high = self.values << SHIFT, (self.values << SHIFT) + (1 << SHIFT) - 1
         weight = query[self.dims]
-        # What a segment's members get at least and at most from this dimension.
-        least, most = np.where(weight >= 0, weight * low, weight * high), np.where(weight >= 0, weight * high, weight * low)
-        floor, roof = np.full(dim, np.iinfo(np.int64).max), np.full(dim, np.iinfo(np.int64).min)
-        np.minimum.at(floor, self.dims, least)
-        np.maximum.at(roof, self.dims, most)
-        impact = least - floor[self.dims]
-        order = np.argsort(-impact, kind="stable")
-        # Accumulator: lower bound above the sum of the floors. ``slack``: how much quantising hides.
-        gained = np.zeros(n, np.int64)
+        # What a segment's members get from this dimension, at least and at most.
+        least, most = np.minimum(weight * low, weight * high), np.maximum(weight * low, weight * high)
+        order = np.argsort(-np.maximum(-least, most), kind="stable")
+        least, most, dims = least[order], most[order], self.dims[order]
+        # The accumulator holds the sum of the least contributions and, in its last bits, how many
+        # dimensions are done. ``slack``: how much quantising hides.
+        bits = int(dim).bit_length()
         slack = int(np.abs(query).sum()) * ((1 << SHIFT) - 1)
-        member = np.ones(n, bool)
-        member[self.ids == own] = False
-        checks = {int(len(order) * c) for c in CHECKS}
-        alive = None
-        for done, s in enumerate(order):
-            if done in checks and member.sum() > k:
-                # Open dimensions of a vector bring it at most the next impact each, and all of
-                # them together at most the sum of what each dimension has left.
-                rest = np.zeros(dim, np.int64)
-                np.maximum.at(rest, self.dims[order[done:]], impact[order[done:]])
-                bar = np.partition(gained[member], -k)[-k]
-                open_ = gained + int(rest.sum()) + slack >= bar
-                possible = np.flatnonzero(open_ & member)
-                if len(possible) <= max(4 * k, n // 50):
-                    alive = possible
-                    break
-            gain = impact[s]
-            if gain:
-                gained[self.postings[self.dims[s], self.starts[s] : self.ends[s]]] += gain
-        if alive is None:
-            bar = np.partition(gained[member], -k)[-k] if member.sum() > k else np.iinfo(np.int64).min
-            alive = np.flatnonzero(member & (gained + slack >= bar))
-        scores = self.ints[alive] @ query
-        ids = self.ids[alive]
+        packed = n > k and int(np.abs(query).max()) * (int(np.abs(self.ints).max()) + (1 << SHIFT)) * dim << bits < 1 << 62
+        if not packed:  # few vectors, or numbers too large for one accumulator: all are scored
+            possible = np.arange(n)
+        else:
+            possible = self.possible((least << bits) + 1, most, dims, order, query, k, bits, slack)
+        scores = self.ints[possible] @ query
+        ids = self.ids[possible]
         best = np.lexsort((ids, -scores))[:k]
-        return ids[best], scores[best]
+        return ids[best], scores[best], len(possible)
 
-
-def search(index: DataFrame, queries: list[tuple[int, list[int]]], k: int) -> DataFrame:
-    """The k best of every block for each query of a batch."""
+    def possible(
+        self, gains: np.ndarray, most: np.ndarray, dims: np.ndarray, order: np.ndarray, query: np.ndarray, k: int, bits: int, slack: int
+    ) -> np.ndarray:
+        """Vectors that may be among the k best after as many segments as it takes to leave few."""
+        n, dim = self.ints.shape
+        places = self.postings.ravel()
+        first, last = ((self.dims * n + at)[order].tolist() for at in (self.starts, self.ends))
+        line, taken = np.zeros(n, np.int64), 0
+        for share in (*CHECKS, 1.0):
+            upto = int(len(order) * share)
+            for gain, start, end in zip(gains[taken:upto].tolist(), first[taken:upto], last[taken:upto]):
+                line[places[start:end]] += gain
+            taken = upto
+            done, gained = line & ((1 << bits) - 1), line >> bits
+            rest = np.zeros(dim, np.int64)
+            np.maximum.at(rest, dims[taken:], most[taken:])
+            still = np.r_[0, np.cumsum(np.sort(rest)[::-1])]
+            leaders = np.argpartition(gained, -min(n, k + LEADERS))[-min(n, k + LEADERS) :]
+            bar = np.sort(self.ints[leaders] @ query)[-k]
+            found = np.flatnonzero(gained + slack + still[dim - done] >= bar)
+            if len(found) <= LEFT * n:
+                break
+        return found
+
+
+def search(index: DataFrame, queries: list[tuple[int, list[int]]], first: int, k: int) -> DataFrame:
+    """The k best of every block for each query of a batch, whose numbers start at ``first``."""
     shared = index.sparkSession.sparkContext.broadcast(
         ([q for q, _ in queries], np.asarray([v for _, v in queries], np.int64))
     )
@@ -163,36 +178,43 @@ def search(index: DataFrame, queries: list[tuple[int, list[int]]], k: int) -> Da
         for batch in batches:
             for i in range(batch.num_rows):
                 block = _Block(*[batch.column(c)[i].as_py() for c in ("ids", "ints", "postings")])
-                found = [block.search(v, k, q) for q, v in zip(names, vectors)]
+                found = [block.search(v, k)[:2] for v in vectors]
                 sizes = [len(ids) for ids, _ in found]
+                own = np.repeat(np.asarray(names, np.int64), sizes)
+                ids, scores = (np.concatenate([f[j] for f in found]) for j in (0, 1))
+                itself = (ids == own) & (scores == np.repeat((vectors * vectors).sum(1), sizes))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.repeat(np.asarray(names, np.int64), sizes)),
-                        pa.array(np.concatenate([ids for ids, _ in found])),
-                        pa.array(np.concatenate([scores for _, scores in found])),
+                        pa.array(np.repeat(np.arange(first, first + len(names)), sizes)),
+                        pa.array(own), pa.array(ids), pa.array(scores), pa.array(itself),
                     ],
-                    ["query_id", "vec_id", "score"],
+                    ["number", "query_id", "vec_id", "score", "itself"],
                 )
 
-    return index.mapInArrow(scan, "query_id long, vec_id long, score long")
+    return index.mapInArrow(scan, "number long, query_id long, vec_id long, score long, itself boolean")
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, query_rows: int = QUERY_ROWS) -> DataFrame:
     """query_id, rank, vec_id and score: the k best vectors of each query, without the query itself.
 
     Both tables come from ``quantise``. Ties go to the smaller vec_id; with fewer vectors than k
-    all are given; a repeated vector row is a candidate each time. Empty tables give no rows.
-    Queries are read in batches of ``query_rows``, and each batch meets the index once.
+    all are given; a repeated vector row is a candidate each time. Equal rows of ``queries`` are one
+    query, which leaves out one row of its id and vector and no more; rows of one id with different
+    vectors are queries of their own under that id. Empty tables give no rows. Queries are read in
+    batches of ``query_rows``, and each batch meets the index once.
     """
     index = build_index(vectors)
-    parts, held = [], []
+    parts, held, seen = [], [], 0
 
     def flush() -> None:
+        nonlocal seen
         if held:
-            parts.append(cut(search(index, list(held), k)))
+            # One more than k, as the query itself is among them.
+            parts.append(cut(search(index, list(held), seen, k + 1)))
+            seen += len(held)
             held.clear()
 
-    for row in queries.select("vec_id", "ints").toLocalIterator():
+    for row in queries.select("vec_id", "ints").distinct().toLocalIterator():
         held.append((row["vec_id"], list(row["ints"])))
         if len(held) == query_rows:
             flush()
@@ -202,5 +224,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, query_rows: int =
     found = parts[0]
     for part in parts[1:]:
         found = found.unionByName(part)
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.select("query_id", place.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
+    own = Window.partitionBy("number")
+    placed = found.withColumn("place", F.row_number().over(own.orderBy(F.desc("score"), "vec_id"))).where(F.col("place") <= k + 1)
+    out = placed.withColumn("out", F.min(F.when(F.col("itself"), F.col("place"))).over(own)).where("out is null or place <> out")
+    rank = F.when(F.col("place") > F.col("out"), F.col("place") - 1).otherwise(F.col("place"))
+    return out.select("query_id", rank.cast("int").alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
