@@ -1,7 +1,11 @@
 """From raw documents to packed training sequences, stage by stage.
 
 Every stage reads what its predecessor has written. All but the last return the columns of
-documents; the last one returns the pieces of the documents that are left and where they go.
+documents, others of any name included; the last one returns the pieces of the documents that are
+left and where they go.
+
+In every stage a null text is an empty one and stays null, repeated rows are rows of their own, rows
+without id stay (unless their text is rejected), and an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -18,19 +22,31 @@ from tidegate.session import run_folder, ship_package
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def without_names(docs: DataFrame, *taken: str) -> DataFrame:
+    """``docs`` with the columns that an operator names for itself under other names."""
+    return docs.withColumnsRenamed({c: f"__own_{c}" for c in taken if c in docs.columns})
+
+
+def with_names(made: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs``, each from where ``without_names`` has put it."""
+    return made.select(
+        *[F.col(f"`__own_{c}`" if f"__own_{c}" in made.columns else f"`{c}`").alias(c) for c in docs.columns]
+    )
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the models reject go."""
     labels = Tables(spark, sf_dir)("labels")
-    scored = toxicity_scores(docs, labels)
-    return scored.where(F.col("predicted") == 0).select(*docs.columns)
+    scored = toxicity_scores(without_names(docs, "score", "predicted"), labels)
+    return with_names(scored.where(F.col("predicted") == 0), docs)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Recurring lines and sentences go from all documents but the first; every document stays."""
-    kept = linededup.drop_recurring(docs, "doc_id", "text", exact=True).drop("n_dropped")
+    kept = linededup.drop_recurring(without_names(docs, "n_dropped"), "doc_id", "text", exact=True)
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return kept.select(*docs.columns)
+    return with_names(kept, docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
