@@ -123,3 +123,13 @@ def test_penalised_logistic_is_that_of_c(spark):
         p = 1 / (1 + np.exp(-z @ b))
         b -= np.linalg.solve((z * (w * p * (1 - p))[:, None]).T @ z + ridge, z.T @ (w * (p - y)) + ridge @ b)
     assert got == pytest.approx(1 / (1 + np.exp(-z @ b)), abs=1e-4)
+
+
+def test_contributions_that_differ_in_the_last_bits_only_are_ties(rows):
+    df = rows("p int, f string, v double", (1, "b", 12.29 - 10), (1, "c", 7.71 - 10), (1, "a", 0.1 + 0.2), (1, "d", 0.3))
+    assert len({abs(v) for v in (12.29 - 10, 7.71 - 10)}) == 2
+    for frame in (df, df.withColumn("v", -F.col("v"))):
+        out = modeling.group_contributions(frame, "p", "f", "v", []).orderBy("rank").collect()
+        assert [r["feature"] for r in out] == ["b", "c", "a", "d"]
+    few = rows("p int, f string, v double", (1, "b", 0.1 + 0.2), (1, "a", 0.3))
+    assert [r["feature"] for r in modeling.group_contributions(few, "p", "f", "v", [], k=1).collect()] == ["a"]
