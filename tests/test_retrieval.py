@@ -103,6 +103,34 @@ def test_search_over_small_chunks(spark, vectors, monkeypatch):
         assert list(best.ids[:, q]) == [i for _, i in sorted(zip(d, range(300)))][:4]
 
 
+def test_sifted_search_is_exact_and_rarely_computes_all_pairs(monkeypatch):
+    rng = np.random.default_rng(8)
+    base = np.r_[rng.normal(size=(3000, 16)), 1e3 + rng.normal(size=(1000, 16)) * 1e-3]  # a far, narrow cluster
+    base[200:230] = base[7]
+    ids = rng.permutation(len(base))
+    full = []
+    merge = vectorsearch._Best._merge
+    monkeypatch.setattr(vectorsearch._Best, "_merge", lambda self, i, v: (full.append(len(i)), merge(self, i, v)))
+    asked = [0, 7, 210, 3500]
+    best = vectorsearch._Best(base[asked], 5)
+    for start in range(0, 3000, 700):
+        best.add(ids[start : min(start + 700, 3000)], base[start : min(start + 700, 3000)])
+    assert sum(full) <= vectorsearch._FIRST  # all but the first rows are sifted
+    best.add(ids[3000:], base[3000:])
+    for q, row in enumerate(asked):
+        d = ((base - base[row]) ** 2).sum(axis=1)
+        assert best.dist[:, q] == pytest.approx(np.sort(d)[:5], abs=1e-6)
+    for q in (0, 1, 2):  # far vectors cancel digits in any formula, near ones are compared by id too
+        d = ((base - base[asked[q]]) ** 2).sum(axis=1).round(9)
+        assert list(best.ids[:, q]) == [i for _, i in sorted(zip(d, ids))][:5]
+
+
+def test_a_corpus_in_one_partition_is_dealt_out(spark):
+    df = spark.range(4096).selectExpr("id", "array(double(id), double(id % 7)) AS v").coalesce(1)
+    plan = vectorsearch.vector_search(df, df.where("id < 3"), "id", "v", "id", "v", 2)._jdf.queryExecution().toString()
+    assert "repartition" in plan.lower() and "hashpartitioning(id" in plan
+
+
 CANDIDATES = "query_id int, id string, rank int"
 
 
