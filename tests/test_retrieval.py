@@ -57,6 +57,23 @@ def test_index_round_trip(spark, docs, tmp_path):
     assert a == b
 
 
+def test_terms_are_counted_inside_the_row(spark):
+    """No task holds the counts of many documents; an empty text has none, repeated ids are added up."""
+    docs = spark.createDataFrame([(1, "b a b"), (2, ""), (3, None), (4, "c"), (5, "É é e")], "id int, text string")
+
+    def found(df):
+        index = retrieval.build_bm25(df, "id", "text")
+        return sorted(tuple(r) for r in index.postings.select("id", "doc_len", "term", "tf").collect()), index
+
+    want = [(1, 3, "a", 1), (1, 3, "b", 2), (4, 1, "c", 1), (5, 3, "e", 1), (5, 3, "é", 2)]
+    assert found(docs)[0] == want
+    made = retrieval._postings(docs.withColumn("__text", F.col("text")), "id", F.split("__text", " "))
+    assert "Aggregate" not in made._jdf.queryExecution().executedPlan().toString()
+    twice, index = found(docs.union(docs.where("id = 1")).union(docs.selectExpr("id + 3", "'x'").where("id = 1")))
+    assert twice == [(1, 3, "a", 2), (1, 3, "b", 4), (4, 1, "c", 1), (4, 1, "x", 1), *want[3:]]
+    assert index.corpus.first()["n_docs"] == 7
+
+
 def test_tfidf_default_stop_words(spark, docs):
     index, stop = retrieval.build_tfidf(docs, "pmid", "text", min_df=1)
     assert "the" in stop
