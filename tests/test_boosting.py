@@ -125,3 +125,21 @@ def test_search_logs_the_loss_of_each_trial(data):
     assert [t.value.tolist() for t in refit.trees] == [t.value.tolist() for t in best.trees]
     loss = modeling.score_boosted(best, valid).agg(F.avg(F.when(F.col("label") == 1, -F.log("score")).otherwise(-F.log(1 - F.col("score"))))).first()[0]
     assert loss == pytest.approx(best.valid_loss, abs=1e-6)
+
+
+def test_a_level_of_all_trials_is_one_job(spark, monkeypatch):
+    monkeypatch.setattr(boosting, "REFRESH", 100)
+    rng = np.random.default_rng(2)
+    data = [(i, [float(v) for v in x], int(x[0] + x[1] > 0), 1.0, i % 4 == 0) for i, x in enumerate(rng.normal(size=(400, 2)))]
+    df = spark.createDataFrame(data, "id int, features array<double>, label int, weight double, valid boolean")
+    edges = [np.array([-0.5, 0.0, 0.5])] * 2
+
+    def jobs(rounds):
+        group = f"boost-{rounds}"
+        spark.sparkContext.setJobGroup(group, group)
+        models = boosting.boost(df, [BoostParams(rounds=rounds, depth=2, patience=99)] * 3, edges=edges)
+        assert [len(m.trees) for m in models] == [rounds] * 3
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    assert jobs(6) - jobs(3) == 3 * 2
