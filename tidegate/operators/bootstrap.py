@@ -2,7 +2,9 @@
 
 Draw i of replicate b takes the id at dense index floor(u * n), u being thirteen hex digits of
 SHA-256(seed | b div 4 | i) at position b mod 4. One hash serves four replicates, and any
-engine can repeat the draw.
+engine can repeat the draw. Every task holds the predictions, at most ``TABLE_ROWS`` of them, and
+draws and counts whole replicates, so that no draw is shuffled; more predictions meet the draws in
+a join.
 
 The ``poisson`` method draws no ids: every row counts in replicate b as often as a Poisson(1)
 number made from its id and b says, and scores are rounded to a grid. Rows stay where they are and
@@ -11,6 +13,7 @@ one histogram per model and replicate leaves a task, whatever the number of rows
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator, Sequence
 
@@ -50,6 +53,114 @@ def draw_numbers(spark: SparkSession, n: int, replicates: int, seed: int) -> Dat
     ).where(F.col("b") < replicates)
 
 
+#: Predictions that go to every task, 5 to 9 bytes each, and models among them; beyond that draws and predictions are joined.
+TABLE_ROWS, TABLE_MODELS = 16_000_000, 1000
+#: Hashes that a task holds at a time.
+DRAWS = 1 << 16
+
+
+def draw_counts(n: int, block: int, seed: int) -> Iterator[np.ndarray]:
+    """How often replicates 4 * block to 4 * block + 3 draw the ids 1 ... n: the draws of ``draw_numbers``."""
+    draws = np.empty((4, n), np.int32)
+    prefix = f"{seed}|{block}|".encode()
+    for start in range(0, n, DRAWS):
+        end = min(n, start + DRAWS)
+        hashes = b"".join([hashlib.sha256(prefix + b"%d" % i).digest() for i in range(start, end)])
+        a, b, c, d = np.frombuffer(hashes, ">u8").astype(np.uint64).reshape(-1, 4).T
+        digits = (
+            a >> 12, (a & 0xFFF) << 40 | b >> 24, (b & 0xFFFFFF) << 28 | c >> 36, (c & 0xFFFFFFFFF) << 16 | d >> 48,
+        )
+        for own, number in zip(draws, digits):
+            own[start:end] = number / float(1 << 52) * n
+    for own in draws:
+        yield np.bincount(own, minlength=n)
+
+
+class _Cells:
+    """Predictions of one model: which id each row has and which cell of score, label and outcome."""
+
+    def __init__(self, rows: pa.Table, n: int) -> None:
+        at, positive, kind = (rows.column(c).to_numpy().astype(np.int64) for c in ("at", "positive", "kind"))
+        # Null scores rank lowest and NaN highest, as Spark orders them.
+        score = rows.column("score").combine_chunks()
+        level = np.unique(score.fill_null(0.0).to_numpy() + 0.0, return_inverse=True)[1] + 1
+        level[score.is_null().to_numpy(zero_copy_only=False)] = 0
+        cells, place = np.unique((level * 2 + positive) * 5 + kind, return_inverse=True)
+        self.place = place.astype(np.int32)
+        self.at = None if len(at) == n and (at == np.arange(n)).all() else at.astype(np.int32)
+        self.level, self.positive, self.kind = np.unique(cells // 10, return_inverse=True)[1], cells // 5 % 2 == 1, cells % 5
+
+    def metrics(self, counts: np.ndarray) -> list | None:
+        """n_pos, n_neg, AUROC, average precision, tp, fp, tn, fn of a replicate; None if it has no row."""
+        drawn = np.bincount(self.place, counts if self.at is None else counts[self.at], len(self.kind))
+        by_level = [np.bincount(self.level, np.where(own, drawn, 0))[::-1] for own in (self.positive, ~self.positive)]
+        return _ranked(*by_level, *np.bincount(self.kind, drawn, 5)[:4]) if drawn.any() else None
+
+
+def _ranked(pos: np.ndarray, neg: np.ndarray, tp: float, fp: float, tn: float, fn: float) -> list:
+    """Numbers of a replicate from its counts by score, from the highest down."""
+    n_pos, n_neg = int(pos.sum()), int(neg.sum())
+    area = precision = None
+    if n_pos and n_neg:
+        above, seen = np.cumsum(pos), np.cumsum(pos + neg)
+        area = float((neg * (above - pos + pos / 2)).sum() / n_pos / n_neg)
+        precision = float((pos * above / np.maximum(seen, 1)).sum() / n_pos)
+    return [n_pos, n_neg, area, precision, int(tp), int(fp), int(tn), int(fn)]
+
+
+NUMBERS = "n_pos long, n_neg long, auroc double, average_precision double, tp long, fp long, tn long, fn long"
+
+
+def _counted_replicates(
+    slim: DataFrame, model: Sequence[str], names: list, n: int, replicates: int, seed: int, tau: float, label: str,
+    score: str, second: str,
+) -> DataFrame:
+    """(model, b) and the numbers of ``_ranked``: replicates are dealt out, the predictions go to every task."""
+    spark = slim.sparkSession
+    keys = [f"m{i}" for i in range(len(model))]
+    kinds = "".join(f"{k} {slim.schema[m].dataType.simpleString()}, " for k, m in zip(keys, model))
+    # tp, fp, tn, fn and, for a null second score, none; a null score that is also ranked is not said.
+    said = col(second) >= tau
+    if second == score:
+        said = F.coalesce(said, F.lit(False))
+    positive = col(label) == 1
+    kind = F.when(said.isNull(), 4).when(positive & said, 0).when(said, 1).when(~positive, 2).otherwise(3)
+    number = spark.createDataFrame([(i, *name) for i, name in enumerate(names)], f"g int, {kinds.removesuffix(', ')}")
+    same = F.lit(True)
+    for m, k in zip(model, keys):
+        same = same & col(m).eqNullSafe(F.col(k))
+    rows = slim.where(col(label).isin(0, 1)).join(F.broadcast(number), same).select(
+        "g", (F.col("__rn") - 1).cast("int").alias("at"), positive.cast("tinyint").alias("positive"),
+        col(score).cast("double").alias("score"), kind.cast("tinyint").alias("kind"),
+    )
+    table = rows.toArrow().sort_by([("g", "ascending"), ("at", "ascending")])
+    ends = np.searchsorted(table.column("g").to_numpy(), np.arange(len(names) + 1))
+    held = [(g, _Cells(table.slice(a, b - a), n)) for g, (a, b) in enumerate(zip(ends[:-1], ends[1:])) if b > a]
+    del table
+    shared = spark.sparkContext.broadcast(held)
+    types = [to_arrow_type(f.dataType) for f in number.schema.fields[1:]]
+    columns = [*types, pa.int64(), *[pa.int64()] * 2, *[pa.float64()] * 2, *[pa.int64()] * 4]
+    titles = [*keys, "b", *[part.split()[0] for part in NUMBERS.split(", ")]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in batch.column("id").to_pylist():
+                found = []
+                for j, counts in enumerate(draw_counts(n, block, seed)):
+                    if block * 4 + j < replicates:
+                        made = [(names[g], cells.metrics(counts)) for g, cells in shared.value]
+                        found += [(*name, block * 4 + j, *values) for name, values in made if values]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), columns)], titles)
+
+    blocks = (replicates + 3) // 4
+    # A task makes some four million hashes, but all cores have work.
+    tasks = max(1, min(blocks, max(4 * spark.sparkContext.defaultParallelism, blocks * n >> 22)))
+    out = spark.range(0, blocks, 1, tasks).mapInArrow(run, f"{kinds}b long, {NUMBERS}")
+    # A row per model and replicate; both sides of a comparison read them.
+    return cut(out.toDF(*model, *out.columns[len(model):]))
+
+
 def bootstrap_metrics(
     preds: DataFrame, model: Sequence[str], replicates: int, seed: int = 0, tau: float = 0.5,
     ident: str = ID, label: str = LABEL, score: str = SCORE, score_calibrated: str | None = None,
@@ -60,8 +171,6 @@ def bootstrap_metrics(
     """
     second = score_calibrated or score
     ids = numbered_ids(preds, ident)
-    # Predictions get their number before the draws are made, so the n * B draws meet them in
-    # one join, and what is shuffled after it are histograms.
     # Written out, Catalyst knows their size: the exploded draws look smaller than they are and
     # must never be the side that is broadcast.
     slim = cut(
@@ -70,14 +179,20 @@ def bootstrap_metrics(
             *([col(second)] if second != score else []),
         ).join(ids, ident).drop(ident)
     )
-    rows = draw_numbers(preds.sparkSession, ids.count(), replicates, seed).join(slim, "__rn")
-    by = [*model, "b"]
-    hist = score_histogram(rows, by, label, score)
-    if second == score:
-        both = derive_threshold_metrics(ranking_from_histogram(hist, by, tau))
+    n, by = ids.count(), [*model, "b"]
+    names = [tuple(r) for r in slim.select(*[col(m) for m in model]).distinct().limit(TABLE_MODELS + 1).collect()] if model else [()]
+    if len(names) <= TABLE_MODELS and max(n, slim.count()) <= TABLE_ROWS:
+        both = derive_threshold_metrics(
+            _counted_replicates(slim, model, names, n, replicates, seed, tau, label, score, second)
+        )
     else:
-        counts = rows.groupBy(*[col(b) for b in by]).agg(*confusion(col(label), col(second) >= tau))
-        both = ranking_from_histogram(hist, by).join(derive_threshold_metrics(counts), by)
+        rows = draw_numbers(preds.sparkSession, n, replicates, seed).join(slim, "__rn")
+        hist = score_histogram(rows, by, label, score)
+        if second == score:
+            both = derive_threshold_metrics(ranking_from_histogram(hist, by, tau))
+        else:
+            counts = rows.groupBy(*[col(b) for b in by]).agg(*confusion(col(label), col(second) >= tau))
+            both = ranking_from_histogram(hist, by).join(derive_threshold_metrics(counts), by)
     both = both.drop("tp", "fp", "tn", "fn")
     ok = (F.col("n_pos") > 0) & (F.col("n_neg") > 0)
     metrics = [c for c in both.columns if c not in (*by, "n_pos", "n_neg")]
@@ -162,15 +277,8 @@ def poisson_metrics(
             yield row(current, total)
 
     def row(name: tuple, total: np.ndarray) -> pa.RecordBatch:
-        neg, pos = total[:width][::-1], total[width : 2 * width][::-1]  # from the highest score down
         tn, fn, fp, tp = total[2 * width :]
-        n_pos, n_neg = int(pos.sum()), int(neg.sum())
-        area = precision = None
-        if n_pos and n_neg:
-            above, seen = np.cumsum(pos), np.cumsum(pos + neg)
-            area = float((neg * (above - pos + pos / 2)).sum() / n_pos / n_neg)
-            precision = float((pos * above / np.maximum(seen, 1)).sum() / n_pos)
-        values = [n_pos, n_neg, area, precision, int(tp), int(fp), int(tn), int(fn)]
+        values = _ranked(total[width : 2 * width][::-1], total[:width][::-1], tp, fp, tn, fn)
         types = [pa.int64()] * 2 + [pa.float64()] * 2 + [pa.int64()] * 4
         return pa.RecordBatch.from_arrays(
             [*[pa.array([v], rows_type[k]) for k, v in zip(keys, name)], pa.array([name[-1]], pa.int32()), *[pa.array([v], t) for v, t in zip(values, types)]],
