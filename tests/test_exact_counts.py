@@ -167,6 +167,22 @@ def test_pairs_travel_without_texts(spark):
     assert "__x" in plan and "concat" not in plan and "regexp" not in plan  # words were hashed as they were read
 
 
+def test_ngrams_and_pairs_are_hashed_by_batch(spark, monkeypatch):
+    texts = ["aa bb cc aa bb", None, "", "cc", "aa bb", "bb cc aa bb cc"]
+    df = spark.createDataFrame([(i, "e", t) for i, t in enumerate(texts)], "id int, e string, text string").coalesce(1)
+    out = textaudit.entity_diversity(df, "text", "e", ["id"])
+    w = " ".join(t or "" for t in texts).split()
+    r = out.first()
+    assert (r.n_pairs, r.distinct_2) == (len(w) - 1, len(set(zip(w, w[1:]))) / (len(w) - 1))
+    # No expression is interpreted once per place of a text.
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "zip_with" not in plan
+    for mix in (textaudit.MIX, (0, 0)):  # with 0 all n-grams share one hash
+        monkeypatch.setattr(textaudit, "MIX", mix)
+        for n, k in ((2, 3), (3, 2), (5, 9)):
+            assert [(g.n, g.ngram) for g in textaudit.top_ngrams(df, "text", n, k).collect()] == plain_ngrams(texts, n, k)
+
+
 # Poisson bootstrap
 
 

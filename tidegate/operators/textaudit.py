@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.scalar import bigrams, col, contains_any, first_match, ngrams, ratio, words
@@ -67,37 +70,65 @@ def diversity(df: DataFrame, text: str) -> DataFrame:
     return with_one_row(shares, per_text.agg(F.avg("d2").alias("mean_distinct_2")))
 
 
-def _pair_key(first: Column, second: Column) -> Column:
-    """A word pair as two longs: 128 bits of two hash functions of both words."""
-    return F.struct(F.xxhash64(first, second).alias("x"), F.xxhash64(F.lit(1), second, first).alias("y"))
+#: Odd multipliers that mix the hashes of neighbouring words, in numbers of 64 bits.
+MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+
+
+def _runs(words_: pa.Array, n: int, mix: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a batch of texts as arrays of word hashes: where a run of n words of one text begins, in the
+    words of all texts, its text's number, and its hash."""
+    ends = words_.offsets.to_numpy() - words_.offsets[0].as_py()
+    flat = words_.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+    row = np.repeat(np.arange(len(words_)), np.diff(ends))
+    at = np.flatnonzero(np.arange(len(flat)) + n <= ends[1:][row])
+    found = np.zeros(len(at), np.uint64)
+    for j in range(n):
+        found = (found ^ flat[at + j]) * np.uint64(mix)
+        found ^= found >> np.uint64(29)
+    return at, row[at], found.view(np.int64)
 
 
 def entity_diversity(df: DataFrame, text: str, by: str, order: Sequence[str]) -> DataFrame:
     """Distinct-2 over all texts of an entity read one after the other.
 
     Word pairs that span two texts count too: the last word before each text is carried
-    forward, so the texts of an entity are never brought together. Pairs travel as 128-bit digests;
+    forward, so the texts of an entity are never brought together. Pairs travel as 128-bit digests,
+    made for a batch of texts at a time from two hashes of each word;
     among 10 ** 13 different pairs the chance that any two are taken for one is below 10 ** -12.
     Each text is read once.
     """
     line = [f"__o{i}" for i in range(len(order))]
     read = df.select(
-        col(by).alias("__by"), *[col(o).alias(name) for o, name in zip(order, line)],
-        F.transform(words(col(text)), lambda w: F.struct(F.xxhash64(w).alias("a"), F.xxhash64(F.lit(7), w).alias("b"))).alias("__w"),
+        col(by).alias("__by"), *[col(o).alias(name) for o, name in zip(order, line)], words(col(text)).alias("__w")
     )
-    rows = cut(read)
-    ends = rows.select(
-        "__by", *line, F.get("__w", F.lit(0)).alias("__first"),
-        F.try_element_at("__w", F.lit(-1)).alias("__last"),
+    rows = cut(
+        read.select(
+            "__by", *line, F.transform("__w", lambda w: F.xxhash64(w)).alias("__a"),
+            F.transform("__w", lambda w: F.xxhash64(F.lit(7), w)).alias("__b"),
+        )
     )
+
+    def word(i: int) -> Column:
+        ends = F.struct(F.try_element_at("__a", F.lit(i)).alias("a"), F.try_element_at("__b", F.lit(i)).alias("b"))
+        return F.when(F.size("__a") > 0, ends)
+
+    ends = rows.select("__by", *line, word(1).alias("__first"), word(-1).alias("__last"))
     spans = running(
         ends, ["__by"], line, lasts={"__before": F.col("__last")}, previous=True
     ).where("__before is not null and __first is not null")
-    n = F.greatest(F.size("__w") - 1, F.lit(0))
-    pairs = F.zip_with(F.slice("__w", F.lit(1), n), F.slice("__w", F.lit(2), n), _pair_key)
-    inside = rows.select("__by", F.explode(pairs).alias("__p"))
-    across = spans.select("__by", _pair_key(F.col("__before"), F.col("__first")).alias("__p"))
-    keys = inside.unionByName(across).select("__by", F.col("__p.x").alias("__x"), F.col("__p.y").alias("__y"))
+    inside = rows.select("__by", "__a", "__b")
+    across = spans.select("__by", *[F.array(f"__before.{h}", f"__first.{h}").alias(f"__{h}") for h in "ab"])
+    one, two = MIX
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, row, x = _runs(batch.column("__a"), 2, one)
+            y = _runs(batch.column("__b"), 2, two)[2]
+            entity = batch.column("__by").take(pa.array(row))
+            yield pa.RecordBatch.from_arrays([entity, pa.array(x), pa.array(y)], ["__by", "__x", "__y"])
+
+    kind = rows.schema["__by"].dataType.simpleString()
+    keys = inside.unionByName(across).mapInArrow(digests, f"__by {kind}, __x long, __y long")
     counted = keys.groupBy("__by", "__x", "__y").agg(F.count(F.lit(1)).alias("__n"))
     shares = counted.groupBy("__by").agg(F.sum("__n").alias("n_items"), F.count(F.lit(1)).alias("n_distinct"))
     entities = df.select(col(by).alias("__by")).distinct()
@@ -115,37 +146,52 @@ SET_SIZE = 10_000
 def top_ngrams(df: DataFrame, text: str, n: int = 6, k: int = 20) -> DataFrame:
     """The k most frequent word n-grams; ties in text order.
 
-    Hashes are counted first: an n-gram comes at most as often as its hash. Only n-grams whose hash
+    Hashes are counted first, made for a batch of texts at a time and counted there: an n-gram comes
+    at most as often as its hash. Only n-grams whose hash
     reaches the k-th count are spelt out and counted again, so texts of n-grams that are rare never
     travel. Should hashes meet and the k-th exact count lie below, the bound falls to it and the
     recount is repeated, so the result is exact.
     """
     found = df.select(words(col(text)).alias("__w")).where(F.size("__w") >= n)
-    places = F.sequence(F.lit(0), F.size("__w") - n)
-
-    def hash_at(i: Column) -> Column:
-        return F.xxhash64(*[F.get("__w", i + j) for j in range(n)])
-
-    hashes = found.select(F.explode(F.transform(places, hash_at)).alias("__h"))
-    counted = hashes.groupBy("__h").agg(F.count(F.lit(1)).alias("__n"))
+    hashed = F.transform("__w", lambda w: F.xxhash64(w)).alias("__a")
+    mix = MIX[0]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values, times = np.unique(_runs(batch.column("__a"), n, mix)[2], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(times)], ["__h", "__n"])
+
+    def spelt(chosen: np.ndarray | None) -> DataFrame:
+        """(hash, n-gram) of every place, or of those whose hash is chosen."""
+
+        def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at, _, value = _runs(batch.column("__a"), n, mix)
+                if chosen is not None:
+                    own = np.isin(value, chosen)
+                    at, value = at[own], value[own]
+                flat = batch.column("__w").flatten()
+                for i in range(0, len(at), 100_000):
+                    part = at[i : i + 100_000]
+                    grams = pc.binary_join_element_wise(*[flat.take(pa.array(part + j)) for j in range(n)], " ")
+                    yield pa.RecordBatch.from_arrays([pa.array(value[i : i + 100_000]), grams], ["__h", "ngram"])
+
+        return found.select("__w", hashed).mapInArrow(spell, "__h long, ngram string")
+
+    counted = found.select(hashed).mapInArrow(count, "__h long, __n long").groupBy("__h").agg(F.sum("__n").alias("__n"))
     repeated = cut(counted.where("__n > 1"))
     highest = repeated.orderBy(F.col("__n").desc()).limit(k).agg(F.count(F.lit(1)).alias("c"), F.min("__n").alias("least")).first()
     bound = highest["least"] if highest["c"] == k else 1
-
-    def spelt(i: Column) -> Column:
-        return F.array_join(F.slice("__w", i + 1, n), " ")
-
     while True:
         if bound > 1:
             chosen = repeated.where(F.col("__n") >= bound).select("__h")
             few = [r["__h"] for r in chosen.limit(SET_SIZE + 1).collect()]
             if len(few) <= SET_SIZE:
-                grams = found.select(F.explode(F.transform(F.filter(places, lambda i: hash_at(i).isin(few)), spelt)).alias("ngram"))
+                grams = spelt(np.array(few, np.int64))
             else:
-                both = F.transform(places, lambda i: F.struct(hash_at(i).alias("__h"), spelt(i).alias("ngram")))
-                grams = found.select(F.inline(both)).join(chosen, "__h", "left_semi").select("ngram")
+                grams = spelt(None).join(chosen, "__h", "left_semi")
         else:
-            grams = found.select(F.explode(F.transform(places, spelt)).alias("ngram"))
+            grams = spelt(None)
         best = cut(grams.groupBy("ngram").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "ngram").limit(k))
         reached = best.agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("least")).first()
         if bound == 1 or (reached["c"] == k and reached["least"] >= bound):
