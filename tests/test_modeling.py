@@ -133,3 +133,20 @@ def test_contributions_that_differ_in_the_last_bits_only_are_ties(rows):
         assert [r["feature"] for r in out] == ["b", "c", "a", "d"]
     few = rows("p int, f string, v double", (1, "b", 0.1 + 0.2), (1, "a", 0.3))
     assert [r["feature"] for r in modeling.group_contributions(few, "p", "f", "v", [], k=1).collect()] == ["a"]
+
+
+def test_fits_are_dealt_out_to_all_cores(spark):
+    from pyspark.ml.feature import VectorAssembler
+
+    rows = spark.range(400).select("id", (F.col("id") % 2).cast("int").alias("label"), (F.col("id") % 7).cast("double").alias("x"))
+    one = VectorAssembler(inputCols=["x"], outputCol="features").transform(rows.coalesce(1))
+    parts = modeling.dealt(one).groupBy(F.spark_partition_id()).count().collect()
+    assert len(parts) == spark.sparkContext.defaultParallelism and max(r["count"] for r in parts) < 100
+
+    class Seen:
+        def fit(self, df):
+            self.parts = df.rdd.getNumPartitions()
+
+    seen = Seen()
+    modeling.estimator_model(seen)(one, one)
+    assert seen.parts == spark.sparkContext.defaultParallelism
