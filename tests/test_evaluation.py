@@ -181,6 +181,13 @@ def test_counted_replicates_are_those_of_joined_draws(spark, monkeypatch, second
         assert tuple(counted[key])[2:] == pytest.approx(tuple(row)[2:], abs=1e-12)
 
 
+def test_bootstrap_without_model_columns(spark):
+    _, df = make(spark, n=40)
+    one = df.where("model = 'a'")
+    named = bootstrap.bootstrap_metrics(one, ["model"], 6).orderBy("b").collect()
+    assert [tuple(r) for r in bootstrap.bootstrap_metrics(one, [], 6).orderBy("b").collect()] == [tuple(r)[1:] for r in named]
+
+
 def test_models_must_share_ids(rows):
     df = rows("model string, id int, label int, score double", ("a", 1, 1, 0.5), ("a", 2, 0, 0.5), ("b", 1, 1, 0.5))
     with pytest.raises(ValueError):

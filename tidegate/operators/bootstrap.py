@@ -125,11 +125,12 @@ def _counted_replicates(
         said = F.coalesce(said, F.lit(False))
     positive = col(label) == 1
     kind = F.when(said.isNull(), 4).when(positive & said, 0).when(said, 1).when(~positive, 2).otherwise(3)
-    number = spark.createDataFrame([(i, *name) for i, name in enumerate(names)], f"g int, {kinds.removesuffix(', ')}")
-    same = F.lit(True)
-    for m, k in zip(model, keys):
-        same = same & col(m).eqNullSafe(F.col(k))
-    rows = slim.where(col(label).isin(0, 1)).join(F.broadcast(number), same).select(
+    numbered = slim.where(col(label).isin(0, 1)).withColumn("g", F.lit(0))
+    if model:
+        number = spark.createDataFrame([(i, *name) for i, name in enumerate(names)], f"g int, {kinds.removesuffix(', ')}")
+        same = [col(m).eqNullSafe(F.col(k)) for m, k in zip(model, keys)]
+        numbered = numbered.drop("g").join(F.broadcast(number), same)
+    rows = numbered.select(
         "g", (F.col("__rn") - 1).cast("int").alias("at"), positive.cast("tinyint").alias("positive"),
         col(score).cast("double").alias("score"), kind.cast("tinyint").alias("kind"),
     )
@@ -138,7 +139,7 @@ def _counted_replicates(
     held = [(g, _Cells(table.slice(a, b - a), n)) for g, (a, b) in enumerate(zip(ends[:-1], ends[1:])) if b > a]
     del table
     shared = spark.sparkContext.broadcast(held)
-    types = [to_arrow_type(f.dataType) for f in number.schema.fields[1:]]
+    types = [to_arrow_type(slim.schema[m].dataType) for m in model]
     columns = [*types, pa.int64(), *[pa.int64()] * 2, *[pa.float64()] * 2, *[pa.int64()] * 4]
     titles = [*keys, "b", *[part.split()[0] for part in NUMBERS.split(", ")]]
 
