@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidegate.operators import retrieval, vectorsearch
+from tidegate.operators import blockindex, retrieval, vectorsearch
 
 DOCS = [
     ("A1", "IDH-wildtype glioblastoma MGMT unmethylated temozolomide recurrence survival"),
@@ -255,3 +255,59 @@ def test_the_whole_vocabulary_counts(spark):
     docs = spark.range(2).selectExpr("id", "array_join(transform(sequence(1, 61000), x -> concat('w', x, 'q')), '. ') AS text")
     index, _ = retrieval.build_tfidf(docs, "id", "text", stop=[])
     assert index.terms.count() > 61000
+
+
+def plain_tfidf(docs, min_df, most=None):
+    """(id, term) -> weight, term -> df."""
+    held = {}
+    for i, text in docs:
+        w = (text or "").lower().split()
+        held.setdefault(i, Counter()).update(w + [f"{a} {b}" for a, b in zip(w, w[1:])])
+    df, cf = Counter(t for c in held.values() for t in c), sum(held.values(), Counter())
+    kept = sorted((t for t in df if df[t] >= min_df), key=lambda t: (-cf[t], t.encode()))[:most]
+    idf = {t: math.log((1 + len(docs)) / (1 + df[t])) + 1 for t in kept}
+    out = {}
+    for i, c in held.items():
+        norm = math.sqrt(sum((n * idf[t]) ** 2 for t, n in c.items() if t in idf))
+        out |= {(i, t): (n, n * idf[t] / norm) for t, n in c.items() if t in idf}
+    return out, {t: df[t] for t in kept}
+
+
+@pytest.mark.parametrize("min_df, most", [(1, None), (2, None), (2, 9), (2, 0), (50, 5)])
+def test_tfidf_over_many_blocks_and_buckets(spark, monkeypatch, min_df, most):
+    for name, value in (("BLOCK_DOCS", 3), ("BLOCK_POSTINGS", 40), ("BUCKET_TERMS", 7)):
+        monkeypatch.setattr(blockindex, name, value)
+    rng = np.random.default_rng(5)
+    words = ["aa", "bb", "éé", "cc1", "d_d", "日本"]
+    docs = [(int(i) if i else None, " ".join(rng.choice(words, rng.integers(0, 12)))) for i in range(40)]
+    docs += [(7, "aa bb"), (7, "bb aa"), (60, None), (61, ""), (62, "lone words"), (63, "aa " * 70000)]
+    index, _ = retrieval.build_tfidf(spark.createDataFrame(docs, "id int, text string"), "id", "text", [], min_df, most)
+    weights, df = plain_tfidf(docs, min_df, most)
+    got = {(r["id"], r["term"]): (r["tf"], r["w"]) for r in index.postings.collect()}
+    assert got.keys() == weights.keys()
+    for key, (tf, w) in got.items():
+        assert tf == weights[key][0] and w == pytest.approx(weights[key][1])
+    assert {r["term"]: r["df"] for r in index.terms.collect()} == df
+    queries = spark.createDataFrame([(1, "aa bb 日本"), (2, "nothing known")], "q int, text string")
+    for r in retrieval.tfidf_search(index, queries, "q", "text", [], 4).collect():
+        q, _ = plain_tfidf([(0, "aa bb 日本")], 1)
+        asked = {t: math.log((1 + len(docs)) / (1 + df[t])) + 1 for (_, t) in q if t in df}
+        norm = math.sqrt(sum(v * v for v in asked.values()))
+        want = sum(v / norm * weights.get((r["id"], t), (0, 0))[1] for t, v in asked.items())
+        assert r["query_id"] == 1 and r["score"] == pytest.approx(want, abs=1e-8)
+
+
+def test_tfidf_postings_are_not_shuffled(spark, docs, monkeypatch):
+    """Documents are dealt out as texts; after that only blocks and packed lists of their terms move."""
+    plans, real = [], blockindex.cut
+
+    def cut(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df)
+
+    for module in (blockindex, retrieval):
+        monkeypatch.setattr(module, "cut", cut)
+    index, _ = retrieval.build_tfidf(docs, "pmid", "text", min_df=1)
+    assert index.blocks.count()
+    moved = [line for plan in plans for line in plan.splitlines() if "Exchange" in line]
+    assert moved and all("(id#" in m or "(block#" in m or "(bucket#" in m for m in moved)
