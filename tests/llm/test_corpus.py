@@ -358,6 +358,46 @@ def test_word_memory_gives_the_ids_of_whole_texts(documents, monkeypatch):
             assert packing.token_bytes([t.encode() for t in part], spec) == want
 
 
+def test_runs_of_letters_go_to_the_model_alone(monkeypatch):
+    spec = tokencount.TokenizerSpec(public_tokenizers.path("word_bpe_49k.json"))
+    rnd = random.Random(4)
+    runs = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyzéüñßÿæ") for _ in range(rnd.randint(1, 15))) for _ in range(2000)]
+    others = ["a1", "it's", "x\u0301", "Σας", "µm", "ª", "a÷b", "日本", "don", "<a", "İ"]
+    words = [w.encode() for w in dict.fromkeys(runs + others)]
+    whole, library = [], spec.load()
+
+    class Seen:
+        def __getattr__(self, name):
+            return getattr(library, name)
+
+        def encode_batch_fast(self, texts, **options):
+            whole.extend(texts)
+            return library.encode_batch_fast(texts, **options)
+
+    want = [np.asarray(spec.ids(w.decode()), "<u4").tobytes() for w in words]
+    packing.letter_alphabet(spec)
+    monkeypatch.setitem(tokencount._LOADED, (spec.kind, spec.path), Seen())
+    assert packing.encode_words(words, spec) == want
+    assert len("".join(whole)) < 300  # the other words and what stands between them
+
+
+def test_tokenizers_that_take_letters_apart_get_whole_words(tmp_path):
+    from tokenizers import Regex, Tokenizer, models, normalizers, pre_tokenizers
+
+    vocab = {c: i for i, c in enumerate("abé")} | {"ab": 3, "|": 4}
+    for n, (split, norm) in enumerate([(r"[ab]", None), (r"\w+", normalizers.Replace("a", "b")), (r"\w+", None)]):
+        made = Tokenizer(models.BPE(vocab, [("a", "b")]))
+        made.pre_tokenizer = pre_tokenizers.Split(Regex(split), "isolated")
+        made.add_special_tokens(["|"])
+        if norm:
+            made.normalizer = norm
+        made.save(str(tmp_path / f"{n}.json"))
+        spec = tokencount.TokenizerSpec(str(tmp_path / f"{n}.json"))
+        assert (packing.letter_alphabet(spec) is None) == (n < 2)
+        words = ["ab", "aab", "ba", "éa"]
+        assert packing.encode_words([w.encode() for w in words], spec) == [np.asarray(spec.ids(w), "<u4").tobytes() for w in words]
+
+
 def test_pieces_hold_every_token_once(spark, rows, documents):
     spec = tokencount.TokenizerSpec(public_tokenizers.path("word_bpe_49k.json"))
     data = documents + [(-1, None), (-2, ""), (None, "a"), (-3, "long words " * 3000), (-3, "long words " * 3000)]
