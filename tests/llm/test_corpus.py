@@ -452,6 +452,25 @@ def near_rows():
     return list(enumerate(texts, 100))
 
 
+def test_bitmaps_meet_a_pair_once_and_not_in_the_lists(rows):
+    held = {10: (1, 2), 11: (1, 2), 12: (1, 3), 13: (1, 3), 14: (1, 3), 15: (2, 3)}
+    lists = rows("v long, node long, n long, c long, comp long", *[(v, i, 40, 40, i) for v, two in held.items() for i in two])
+    places = {1: np.arange(40), 2: np.arange(2, 42), 3: np.arange(500, 540)}  # 3 shares most lists with 1 and is unlike it
+    signs = rows("node long, bits array<long>", *[(i, [int(x) for x in neardup.bitmap(v)]) for i, v in places.items()])
+    assert sorted(tuple(r) for r in neardup.best_partners(lists, signs, None, 0).collect()) == [(1, 2), (2, 1)]
+    assert neardup.best_partners(lists, signs, rows("a long, b long", (2, 1)), 0).count() == 0
+
+
+def test_shingles_of_many_texts_are_those_of_each(monkeypatch):
+    texts = [b"", b" \t", b"a", b" A  b ", "É b c\x0bD e F g\x85 h\x1ci".encode(), b"x " * 30, b"a b c d e f g h"]
+    alone = [neardup.shingle_sets([t])[0] for t in texts]
+    assert [len(s) for s in alone] == [0, 0, 1, 1, 4, 1, 4]
+    assert (neardup.shingle_sets([b"a B\nc d e"])[0] == neardup.shingle_sets([b"A b c D e "])[0]).all()
+    for limit in (neardup.CHUNK, 10):
+        monkeypatch.setattr(neardup, "CHUNK", limit)
+        assert all((a == b).all() for a, b in zip(alone, neardup.shingle_sets(texts), strict=True))
+
+
 def test_components_as_in_the_plain_version(rows):
     data = near_rows()
     df = rows("doc_id long, text string, node int, v string", *[(*d, 1, "x") for d in data])

@@ -30,6 +30,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -46,10 +47,9 @@ ROUNDS = 3
 LEAD = 8
 #: Longs of a bitmap over a sketch.
 LONGS = 16
-#: Words whose hashes a worker remembers before it forgets all of them.
-MEMO = 300_000
+#: Bytes of text whose words a worker holds at a time, if there is more than one text.
+CHUNK = 4 << 20
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
-_HASHES: dict[bytes, int] = {}
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -59,30 +59,33 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def shingle_set(text: bytes) -> np.ndarray:
-    """Distinct hashes of the five-word shingles of a text, in order; of all words if they are fewer."""
-    words = text.lower().split()
-    if not words:
-        return np.empty(0, np.int64)
-    known = _HASHES
-    missing = {w for w in words if w not in known}
-    if len(known) + len(missing) > MEMO:
-        known.clear()
-        missing = set(words)
-    for w in missing:
-        known[w] = xxhash.xxh64_intdigest(w)
-    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-    size = min(WORDS, len(words))
-    n = len(words) - size + 1
-    code = np.full(n, size, np.uint64)
-    for i in range(size):
-        code = code * _PRIME + h[i : i + n]
-    return np.unique((mix(code) >> np.uint64(1)).astype(np.int64))
-
-
-def forget() -> None:
-    """Give the memory of words back."""
-    _HASHES.clear()
+def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
+    """Of each text the distinct hashes of its five-word shingles, in order; of all words if they are fewer.
+
+    Different words are told apart and hashed once for many texts.
+    """
+    if len(texts) > 1 and sum(map(len, texts)) > CHUNK:
+        half = len(texts) // 2
+        return shingle_sets(texts[:half]) + shingle_sets(texts[half:])
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(texts, pa.binary()).view(pa.string())))
+    found = split.flatten().dictionary_encode()
+    names = found.dictionary.view(pa.binary()).to_pylist()
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, names), np.uint64, len(names))[found.indices.to_numpy()]
+    # White space at the ends of a text leaves an empty word there.
+    filled = np.array([bool(w) for w in names], bool)[found.indices.to_numpy()]
+    bounds = np.r_[0, np.cumsum(filled)][split.offsets.to_numpy()]
+    hashes, sets = hashes[filled], []
+    for a, b in zip(bounds[:-1], bounds[1:]):
+        if a == b:
+            sets.append(np.empty(0, np.int64))
+            continue
+        size = min(WORDS, b - a)
+        n = b - a - size + 1
+        code = np.full(n, size, np.uint64)
+        for i in range(size):
+            code = code * _PRIME + hashes[a + i : a + i + n]
+        sets.append(np.unique((mix(code) >> np.uint64(1)).astype(np.int64)))
+    return sets
 
 
 def needed(n: Column) -> Column:
@@ -103,7 +106,7 @@ def summaries(docs: DataFrame, ident: str, text: str) -> DataFrame:
     kind = docs.schema[ident].dataType.simpleString()
 
     def sketch(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingle_set(v) for v in texts_as_bytes(batch.column("body"))]
+        sets = shingle_sets(texts_as_bytes(batch.column("body")))
         return pa.RecordBatch.from_arrays(
             [
                 batch.column("id"),
@@ -117,7 +120,7 @@ def summaries(docs: DataFrame, ident: str, text: str) -> DataFrame:
 
     return cut(
         bodies(docs, ident, text).mapInArrow(
-            each_batch(sketch, forget), f"id {kind}, h long, n long, same binary, first array<long>"
+            each_batch(sketch), f"id {kind}, h long, n long, same binary, first array<long>"
         )
     )
 
@@ -160,7 +163,7 @@ def full_sets(docs: DataFrame, ident: str, text: str, wanted: DataFrame) -> Data
                 if more:
                     seen.add(node)
             batch = batch.filter(pa.array(fresh, pa.bool_()))
-            sets = [shingle_set(v) for v in texts_as_bytes(batch.column("body"))]
+            sets = shingle_sets(texts_as_bytes(batch.column("body")))
             # Another text of the same id and hash is another node's.
             own = [xxhash.xxh3_128_digest(s.tobytes()) == d for s, d in zip(sets, batch.column("same").to_pylist())]
             made = pa.RecordBatch.from_arrays(
@@ -174,7 +177,6 @@ def full_sets(docs: DataFrame, ident: str, text: str, wanted: DataFrame) -> Data
                 ["node", "several", "n", "hashes", "bits"],
             )
             yield made.filter(pa.array(own, pa.bool_()))
-        forget()
 
     found = wanted.select("node", "same", F.col("rep.id").alias("id"), F.col("rep.h").alias("h"), (F.col("copies") > 1).alias("several"))
     source = bodies(docs, ident, text).join(found, ["id", "h"]).select("node", "same", "several", "body")
@@ -264,39 +266,55 @@ def overlap(na: Column, nb: Column) -> Column:
 
 
 def possible(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
-    """Whether sizes, shared values and bitmaps of two nodes (n, c, bits) allow a link.
+    """Whether sizes, shared values and bitmaps of two nodes (n, c, bits) allow a link."""
+    return sizes_allow(a, b) & bits_allow(a, b)
+
+
+def sizes_allow(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
+    """Whether sizes and shared values (n, c) allow a link."""
+    na, nb = a("n"), b("n")
+    return (4 * F.least(na, nb) >= 3 * F.greatest(na, nb)) & (F.least(a("c"), b("c")) >= overlap(na, nb))
+
+
+def bits_allow(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
+    """Whether bitmaps of two nodes (n, bits) allow a link.
 
     A bit that only one sketch has is a value that only this sketch has, so the bits bound from
     below how many of its values a sketch does not share.
     """
     na, nb, bits_a, bits_b = a("n"), b("n"), a("bits"), b("bits")
-    low, high, least = F.least(na, nb), F.greatest(na, nb), overlap(na, nb)
+    least = overlap(na, nb)
 
     def only(x: Column, y: Column) -> Column:
         return sum((F.bit_count(x[i].bitwiseAND(F.bitwise_not(y[i]))) for i in range(LONGS)), F.lit(0))
 
-    return (
-        (4 * low >= 3 * high)
-        & (F.least(a("c"), b("c")) >= least)
-        & (only(bits_a, bits_b) <= F.least(na, F.lit(K)) - least)
-        & (only(bits_b, bits_a) <= F.least(nb, F.lit(K)) - least)
-    )
+    return (only(bits_a, bits_b) <= F.least(na, F.lit(K)) - least) & (only(bits_b, bits_a) <= F.least(nb, F.lit(K)) - least)
 
 
-def best_partners(lists: DataFrame, tested: DataFrame | None, number: int) -> DataFrame:
+def best_partners(lists: DataFrame, signs: DataFrame, tested: DataFrame | None, number: int) -> DataFrame:
     """Per node the node of another component with which it shares most lists, of those that
-    head a list in this round and were not tried yet: (a, b). ``lists`` has v, node, n, c, comp and bits.
+    head a list in this round and were not tried yet: (a, b). ``lists`` has v, node, n, c and comp,
+    ``signs`` node and bits.
 
     A list is headed by one node of its first and one of its last component, other ones each round.
+    Bitmaps meet a pair once, not once per list that both are in.
     """
-    place = F.struct("comp", F.xxhash64("node", F.lit(number)).alias("h"), "node", "n", "c", "bits")
+    place = F.struct("comp", F.xxhash64("node", F.lit(number)).alias("h"), "node", "n", "c")
     heads = lists.groupBy("v").agg(F.min(place).alias("low"), F.max(place).alias("high")).where(F.col("low.comp") != F.col("high.comp"))
     met = lists.join(heads, "v")
     other = F.when(F.col("comp") != F.col("low.comp"), F.col("low")).otherwise(F.col("high"))
-    pairs = met.select(F.col("node").alias("b"), "n", "c", "bits", other.alias("other"))
-    hopeful = pairs.where(possible(lambda x: F.col(f"other.{x}"), F.col))
-    counts = untested(hopeful.groupBy("b", F.col("other.node").alias("a")).agg(F.count("*").alias("c")), tested)
-    return counts.groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a")).select("a", "b")
+    pairs = met.select(F.col("node").alias("b"), "n", "c", other.alias("other"))
+    fitting = pairs.where(sizes_allow(lambda x: F.col(f"other.{x}"), F.col))
+    counts = untested(
+        fitting.groupBy("b", F.col("other.node").alias("a")).agg(
+            F.count("*").alias("c"), F.max("n").alias("n_b"), F.max("other.n").alias("n_a")
+        ),
+        tested,
+    )
+    for x in ("a", "b"):
+        counts = counts.join(signs.select(F.col("node").alias(x), F.col("bits").alias(f"bits_{x}")), x)
+    hopeful = counts.where(bits_allow(lambda x: F.col(f"{x}_a"), lambda x: F.col(f"{x}_b")))
+    return hopeful.groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a")).select("a", "b")
 
 
 def untested(pairs: DataFrame, tested: DataFrame | None) -> DataFrame:
@@ -381,10 +399,10 @@ def node_components(sets: DataFrame) -> DataFrame:
     tested = None
 
     def placed() -> DataFrame:
-        return lists.join(nodes, "node").join(signs, "node")
+        return lists.join(nodes, "node")
 
     for number in range(ROUNDS):
-        pairs = cut(best_partners(placed(), tested, number))
+        pairs = cut(best_partners(placed(), signs, tested, number))
         if pairs.isEmpty():
             break  # no head of a list is a partner; others in it may be
         tested = pairs if tested is None else tested.unionByName(pairs)
@@ -392,7 +410,7 @@ def node_components(sets: DataFrame) -> DataFrame:
         if links.isEmpty():
             break
         nodes = contract(nodes, links)
-    return contract(nodes, cut(verified(remaining_pairs(placed(), tested), sets)))
+    return contract(nodes, cut(verified(remaining_pairs(placed().join(signs, "node"), tested), sets)))
 
 
 def components(docs: DataFrame, ident: str, text: str) -> DataFrame:
