@@ -552,6 +552,39 @@ def test_pairs_of_a_group_too_unlike_to_link_are_made_once(rows, monkeypatch):
     assert "array_intersect" in plan
 
 
+def test_bitmaps_filter_pairs_before_lists_are_compared(rows, monkeypatch):
+    rnd, passage = random.Random(16), prose(random.Random(15), 330)
+    data = [(i, " ".join([prose(rnd, 35), passage, prose(rnd, 60)])) for i in range(12)]
+    made = []
+    monkeypatch.setattr(neardup, "untested", lambda pairs, tested, real=neardup.untested: made.append(pairs) or real(pairs, tested))
+    neardup.components(rows("doc_id long, text string", *data), "doc_id", "text").collect()
+    plan = made[-1]._jdf.queryExecution().optimizedPlan().toString()
+    join = next(x for x in plan.splitlines() if "Join Inner" in x and "array_intersect" in x)
+    assert -1 < join.find("bit_count") < join.find("array_intersect")
+    assert join.count("bit_count") == neardup.LONGS  # a pair's common bits are counted once, not for either side
+
+
+def test_similar_sets_are_told_by_one_merge(monkeypatch):
+    def never(*_, **__):
+        raise AssertionError("sets are sorted already")
+
+    rnd, cases = np.random.default_rng(3), []
+    for n in (1, 3, 30, 511, 512, 513, 700, 1500):
+        for share in (0.0, 0.5, 0.58, 0.6, 0.62, 0.74, 0.75, 0.76, 0.9, 1.0):
+            union = rnd.permutation(np.unique(rnd.integers(0, 1 << 62, n)))
+            cut = int(np.ceil(share * len(union)))
+            x, y = (np.sort(np.r_[union[:cut], part]) for part in np.array_split(union[cut:], 2))
+            cases.append((x, y))
+    for name in ("unique", "union1d", "intersect1d", "isin"):
+        monkeypatch.setattr(neardup.np, name, never)
+    for x, y in cases:
+        a, b = set(x.tolist()), set(y.tolist())
+        near = sorted(a | b)[: neardup.K]
+        sketched = min(len(a), len(b)) <= neardup.K or len({*near} & a & b) >= neardup.NEED
+        fits = 4 * min(len(a), len(b)) >= 3 * max(len(a), len(b))
+        assert neardup.similar(x, y) == (fits and sketched and 100 * len(a & b) >= 75 * len(a | b))
+
+
 # Personal data
 
 

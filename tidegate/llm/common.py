@@ -5,10 +5,24 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, SparkSession, functions as F
 
 from ..functions.scalar import col
 
+#: Bytes of one batch of rows on its way to Python, if there is more than one row.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Rows go to Python in batches of ``BATCH_BYTES``, unless the session has a limit of its own.
+
+    An executor holds a batch per task a few times over: in the buffers that send it, in the worker
+    as Arrow and as Python values, and in what is made of it.
+    """
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(limit, None) is None:
+        spark.conf.set(limit, str(BATCH_BYTES))
+
 
 def text_of(name: str) -> Column:
     """A text column with null read as the empty text."""

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.scalar import col
 from ..session import cut
-from .common import each_batch, texts_as_bytes
+from .common import each_batch, small_batches, texts_as_bytes
 
 WORDS = 5
 K, NEED = 512, 307
@@ -250,14 +250,21 @@ def similar(x: np.ndarray, y: np.ndarray) -> bool:
     if 4 * min(len(x), len(y)) < 3 * max(len(x), len(y)):
         return False
     if min(len(x), len(y)) > K:
-        union = np.unique(np.r_[x[:K], y[:K]])[:K]
-        both = np.intersect1d(x[:K], y[:K], assume_unique=True)
-        if np.isin(union, both, assume_unique=True).sum() < NEED:
+        both = common(x[:K], y[:K])
+        # The i-th value that both hold has as many distinct ones before it as its place less i.
+        if np.count_nonzero(both - np.arange(len(both)) < K) < NEED:
             return False
-    shared = len(x) + len(y) - len(np.union1d(x, y))
+    shared = len(common(x, y))
     return 100 * shared >= 75 * (len(x) + len(y) - shared)
 
 
+def common(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Places in the merged values of two sorted sets at which a value is followed by its copy."""
+    both = np.concatenate((x, y))
+    both.sort(kind="stable")  # merges the two runs
+    return np.flatnonzero(both[1:] == both[:-1])
+
+
 def overlap(na: Column, nb: Column) -> Column:
     """Retained values that two sets of these sizes must share for a link."""
     low, high = F.least(na, nb), F.greatest(na, nb)
@@ -265,9 +272,9 @@ def overlap(na: Column, nb: Column) -> Column:
     return F.when(high <= K, shared).when(low <= K, shared - (high - K)).otherwise(NEED)
 
 
-def possible(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
-    """Whether sizes, shared values and bitmaps of two nodes (n, c, bits) allow a link."""
-    return sizes_allow(a, b) & bits_allow(a, b)
+def spare(n: Column, bits: Column) -> Column:
+    """How many retained values more than bits a node has."""
+    return F.least(n, F.lit(K)).cast("int") - sum((F.bit_count(bits[i]) for i in range(LONGS)), F.lit(0))
 
 
 def sizes_allow(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
@@ -277,18 +284,13 @@ def sizes_allow(a: Callable[[str], Column], b: Callable[[str], Column]) -> Colum
 
 
 def bits_allow(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
-    """Whether bitmaps of two nodes (n, bits) allow a link.
+    """Whether bitmaps of two nodes (n, bits, spare) allow a link.
 
-    A bit that only one sketch has is a value that only this sketch has, so the bits bound from
-    below how many of its values a sketch does not share.
+    A bit that only one sketch has is a value that only this sketch has, so two sketches share no
+    more values than they share bits and either has to spare.
     """
-    na, nb, bits_a, bits_b = a("n"), b("n"), a("bits"), b("bits")
-    least = overlap(na, nb)
-
-    def only(x: Column, y: Column) -> Column:
-        return sum((F.bit_count(x[i].bitwiseAND(F.bitwise_not(y[i]))) for i in range(LONGS)), F.lit(0))
-
-    return (only(bits_a, bits_b) <= F.least(na, F.lit(K)) - least) & (only(bits_b, bits_a) <= F.least(nb, F.lit(K)) - least)
+    bits = sum((F.bit_count(a("bits")[i].bitwiseAND(b("bits")[i])) for i in range(LONGS)), F.lit(0))
+    return overlap(a("n"), b("n")) <= F.least(a("spare"), b("spare")) + bits
 
 
 def best_partners(lists: DataFrame, signs: DataFrame, tested: DataFrame | None, number: int) -> DataFrame:
@@ -313,6 +315,7 @@ def best_partners(lists: DataFrame, signs: DataFrame, tested: DataFrame | None,
     )
     for x in ("a", "b"):
         counts = counts.join(signs.select(F.col("node").alias(x), F.col("bits").alias(f"bits_{x}")), x)
+        counts = counts.withColumn(f"spare_{x}", spare(F.col(f"n_{x}"), F.col(f"bits_{x}")))
     hopeful = counts.where(bits_allow(lambda x: F.col(f"{x}_a"), lambda x: F.col(f"{x}_b")))
     return hopeful.groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a")).select("a", "b")
 
@@ -331,17 +334,18 @@ def remaining_pairs(lists: DataFrame, tested: DataFrame | None) -> DataFrame:
 
     The smaller set of a pair, or that of smaller number, looks from its early values only. Of
     the lists that both are in, that of the least value makes the pair; where the leads of both
-    have no value in common, each list may make it, and equal pairs are dropped.
+    have no value in common, each list may make it, and equal pairs are dropped. The filters stand
+    from the cheapest to the dearest: pairs of a list grow with the square of its length.
     """
     sizes = lists.groupBy("v", "comp").agg(F.count("*").alias("m"))
     main = F.max_by("comp", F.struct("m", "comp")).alias("main")
     mixed = sizes.groupBy("v").agg(main, F.count("*").alias("comps")).where("comps > 1").select("v", "main")
-    left = lists.join(mixed, "v").withColumnRenamed("node", "id")
+    left = lists.join(mixed, "v").withColumnRenamed("node", "id").withColumn("spare", spare(F.col("n"), F.col("bits")))
     head_a, head_b = F.get("lead_a", F.lit(0)), F.get("lead_b", F.lit(0))
     met = F.when(head_a == head_b, head_a).otherwise(F.get(F.array_intersect("lead_a", "lead_b"), F.lit(0)))
 
     def side(x: str) -> DataFrame:
-        own = [F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "c", "comp", "bits")]
+        own = [F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "c", "comp", "bits", "spare")]
         lead = F.col("lead_early" if x == "a" else "lead_all").alias(f"lead_{x}")
         # Members of a list's largest component meet all others there, and never each other.
         inside = F.col("comp") == F.col("main")
@@ -351,10 +355,10 @@ def remaining_pairs(lists: DataFrame, tested: DataFrame | None) -> DataFrame:
         return left.select("v", F.explode(parts).alias("part"), *own, lead)
 
     first = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("id_a") < F.col("id_b")))
-    fitting = 4 * F.least("n_a", "n_b") >= 3 * F.greatest("n_a", "n_b")
+    sides = (lambda x: F.col(f"{x}_a")), (lambda x: F.col(f"{x}_b"))
     both = side("a").join(side("b"), ["v", "part"])
-    apart = both.where((F.col("comp_a") != F.col("comp_b")) & first & fitting & F.coalesce(met == F.col("v"), F.lit(True)))
-    hopeful = apart.where(possible(lambda x: F.col(f"{x}_a"), lambda x: F.col(f"{x}_b")))
+    fitting = (F.col("comp_a") != F.col("comp_b")) & first & sizes_allow(*sides)
+    hopeful = both.where(fitting & bits_allow(*sides) & F.coalesce(met == F.col("v"), F.lit(True)))
     return untested(hopeful.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct(), tested)
 
 
@@ -421,6 +425,7 @@ def components(docs: DataFrame, ident: str, text: str) -> DataFrame:
     Equal rows have equal results. A row without id is linked with nothing; its component is null
     and it is kept.
     """
+    small_batches(docs.sparkSession)
     rows = summaries(docs, ident, text)
     nodes = number_nodes(rows)
     comps = node_components(full_sets(docs, ident, text, survivors(nodes)))
