@@ -4,6 +4,7 @@ import brute
 import corpus_pipeline
 import pytest
 from tidegate.llm import queries
+from tidegate.llm.common import BATCH_BYTES, small_batches
 from tidegate.plans import Tables
 from tidegate.session import run_folder
 
@@ -102,3 +103,20 @@ def test_stages_on_odd_rows(spark, name, stage):
         assert got == sorted(rows, key=str)  # nothing here recurs, is near another with an id or in the benchmark
     empty = stage(spark, docs.limit(0), FOLDER)
     assert empty.dtypes == docs.dtypes and empty.count() == 0
+
+
+LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+def test_stages_send_rows_to_python_in_small_batches(spark, name, stage):
+    own = spark.newSession()  # with settings of its own
+    stage(own, odd_rows(own, [(1, "a b c"), (2, None)]), FOLDER).collect()
+    assert own.conf.get(LIMIT) == str(BATCH_BYTES)
+
+
+def test_a_limit_of_the_session_stays(spark):
+    own = spark.newSession()
+    own.conf.set(LIMIT, "1m")
+    small_batches(own)
+    assert own.conf.get(LIMIT) == "1m"

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions.scalar import col
 from ..session import cut
-from .common import each_batch, texts_as_bytes
+from .common import each_batch, small_batches, texts_as_bytes
 
 #: A run of ASCII letters or digits and of anything beyond ASCII, after A-Z became a-z.
 WORD = re.compile(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -255,6 +255,7 @@ def find_overlap(
 
 def matched(rows: DataFrame, items: DataFrame, item_id: str, item_text: str, width: int) -> DataFrame:
     """``rows`` without their ``body``, with what the windows of all items hit in it."""
+    small_batches(rows.sparkSession)
     blocks = item_blocks(items, item_id, item_text, width)
     first, second = next(blocks, Block.of([], width)), next(blocks, None)
     if second is not None:  # several blocks meet again by row

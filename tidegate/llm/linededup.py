@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.scalar import col
 from ..session import cut
-from .common import each_batch, text_of, texts_as_bytes
+from .common import each_batch, small_batches, text_of, texts_as_bytes
 
 #: Where a line is cut into sentences; what is matched belongs to the sentence before it.
 BREAK = re.compile(rb"([.!?]+[ \t]+)")
@@ -130,6 +130,7 @@ def drop_recurring(
     document too. Ties cannot occur: the smallest id keeps a template. With ``exact`` only
     texts that equal that of the first holder of all their recurring templates are left whole.
     """
+    small_batches(docs.sparkSession)
     names = [f"k{i}" for i in range(len(docs.columns))]
     short = docs.toDF(*names)
     key, body = names[docs.columns.index(ident)], names[docs.columns.index(text)]

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.scalar import col
 from ..session import cut
-from .common import each_batch, texts_as_bytes
+from .common import each_batch, small_batches, texts_as_bytes
 from .tokencount import TokenizerSpec
 
 #: Pieces of one length and bucket that a window brings together, on average.
@@ -285,6 +285,7 @@ def cut_pieces(
             ["doc_id", "piece", "start", "length", "ids_crc32"],
         )
 
+    small_batches(df.sparkSession)
     kind = df.schema[ident].dataType.simpleString()
     source = df.select(col(ident).alias("doc_id"), F.coalesce(col(text).cast("string"), F.lit("")).alias("body"))
     return source.mapInArrow(
