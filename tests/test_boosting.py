@@ -143,3 +143,74 @@ def test_a_level_of_all_trials_is_one_job(spark, monkeypatch):
         return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
 
     assert jobs(6) - jobs(3) == 3 * 2
+
+
+def test_a_level_is_one_stage(spark, monkeypatch):
+    """Sums of a few tasks are not shuffled: that took longer than a level of a small table."""
+    monkeypatch.setattr(boosting, "REFRESH", 100)
+    rng = np.random.default_rng(3)
+    data = [(i, [float(v) for v in x], int(x[0] > 0), 1.0, i % 4 == 0) for i, x in enumerate(rng.normal(size=(300, 2)))]
+    df = spark.createDataFrame(data, "id int, features array<double>, label int, weight double, valid boolean")
+    edges = [np.array([-0.5, 0.0, 0.5])] * 2
+
+    def stages(rounds):
+        group = f"boost-stages-{rounds}"
+        spark.sparkContext.setJobGroup(group, group)
+        boosting.boost(df, [BoostParams(rounds=rounds, depth=2, patience=99)] * 2, edges=edges)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        seen = spark.sparkContext.statusTracker()
+        return sum(len(seen.getJobInfo(j).stageIds) for j in seen.getJobIdsForGroup(group))
+
+    assert stages(6) - stages(3) == 3 * 2
+
+
+def test_many_tasks_give_the_same_trees(data, monkeypatch):
+    *_, df = data
+    draws = [BoostParams(rounds=4, depth=d, rate=0.3, subsample=0.8, columns=0.7) for d in (2, 4)]
+    direct = boosting.boost(df, draws)
+    monkeypatch.setattr(boosting, "DIRECT", 0)
+    monkeypatch.setattr(boosting, "TASK_ROWS", (40, 1 << 18))
+    for one, other in zip(direct, boosting.boost(df, draws)):
+        assert [t.value.tolist() for t in one.trees] == [t.value.tolist() for t in other.trees]
+        assert one.losses == pytest.approx(other.losses, abs=1e-6)
+
+
+def test_one_part_is_dealt_out_in_full_blocks(spark, data, monkeypatch):
+    *_, df = data
+    monkeypatch.setattr(boosting, "TASK_ROWS", (100, 1 << 18), raising=False)
+    monkeypatch.setattr(boosting, "BLOCK_ROWS", 64)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10)
+    try:
+        packed = boosting.pack(df.coalesce(1), "features", "label", "weight", "valid", "id", [np.array([0.0])] * 4, 1)
+        sizes = [[len(r.valid) for r in part] for part in packed.rdd.glom().collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sizes == [[64, 36]] * 4
+
+
+def test_children_are_the_lighter_one_and_the_rest_of_their_parent():
+    rng = np.random.default_rng(7)
+    n, width, bins = 500, 3, 6
+    x = rng.integers(0, bins - 1, (width, n)).astype(np.uint8)  # no row in the last bin
+    cells = [x, (rng.random(n) < 0.4).astype(float), rng.uniform(0.5, 2, n), np.arange(n), rng.random(n) < 0.2, rng.normal(size=(1, n))]
+    rows = boosting._Rows([c.tobytes() for c in cells], width)
+    params, columns = BoostParams(depth=2, subsample=0.7, min_child_weight=0.0), np.array([0, 2])
+    total = {}
+    boosting.root_sums(rows, bins, boosting.Work(0, 0, 5, params, columns, None, 0, []), total)
+    tree = boosting.Tree(np.full(7, -1), np.zeros(7, np.int64), np.zeros(7))
+    tree.feature[0] = -2
+    (split,) = boosting.best_splits(0, {0: total[0, 0]}, params, columns)
+    boosting.grow(tree, split, params, 0)
+
+    def summed(nodes):
+        out = {}
+        boosting.node_sums(rows, bins, boosting.Work(0, 0, 5, params, columns, tree, 1, nodes), out)
+        return out
+
+    got = boosting.children({0: total[0, 0]}, 0, summed([boosting.lighter(split)]), [split])
+    want = summed([1, 2])
+    assert {1, 2} == set(got) and all((got[i] == want[0, i]).all() for i in got)
+    seen = ~rows.valid & boosting.drawn(rows.key, 5, 0.7)
+    p = 1 / (1 + np.exp(-rows.margin[0]))
+    g = np.rint(rows.w * (p - rows.y) * boosting.UNIT)
+    assert total[0, 0][0].tolist() == [[int(g[seen & (x[f] == b)].sum()) for b in range(bins)] for f in columns]
